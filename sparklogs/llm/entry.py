@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import read
+from . import media, mixing, secrets, sharding
+from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +21,34 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.describe(media.encode(read(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds"
+    )
+
+
+def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+
+
+    def count(kind: str):
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return out.select(
+        "doc_id", *counts, F.sha2(secrets.spans(F.col("findings")), 256).alias("base_sha256"), secrets.spans(F.col("findings")).alias("spans"),
+        F.lower(F.hex("blob")).alias("blob"),
+    )
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = {"op3_kd_sharding": op3_kd_sharding, "op10_source_mixing": op10_source_mixing}
+    found: dict[str, Query] = {"op7_iso_media": op7_iso_media, "op9_blob_ledger": op9_blob_ledger}
+    found |= {"op3_kd_sharding": op3_kd_sharding, "op10_source_mixing": op10_source_mixing}
     return found
 
 
