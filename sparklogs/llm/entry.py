@@ -8,12 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, secrets, sharding
+from . import media, mixing, quality, secrets, sharding, toxicity
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_clause_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op5_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents"))
     return out.select(
@@ -47,8 +57,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {"op7_iso_media": op7_iso_media, "op9_blob_ledger": op9_blob_ledger}
-    found |= {"op3_kd_sharding": op3_kd_sharding, "op10_source_mixing": op10_source_mixing}
+    found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op5_passage_quality": op5_passage_quality}
+    found |= {"op7_iso_media": op7_iso_media, "op9_blob_ledger": op9_blob_ledger, "op3_kd_sharding": op3_kd_sharding, "op10_source_mixing": op10_source_mixing}
     return found
 
 
