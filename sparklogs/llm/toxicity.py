@@ -184,9 +184,24 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFr
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = SAMPLE_ROWS) -> Model:
-    """The lexicon and the gains from at most `most` labelled rows."""
+    """The lexicon and the gains from at most `most` labelled rows, copies among them counted once."""
     rows = materialize(sample(docs, labels, column, most), "toxic-sample")
 
+    def sketch(batches):
+        for batch in batches:
+            least = []
+            texts = _lowered(batch.column("text"))
+            for i, j in slices(np.concatenate(([0], np.cumsum([len(t) for t in texts])))):
+                raw, at, _ = _letters(texts[i:j])
+                words = Words(raw, at)
+                ends = zip(words.first[:-1], words.first[1:], strict=True)
+                least += [int(words.hashes[a:b].min() >> np.uint64(1)) if b > a else 0 for a, b in ends]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), pa.array(least, pa.int64())], ["text", "label", "sketch"])
+
+    # near copies of one document say the same thing: of those with the same least word hash and label one counts
+    rows = rows.select("text", "label").mapInArrow(sketch, "text string, label int, sketch long")
+    rows = materialize(rows.dropDuplicates(["sketch", "label"]), "toxic-distinct")
+
     def count(batches):
         for batch in batches:
             label = batch.column("label").to_numpy()
