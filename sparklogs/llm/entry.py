@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, secrets, sharding, toxicity
+from . import media, mixing, pieces, quality, secrets, sharding, toxicity
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op5_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"), pieces.vocabulary())
+
+
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents"))
     return out.select(
@@ -57,7 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op5_passage_quality": op5_passage_quality}
+    found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op2_sampled_pieces": op2_sampled_pieces, "op5_passage_quality": op5_passage_quality}
     found |= {"op7_iso_media": op7_iso_media, "op9_blob_ledger": op9_blob_ledger, "op3_kd_sharding": op3_kd_sharding, "op10_source_mixing": op10_source_mixing}
     return found
 
