@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, pieces, quality, secrets, sharding, toxicity
+from . import lattice, media, mixing, pieces, quality, secrets, sharding, toxicity
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.links(read(spark, sf_dir, "embeddings"))
+
+
 def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
 
@@ -61,7 +65,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op2_sampled_pieces": op2_sampled_pieces, "op5_passage_quality": op5_passage_quality}
+    found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op2_sampled_pieces": op2_sampled_pieces, "op8_lattice_near_dedup": op8_lattice_near_dedup, "op5_passage_quality": op5_passage_quality}
     found |= {"op7_iso_media": op7_iso_media, "op9_blob_ledger": op9_blob_ledger, "op3_kd_sharding": op3_kd_sharding, "op10_source_mixing": op10_source_mixing}
     return found
 
