@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 from collections.abc import Callable, Iterator
@@ -33,12 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sparklogs-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def materialize(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    clean: let the driver collect garbage, whereupon Spark removes the shuffle files of finished queries. For
+    operators whose steps each shuffle about as much as the input.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{next(_counter)}-{name}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if clean:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

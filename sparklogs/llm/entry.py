@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, media, mixing, pieces, quality, secrets, sharding, toxicity
+from . import lattice, media, mixing, pieces, quality, secrets, sharding, substrings, toxicity
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_clause_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(read(spark, sf_dir, "documents"))
+
+
 def op5_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -65,7 +69,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op2_sampled_pieces": op2_sampled_pieces, "op8_lattice_near_dedup": op8_lattice_near_dedup, "op5_passage_quality": op5_passage_quality}
+    found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op2_sampled_pieces": op2_sampled_pieces, "op8_lattice_near_dedup": op8_lattice_near_dedup, "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
+             "op5_passage_quality": op5_passage_quality}
     found |= {"op7_iso_media": op7_iso_media, "op9_blob_ledger": op9_blob_ledger, "op3_kd_sharding": op3_kd_sharding, "op10_source_mixing": op10_source_mixing}
     return found
 
