@@ -191,6 +191,19 @@ def over_groups(df: DataFrame, key: str, step: Callable[[pa.Table], pa.RecordBat
     return df.sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+def local_roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of n members the least one that the links p[i] - q[i] reach."""
+    root = np.arange(n)
+    while True:
+        after = root.copy()
+        np.minimum.at(after, p, root[q])
+        np.minimum.at(after, q, root[p])
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node that links reach.
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, media, mixing, pieces, quality, secrets, sharding, substrings, toxicity
+from . import jaccard, lattice, media, mixing, pieces, quality, secrets, sharding, substrings, toxicity
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.describe(media.encode(read(spark, sf_dir, "documents")))
     return out.select(
@@ -69,7 +73,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op2_sampled_pieces": op2_sampled_pieces, "op8_lattice_near_dedup": op8_lattice_near_dedup, "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
+    found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op2_sampled_pieces": op2_sampled_pieces, "op6_token_group_join": op6_token_group_join,
+             "op8_lattice_near_dedup": op8_lattice_near_dedup, "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
              "op5_passage_quality": op5_passage_quality}
     found |= {"op7_iso_media": op7_iso_media, "op9_blob_ledger": op9_blob_ledger, "op3_kd_sharding": op3_kd_sharding, "op10_source_mixing": op10_source_mixing}
     return found

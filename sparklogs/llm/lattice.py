@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, over_groups
+from .common import components, local_roots, materialize, mix, over_groups
 
 TABLES, PROBES, CELL, BLOCK, SEED = 10, 3, 1.5, 512, 8
 LEAST = 0.93
@@ -185,15 +185,7 @@ def links(vectors: DataFrame, least: float = LEAST) -> DataFrame:
             near = np.bincount(p, count[a:b][q], b - a).astype(np.int64)
             if not same[a]:
                 near += np.bincount(q, count[a:b][p], b - a).astype(np.int64)
-            root = np.arange(b - a)
-            while True:  # the least member that links of this block reach
-                after = root.copy()
-                np.minimum.at(after, p, root[q])
-                np.minimum.at(after, q, root[p])
-                after = after[after]
-                if (after == root).all():
-                    break
-                root = after
+            root = local_roots(b - a, p, q)
             hit = np.flatnonzero((near > 0) | (root != np.arange(b - a)))
             found.append((keys[a:b][hit], near[hit], keys[a:b][root[hit]]))
         if not found:
