@@ -34,7 +34,8 @@ from .common import Words, materialize, mix, over_groups, slices, string_parts
 
 WINDOW, PREFIX = 20, 6
 LEFT = WINDOW - PREFIX
-GROUP = 2_000
+#: Suffixes of one group: some 8 MB of words, and as much again as a matrix, in one task.
+GROUP = 32_768
 _LAST = (1 << 63) - 1
 _C = np.uint64(0xD6E8FEB86659FD93)
 
