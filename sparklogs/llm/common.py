@@ -34,19 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sparklogs-{spark.sparkContext.applicationId}"
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    clean: let the driver collect garbage, whereupon Spark removes the shuffle files of finished queries. For
-    operators whose steps each shuffle about as much as the input.
+    clean: let the driver collect garbage before and after, whereupon Spark removes the shuffle files of finished
+    queries. For operators whose steps each shuffle about as much as the input.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{next(_counter)}-{name}"
+    if clean:
+        _collect_garbage(spark)
     df.write.mode("overwrite").parquet(path)
+    del df
     if clean:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        _collect_garbage(spark)
     return spark.read.schema(schema).parquet(path)
 
 

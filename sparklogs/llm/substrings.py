@@ -172,10 +172,12 @@ def tree(table: pa.Table) -> pa.RecordBatch | None:
     table = table.take(np.lexsort((table.column("at").to_numpy(), table.column("doc").to_numpy())))  # earliest first
     h, doc, at = (table.column(c).to_numpy() for c in ("h", "doc", "at"))
     before = table.column("before").to_numpy()
-    words = Words(*string_parts(table.column("context").combine_chunks()))
-    row = words.rows()
     m = np.zeros((len(h), LEFT + WINDOW), np.uint64)  # the anchor stands in column LEFT; 0: no word
-    m[row, np.arange(len(row)) - words.first[row] + LEFT - before[row]] = words.hashes | np.uint64(1)
+    data, offsets = string_parts(table.column("context").combine_chunks())
+    for i, j in slices(offsets):
+        words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        row = words.rows()
+        m[i + row, np.arange(len(row)) - words.first[row] + LEFT - before[i + row]] = words.hashes | np.uint64(1)
     right = m[:, LEFT:]
     order = np.lexsort(tuple(right[:, k] for k in range(WINDOW - 1, PREFIX - 1, -1)) + (h,))
     sorted_ = right[order]
