@@ -6,12 +6,12 @@ Documents are sets of word shingles; two link when their Jaccard similarity is a
    them; tokens of a single set are dropped, and sets with too few shared tokens left can't link with anything.
 2. Of the sets left, all tokens are counted: one that shares less than num / den of its tokens with the others is
    dropped as well. What remains are families of similar documents, whatever passages others share.
-3. Similar sets are put into groups (least token by hash, of those that aren't frequent), groups in chunks, and
-   compared within a chunk; the links found make components.
-4. The token-group matrix holds the union of tokens of each component's blocks, restricted to each set's rarest
-   tokens that suffice to meet every partner. Tokens that lie in one component only are struck out. A set queries
-   the blocks of other components that hold one of its tokens; a block is opened if the query's overlap with the
-   block's token union reaches the bound, and its members are then compared exactly.
+3. Similar sets are put together (by their least token by several hashes) in chunks and compared within a chunk. The
+   links found make components; those of a lower similarity, LOOSE, make families.
+4. Families are dealt in blocks of similar sets. The token-group matrix holds the union of tokens of each block,
+   restricted to each set's rarest tokens that suffice to meet every partner. Tokens that lie in one component only
+   are struck out. A set queries the blocks that hold one of its tokens from another component; a block is opened if
+   the query's overlap with the block's token union reaches the bound, and its members are then compared exactly.
 
 No list of pairs leaves a task: links are reduced to each member's least linked member. Sets are known by a 64-bit
 hash of their tokens, tokens by 64-bit hashes.
@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from .common import Words, components, gram_hashes, local_roots, materialize, mix, over_groups, slices, string_parts
 
 CHUNK, FREQUENT = 256, 256
+#: Rounds of local comparison at most; they end when one leaves more than SETTLED of the components.
+ROUNDS, SETTLED = 4, 0.95
+#: Similarity, in percent, from which sets are of one family.
+LOOSE = 50
 
 
 def _least(n, num: int, den: int):
@@ -67,8 +71,8 @@ def _name(tokens: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _compare(tokens: list[np.ndarray], queries: np.ndarray, members: np.ndarray, comps: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (positions) of a query and a member of different components."""
+def _compare(tokens: list[np.ndarray], queries: np.ndarray, members: np.ndarray, comps: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions) of a query and a member: those of different components that link, and those of one family."""
     sizes = np.array([len(t) for t in tokens])
     values, at = np.unique(np.concatenate(tokens), return_inverse=True)
     owner = np.repeat(np.arange(len(tokens)), sizes)
@@ -91,8 +95,9 @@ def _compare(tokens: list[np.ndarray], queries: np.ndarray, members: np.ndarray,
         # a query whose overlap with the union of the members falls short opens nothing
         both += x @ y.T
     union = sizes[queries][:, None] + sizes[members][None, :] - both
-    p, q = np.nonzero((den * both.astype(np.int64) >= num * union.astype(np.int64)) & (comps[queries][:, None] != comps[members][None, :]))
-    return queries[p], members[q]
+    both, union = both.astype(np.int64), union.astype(np.int64)
+    near = (den * both >= num * union) & (comps[queries][:, None] != comps[members][None, :])
+    return [(queries[p], members[q]) for p, q in (np.nonzero(near), np.nonzero(100 * both >= LOOSE * union))]
 
 
 def _linked(num: int, den: int):
@@ -104,7 +109,7 @@ def _linked(num: int, den: int):
         query = table.column("query").to_numpy(zero_copy_only=False)
         lists = table.column("tokens").combine_chunks()
         cut, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-        found_f, found_root = [], []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in zip(heads, ends, strict=True):
             tokens = [values[cut[i] : cut[i + 1]] for i in range(a, b)]
             members = np.flatnonzero(~query[a:b])
@@ -117,14 +122,13 @@ def _linked(num: int, den: int):
                 queries = queries[np.array(bound, bool)]
             if not len(queries) or not len(members) or b - a < 2:
                 continue
-            p, q = _compare(tokens, queries, members, comp[a:b], num, den)
-            root = local_roots(b - a, p, q)
-            hit = np.flatnonzero(root != np.arange(b - a))
-            found_f.append(f[a:b][hit])
-            found_root.append(f[a:b][root[hit]])
-        if not found_f:
+            for strict, (p, q) in zip((True, False), _compare(tokens, queries, members, comp[a:b], num, den), strict=True):
+                root = local_roots(b - a, p, q)
+                hit = np.flatnonzero(root != np.arange(b - a))
+                found.append((f[a:b][hit], f[a:b][root[hit]], np.full(len(hit), strict)))
+        if not found:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_f)), pa.array(np.concatenate(found_root))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "strict"])
 
     return step
 
@@ -137,33 +141,39 @@ def _grown(known: DataFrame, edges: DataFrame) -> DataFrame:
     return known.join(roots, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "comp")).drop("node", "root")
 
 
+def _key(tokens, seed: int):
+    """The least token by a hash: equal for similar sets, most likely."""
+    return F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(seed))))
+
+
 def _local_round(known: DataFrame, sets: DataFrame, seed: int, num: int, den: int) -> DataFrame:
     """Links within chunks of the sets with the same key token; groups of one component are left out."""
-    keyed = known.withColumn("key", F.array_min(F.transform("rare", lambda t: F.xxhash64(t, F.lit(seed)))))
+    keyed = known.withColumn("key", F.col("keys")[seed])
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     chunk = F.pmod(F.xxhash64("f", F.lit(seed)), F.expr(f"(size + {CHUNK - 1}) DIV {CHUNK}"))
     placed = keyed.join(sizes, "key").select("f", "comp", F.xxhash64("key", chunk).alias("meet"), F.lit(False).alias("query"))
     rows = placed.join(sets, "f").repartition("meet")
-    return over_groups(rows, "meet", _linked(num, den), "a long, b long", 2_000)
+    return over_groups(rows, "meet", _linked(num, den), "a long, b long, strict boolean", 2_000)
 
 
 def _matrix_round(known: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Queries of sets against the blocks of other components that hold one of their rarest tokens."""
-    sizes = known.groupBy("comp").agg(F.count("*").alias("size"))
-    block = F.pmod(F.xxhash64("f", F.lit("block")), F.expr(f"(size + {CHUNK - 1}) DIV {CHUNK}"))
-    placed = materialize(known.join(sizes, "comp").select("f", "comp", "probe", F.xxhash64("comp", block).alias("block")), "blocks")
+    """Queries of sets against the blocks that hold one of their rarest tokens from another component."""
+    sizes = known.groupBy("kin").agg(F.count("*").alias("size"))
+    block = F.xxhash64("kin", F.pmod(F.xxhash64("f", F.lit("block")), F.expr(f"(size + {CHUNK - 1}) DIV {CHUNK}")))
+    placed = materialize(known.join(sizes, "kin").select("f", "comp", "probe", block.alias("block")), "blocks")
     tokens = placed.select("f", "comp", "block", F.explode("probe").alias("t"))
-    shared = tokens.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("t")
-    tokens = materialize(tokens.join(shared, "t", "left_semi"), "cross")
-    matrix = tokens.select("t", F.col("comp").alias("comp_"), "block").distinct()
-    asked = tokens.select("t", "f", "comp").join(matrix, "t").where("comp < comp_").select("f", "comp", "block").distinct()
+    matrix = materialize(tokens.groupBy("t", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "matrix")
+    shared = matrix.groupBy("t").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("t")
+    matrix = matrix.join(shared, "t", "left_semi").withColumnRenamed("block", "asked")
+    asked = tokens.join(matrix, "t").where("block <= asked AND (low <> comp OR high <> comp)")
+    asked = asked.select("f", "comp", F.col("asked").alias("block")).distinct()
     asked = materialize(asked, "asked")
     share = asked.groupBy("block").agg(F.expr(f"(count(*) + {CHUNK - 1}) DIV {CHUNK}").alias("shares"))
     query = asked.join(share, "block").select("f", "comp", F.xxhash64("block", F.pmod(F.xxhash64("f", F.lit("share")), "shares")).alias("meet"), F.lit(True).alias("query"))
     member = placed.join(share, "block").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
     member = member.select("f", "comp", F.xxhash64("block", "share").alias("meet"), F.lit(False).alias("query"))
     rows = query.union(member).join(sets, "f").repartition("meet")
-    return over_groups(rows, "meet", _linked(num, den), "a long, b long", 2_000)
+    return over_groups(rows, "meet", _linked(num, den), "a long, b long, strict boolean", 2_000)
 
 
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -234,16 +244,25 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     probe = F.slice("shared", F.lit(1), (F.size("shared") - need + 1).cast("int"))
     rare = F.filter("shared", lambda x: x["df"] <= FREQUENT)
     rare = F.when(F.size(rare) > 0, rare).otherwise(F.col("shared"))
-    known = known.select("f", F.col("f").alias("comp"), probe["t"].alias("probe"), rare["t"].alias("rare"))
+    keys = F.array(*[_key(rare["t"] if seed == 0 else F.col("shared")["t"], seed) for seed in range(ROUNDS)])
+    known = known.select("f", F.col("f").alias("comp"), probe["t"].alias("probe"), keys.alias("keys"))
     known = materialize(known, "known", clean=True)
     sets = materialize(sets.join(known.select("f"), "f", "left_semi"), "families", clean=True)
 
     # 3 and 4
-    for seed in (1, 2):
+    parts, kin = known.count(), None
+    for seed in range(ROUNDS):
         edges = materialize(_local_round(known, sets, seed, num, den), "links", clean=True)
-        known = materialize(_grown(known, edges), "known", clean=True)
+        known = materialize(_grown(known, edges.where("strict")), "known", clean=True)
+        kin = edges if kin is None else kin.union(edges)
+        before, parts = parts, known.select("comp").distinct().count()
+        if parts > SETTLED * before:
+            break  # what is left to be joined, the matrix finds
+    family = components(kin.select("a", "b")).select(F.col("node").alias("f_"), F.col("root").alias("kin"))
+    known = known.join(family, F.col("f") == F.col("f_"), "left").select("f", "comp", "probe", F.coalesce("kin", "f").alias("kin"))
+    known = materialize(known, "known", clean=True)
     edges = materialize(_matrix_round(known, sets, num, den), "links", clean=True)
-    known = _grown(known.select("f", "comp"), edges)
+    known = _grown(known.select("f", "comp"), edges.where("strict"))
     roots = known.join(each.select("f", "doc"), "f").withColumn("least", F.col("doc"))
     least = roots.groupBy("comp").agg(F.min("least").alias("component"))
     named = roots.select("f", "comp").join(least, "comp").select(F.col("f").alias("f_"), "component")
