@@ -10,7 +10,7 @@ vectors is dealt in blocks of BLOCK to many tasks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those without a label,
 link with nothing and are kept; rows of other lengths than the first usual one meet only their like; repeated rows
-(equal vec_id) are vectors each, null ids as well; an empty table gives no rows; other columns are ignored.
+(equal vec_id) are vectors each but one node of the components, and null ids are vectors without a node; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

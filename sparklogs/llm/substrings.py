@@ -17,7 +17,7 @@ start) is removed, wherever it covers words. The work is that of a generalised s
 Words are compared as 64-bit hashes at aligned places of windows that share an anchor.
 
 Defined cases: a null or blank text has no words and hashes the empty text; a null doc_id comes after all others;
-rows with one doc_id are told apart by their texts, and equal rows are equal (neither is earlier); texts shorter than
+rows with one doc_id are ordered by a hash of their texts, and equal rows are equal (neither is earlier); texts shorter than
 a window lose nothing; an empty table gives no rows; other columns are ignored.
 """
 

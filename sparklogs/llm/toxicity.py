@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, held_out, materialize, mix, slices
+from .common import Words, held_out, materialize, mix, slices, string_parts
 
 #: Labelled rows that are learned from, at most, and entries of the lexicon, at most.
 SAMPLE_ROWS, LEXICON = 20_000, 5_000
 PREFIXES = (4, 5, 6)
+SHINGLE = 4
 THRESHOLD = 0.3
 
 # Closed word classes of the four languages.
@@ -88,7 +89,7 @@ def clause(symbols, weights) -> np.ndarray:
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _BREAK = np.zeros(256, bool)
-_BREAK[[ord(c) for c in ".!?;:\n|"]] = True
+_BREAK[[ord(c) for c in ".!?;\n|"]] = True
 
 
 def _letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,15 +191,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = S
     def sketch(batches):
         for batch in batches:
             least = []
-            texts = _lowered(batch.column("text"))
-            for i, j in slices(np.concatenate(([0], np.cumsum([len(t) for t in texts])))):
-                raw, at, _ = _letters(texts[i:j])
-                words = Words(raw, at)
-                ends = zip(words.first[:-1], words.first[1:], strict=True)
-                least += [int(words.hashes[a:b].min() >> np.uint64(1)) if b > a else 0 for a, b in ends]
+            data, offsets = string_parts(batch.column("text"))
+            for i, j in slices(offsets):
+                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                grams = words.grams(SHINGLE)
+                for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+                    own = grams[a : b - SHINGLE + 1] if b - a >= SHINGLE else words.hashes[a:b]
+                    least.append(int(own.min() >> np.uint64(1)) if b > a else 0)
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), pa.array(least, pa.int64())], ["text", "label", "sketch"])
 
-    # near copies of one document say the same thing: of those with the same least word hash and label one counts
+    # near copies of one document say the same thing: of those with the same least shingle hash and label one counts
     rows = rows.select("text", "label").mapInArrow(sketch, "text string, label int, sketch long")
     rows = materialize(rows.dropDuplicates(["sketch", "label"]), "toxic-distinct")
 
