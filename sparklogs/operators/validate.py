@@ -68,30 +68,33 @@ def _level_text(level: Column) -> Column:
 
 def validated(entries: DataFrame, as_of: datetime) -> DataFrame:
     """entries with reason (null: accepted) and the normalised columns; the first rule that fails gives the reason."""
-    e = F.col("entry")
-    part = {name: attrs.field(e, name) for name in ("timestamp", "level", "service", "message", "attributes")}
-    kind = {name: attrs.kind(v) for name, v in part.items()}
-    text = {name: F.when(kind[name] == "STRING", attrs.text_of(v)) for name, v in part.items()}
-    missing = {name: text[name].isNull() | patterns.blank(text[name]) for name in ("timestamp", "service", "message")}
-    ts = timestamps.parse_iso(text["timestamp"])
-    flat = F.try_variant_get(part["attributes"], "$", attrs.MAP)
-    given = ~kind["attributes"].isin("", "VOID")
-    bad = F.map_keys(F.map_filter(flat, lambda _, v: attrs.kind(v).rlike("^(OBJECT|ARRAY)<")))
-    bad_level = text["level"].isNull() | ~text["level"].isin(*LEVELS)
+    names = ("timestamp", "level", "service", "message", "attributes")
+    c = F.col
+    # step by step, so that each value is taken from the variant and typed once
+    rows = entries.select("batch_id", "index", attrs.kind(c("entry")).alias("kind"), *[attrs.field(c("entry"), n).alias(n) for n in names])
+    rows = rows.withColumns({f"{n}_kind": attrs.kind(c(n)) for n in names})
+    rows = rows.withColumns({f"{n}_text": F.when(c(f"{n}_kind") == "STRING", attrs.text_of(c(n))) for n in names[:4]})
+    rows = rows.withColumns(
+        {f"{n}_missing": c(f"{n}_text").isNull() | patterns.blank(c(f"{n}_text")) for n in ("timestamp", "service", "message")}
+        | {"ts": timestamps.parse_iso(c("timestamp_text")), "given": ~c("attributes_kind").isin("", "VOID")}
+        | {"flat": F.try_variant_get(c("attributes"), "$", attrs.MAP)}
+    )
+    bad = F.map_keys(F.map_filter(c("flat"), lambda _, v: attrs.kind(v).rlike("^(OBJECT|ARRAY)<")))
+    rows = rows.withColumn("bad", F.when(c("given"), F.array_min(bad)))
     reason = (
-        F.when(~attrs.kind(e).like("OBJECT<%"), NOT_OBJECT)
-        .when(missing["timestamp"], NO_TIMESTAMP)
-        .when(ts.isNull(), BAD_TIMESTAMP)
-        .when(ts > timestamps.literal(as_of + AHEAD), FUTURE)
-        .when(bad_level, F.concat(F.lit(BAD_LEVEL), _level_text(part["level"]), F.lit("'")))
-        .when(missing["service"], NO_SERVICE)
-        .when(missing["message"], NO_MESSAGE)
-        .when(given & ~kind["attributes"].like("OBJECT<%"), NOT_FLAT)
-        .when(given & (F.size(bad) > 0), F.concat(F.lit(NESTED), F.array_min(bad), F.lit("'")))
+        F.when(~c("kind").like("OBJECT<%"), NOT_OBJECT)
+        .when(c("timestamp_missing"), NO_TIMESTAMP)
+        .when(c("ts").isNull(), BAD_TIMESTAMP)
+        .when(c("ts") > timestamps.literal(as_of + AHEAD), FUTURE)
+        .when(c("level_text").isNull() | ~c("level_text").isin(*LEVELS), F.concat(F.lit(BAD_LEVEL), _level_text(c("level")), F.lit("'")))
+        .when(c("service_missing"), NO_SERVICE)
+        .when(c("message_missing"), NO_MESSAGE)
+        .when(c("given") & ~c("attributes_kind").like("OBJECT<%"), NOT_FLAT)
+        .when(c("bad").isNotNull(), F.concat(F.lit(NESTED), c("bad"), F.lit("'")))
     )
-    return entries.select(
-        "batch_id", "index", reason.alias("reason"), ts.alias("timestamp"), text["level"].alias("level"), text["service"].alias("service"),
-        text["message"].alias("message"), F.when(given, flat).alias("flat"),
+    return rows.select(
+        "batch_id", "index", reason.alias("reason"), c("ts").alias("timestamp"), c("level_text").alias("level"), c("service_text").alias("service"),
+        c("message_text").alias("message"), F.when(c("given"), c("flat")).alias("flat"),
     )
 
 

@@ -56,4 +56,5 @@ def bodies(events: DataFrame, as_of: datetime) -> DataFrame:
         F.when(b % 31 == 0, F.lit('{"logs": [')).when(b % 29 == 0, F.lit('{"entries": []}')).when(b % 23 == 0, F.lit('{"logs": []}'))
         .otherwise(F.concat(F.lit('{"logs":['), F.concat_ws(",", "entries"), F.lit("]}")))
     )
-    return grouped.select("batch_id", body.alias("body"))
+    # as from many files: few rows, but large ones
+    return grouped.select("batch_id", body.alias("body")).repartition(events.sparkSession.sparkContext.defaultParallelism)
