@@ -118,5 +118,59 @@ FROM ranked
 """
 
 
+_REACH = """
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, root) AS (SELECT node, node FROM nodes UNION SELECT edges.y, reach.root FROM reach JOIN edges ON edges.x = reach.node),
+roots AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+"""
+
+SUBSTRINGS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, s, ws[s:s+19] AS k FROM w, unnest(range(1, len(ws) - 18)) AS t(s) WHERE len(ws) >= 20
+), later AS (
+  SELECT doc_id, s FROM starts QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM later, unnest(range(s, s + 20)) AS t(p)
+), words AS (
+  SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(p)
+), kept AS (
+  SELECT words.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY words.p) AS kept
+  FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[s:s+3], ' ') AS k FROM w, unnest(range(1, greatest(len(ws) - 2, 2))) AS t(s) WHERE len(ws) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)
+), nodes AS (SELECT doc_id AS node FROM documents),""" + _REACH + r"""
+SELECT node AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM roots LEFT JOIN sizes ON sizes.doc_id = node
+"""
+LATTICE_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), nodes AS (SELECT vec_id AS node FROM embeddings),""" + _REACH + r"""
+SELECT node AS vec_id, (SELECT count(*) FROM edges WHERE x = node) AS n_links, component_id, node = component_id AS kept FROM roots
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": MIXING_SQL}
+    return {
+        "op4_suffix_tree_dedup": SUBSTRINGS_SQL, "op6_token_group_join": JACCARD_SQL, "op8_lattice_near_dedup": LATTICE_SQL, "op10_source_mixing": MIXING_SQL,
+    }
