@@ -30,7 +30,9 @@ SPACE, MARK = "▁", "\udc81"  # MARK stands for a literal U+2581 of the text, w
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS, SEED = 0.7, 17
 #: Units that a task keeps filtered: arcs, at most; beyond that it begins anew.
-MOST_ARCS = 6_000_000
+MOST_ARCS = 4_500_000
+#: Units that are filtered at once.
+UNITS = 10_000
 _UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
 
 
@@ -92,9 +94,10 @@ class Lattices:
 
     def clear(self) -> None:
         self.final: dict[str, int] = {}
-        #: State 0 is the start of every unit. Arcs into state s have the keys in (s, s + 1]; arc 0 is never drawn.
+        #: State 0 is the start of every unit. The arcs into a state stand together, with their cumulative
+        #: probabilities as keys, the last one's being 1; arc 0 is never drawn.
         self.states, self.size = 1, 1
-        self.keys, self.before, self.piece = np.ones(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.keys, self.before, self.piece = np.ones(1 << 16, np.float32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.arc = np.zeros(1 << 16, np.int32)  # the first arc of each state
 
     def _arcs(self, chars: np.ndarray, unit_end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -151,7 +154,7 @@ class Lattices:
         run = np.cumsum(chance)
         share = np.clip(run - np.repeat(run[heads] - chance[heads], counts), 0, 1)
         share[heads + counts - 1] = 1.0
-        keys, before, piece = number[target] + share, number[source], pid.copy()
+        keys, before, piece = share.astype(np.float32), number[source], pid.copy()
         states = self.states + len(heads)
         more: list[tuple[float, int, int]] = []  # byte arcs of several bytes run through states of their own
         for k in np.flatnonzero(size):
@@ -159,16 +162,19 @@ class Lattices:
             raw = (SPACE if c == ord(MARK) else chr(c)).encode()
             at = before[k]
             for value in raw[:-1]:
-                more.append((states + 1.0, int(at), int(self.bytes_[value])))
+                more.append((1.0, int(at), int(self.bytes_[value])))
                 at, states = states, states + 1
             before[k], piece[k] = at, self.bytes_[raw[-1]]
         if more:
             extra = list(zip(*more, strict=True))
             keys, before, piece = (np.concatenate((x, y)) for x, y in zip((keys, before, piece), extra, strict=True))
         end = self.size + len(keys)
-        if end > len(self.keys):
-            grown = max(end, 2 * len(self.keys))
-            self.keys, self.before, self.piece, self.arc = (np.resize(x, grown) for x in (self.keys, self.before, self.piece, self.arc))
+        for name in ("keys", "before", "piece", "arc"):
+            old = getattr(self, name)
+            if max(end, states) > len(old):
+                new = np.empty(max(end, states, len(old) * 3 // 2), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
         self.arc[self.states : states] = self.size + np.concatenate((heads, np.arange(len(pid), len(keys))))
         self.keys[self.size : end], self.before[self.size : end], self.piece[self.size : end] = keys, before, piece
         self.final.update(zip(units, number[ends + np.arange(len(units))].tolist(), strict=True))
@@ -180,7 +186,9 @@ class Lattices:
             self.clear()
         units = [_UNIT.findall(SPACE + t.replace(SPACE, MARK).replace(" ", SPACE)) for t in texts]
         if new := {u for us in units for u in us}.difference(self.final):
-            self.add(sorted(new))
+            ordered = sorted(new)
+            for i in range(0, len(ordered), UNITS):
+                self.add(ordered[i : i + UNITS])
         counts = np.array([len(us) for us in units])
         get = self.final.__getitem__
         state = np.fromiter((get(u) for us in units for u in us), np.int64, int(counts.sum()))
@@ -191,12 +199,11 @@ class Lattices:
         active, length, step = np.arange(len(row)), np.zeros(len(row), np.int64), 0
         while len(active):
             u = (mix(seeds[active] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            at = state[active]
-            aim, arc = at + u, self.arc[at]
-            below = np.flatnonzero(self.keys[arc] <= aim)
+            arc = self.arc[state[active]]
+            below = np.flatnonzero(self.keys[arc] <= u)
             while len(below):
                 arc[below] += 1
-                below = below[self.keys[arc[below]] <= aim[below]]
+                below = below[self.keys[arc[below]] <= u[below]]
             drawn.append((active, self.piece[arc]))
             length[active] += 1
             state[active] = self.before[arc]
