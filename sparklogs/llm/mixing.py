@@ -19,7 +19,7 @@ from .common import WORD, materialize
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS = 1.5, 2
 #: Rows that one bucket of a source holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
