@@ -17,8 +17,9 @@ No list of pairs leaves a task: links are reduced to each member's least linked
 hash of their tokens, tokens by 64-bit hashes.
 
 Defined cases: a null, empty or blank text has no set and links with nothing; shorter texts than a shingle are one
-shingle; null doc_ids take part, but a component takes its id from ids that aren't null; repeated rows link as equal
-texts do; an empty table gives no rows; other columns are ignored by `join` and kept by `keep_one`.
+shingle; null doc_ids take part, but a component takes its id from ids that aren't null (it has none if all are);
+repeated rows link as equal texts do, and different texts under one doc_id are sets of their own; an empty table gives
+no rows; other columns are ignored by `join` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, gram_hashes, local_roots, materialize, mix, over_groups, slices, string_parts
+from .common import WORD, Words, components, gram_hashes, local_roots, materialize, mix, over_groups, slices, string_parts
 
 CHUNK, FREQUENT = 256, 256
 #: Rounds of local comparison at most; they end when one leaves more than SETTLED of the components.
@@ -176,16 +177,26 @@ def _matrix_round(known: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return over_groups(rows, "meet", _linked(num, den), "a long, b long, strict boolean", 2_000)
 
 
-def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    base = docs.select("doc_id", "text")
+def _text_hash():
+    return F.xxhash64("text")
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and set f of every row; and for each set (of) its first row and that of its component.
+
+    A row is known by (none, doc_id, hash): whether its id is null, its id, and the hash of its text. The first has the
+    least id that isn't null, if there is one.
+    """
+    base = docs.select("doc_id", "text", _text_hash().alias("hash"))
 
     def measured(batches):
         for batch in batches:
             n, f, has = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
             for r, tokens in _sets(batch, k):
                 n[r], f[r], has[r] = len(tokens), _name(tokens), True
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f, mask=~has)], ["doc_id", "n_shingles", "f"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("hash"), pa.array(n), pa.array(f, mask=~has)], ["doc_id", "hash", "n_shingles", "f"]
+            )
 
     def first_tokens(batches):
         seen: set[int] = set()
@@ -217,8 +228,9 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(out_t)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(out_f)), lists], ["f", "tokens"])
 
-    rows = materialize(base.mapInArrow(measured, "doc_id long, n_shingles long, f long"), "measured")
-    each = materialize(rows.where("f IS NOT NULL").groupBy("f").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc")), "sets")
+    rows = materialize(base.mapInArrow(measured, "doc_id long, hash long, n_shingles long, f long"), "measured")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    each = materialize(rows.where("f IS NOT NULL").groupBy("f").agg(F.max("n_shingles").alias("n"), F.min(row).alias("row")), "sets")
 
     # 1: tokens in hash order
     emitted = base.select("text").mapInArrow(first_tokens, "t long, f long")
@@ -228,11 +240,14 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     slack = F.expr(f"small - (small * {num} + {den - 1}) DIV {den}")
     held = emitted.join(often, "t", "left_semi").groupBy("f").agg(F.size(F.collect_set("t")).alias("held"))
     left = held.join(each, "f").withColumn("small", smallest).where(F.col("held") >= F.floor(slack / 2) + 1)
-    left = materialize(left.where("doc IS NOT NULL").select("f", "n", "doc"), "left", clean=True)
+    left = materialize(left.select("f", "n", "row"), "left", clean=True)
     del emitted, often, held
 
     # 2: all tokens of the sets left
-    texts = base.join(left.select(F.col("doc").alias("doc_id"), "f"), "doc_id")
+    wanted = left.select(F.col("row.doc_id").alias("id_"), F.col("row.hash").alias("hash_"), "f")
+    # copies without an id are one text each; the hash deals them over the tasks
+    single = base.where("doc_id IS NOT NULL").union(base.where("doc_id IS NULL").dropDuplicates(["hash"]))
+    texts = single.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")))
     sets = texts.select("f", "text").mapInArrow(whole_sets, "f long, tokens array<long>").dropDuplicates(["f"])
     sets = materialize(sets, "tokens", clean=True)
     tokens = sets.select("f", F.explode("tokens").alias("t"))
@@ -263,16 +278,28 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     known = materialize(known, "known", clean=True)
     edges = materialize(_matrix_round(known, sets, num, den), "links", clean=True)
     known = _grown(known.select("f", "comp"), edges.where("strict"))
-    roots = known.join(each.select("f", "doc"), "f").withColumn("least", F.col("doc"))
-    least = roots.groupBy("comp").agg(F.min("least").alias("component"))
-    named = roots.select("f", "comp").join(least, "comp").select(F.col("f").alias("f_"), "component")
-    named = each.join(named, F.col("f") == F.col("f_"), "left").select(F.col("f").alias("of"), F.coalesce("component", "doc").alias("component"))
-    named = materialize(named, "components", clean=True)
+    roots = known.join(each.select("f", "row"), "f")
+    least = roots.groupBy("comp").agg(F.min("row").alias("first"))
+    named = roots.select("f", "comp").join(least, "comp").select(F.col("f").alias("f_"), "first")
+    named = each.join(named, F.col("f") == F.col("f_"), "left").select(F.col("f").alias("of"), "row", F.coalesce("first", "row").alias("first"))
+    return rows, materialize(named, "components", clean=True)
+
+
+def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows, named = _joined(docs, k, num, den)
+    named = named.select("of", F.col("first.doc_id").alias("component"))
     return rows.join(named, F.col("f") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component: the one whose doc_id names it, once; rows without an id stay."""
-    one = materialize(join(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct(), "kept", clean=True)
-    named = docs.where("doc_id IS NOT NULL").join(one, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """docs with one document of each component, once: the one whose doc_id names it, or if no id does, the one with
+    the least text hash. Of texts without words, which link with nothing, one of each doc_id stays, and each without."""
+    rows, named = _joined(docs, k, num, den)
+    one = named.where("row <=> first").select(F.col("row.doc_id").alias("id_"), F.col("row.hash").alias("hash_"))
+    blank = rows.where("f IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("hash"))
+    one = materialize(one.union(blank), "kept", clean=True)
+    known = docs.withColumn("text_hash_", _text_hash())
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash_") == F.col("hash_"))
+    kept = known.join(one, same, "left_semi").dropDuplicates(["doc_id", "text_hash_"]).select(*docs.columns)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))

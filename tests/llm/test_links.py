@@ -80,6 +80,19 @@ def test_keep_one(docs):
     assert out.where("doc_id IS NULL").count() == 1
 
 
+def test_null_ids_link_others(docs):
+    words = [f"w{i}" for i in range(60)]
+    one, two, three = " ".join(words), " ".join([*words[3:], "x1", "x2", "x3"]), " ".join([*words[6:], "x1", "x2", "x3", "y1", "y2", "y3"])
+    alone = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, one), (2, three), (None, two), (None, two), (None, alone), (None, alone + " end"), (None, None), (4, alone[::-1]), (4, "z")]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.join(docs(*rows)).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (None, 1), (None, 1), *[(None, None)] * 3, (4, 4), (4, 4)], key=str)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(docs(*rows, (4, "z"), (4, None), (None, "")), 4, 85, 100).collect()]
+    null = [t for i, t in kept if i is None and t and t.startswith("v")]
+    assert len(null) == 1 and null[0] in (alone, alone + " end")
+    assert sorted(((i, t) for i, t in kept if (i, t) != (None, null[0])), key=str) == sorted([(1, one), (4, alone[::-1]), (4, "z"), (4, None), (None, None), (None, "")], key=str)
+
+
 def brute_links(rows):
     unit, links = {}, []
     for i, v, label in rows:
