@@ -53,6 +53,20 @@ def test_mix_takes_effect(docs):
     assert mixing.plan(frame.limit(0)).count() == 0 and mixing.apply(frame.limit(0)).count() == 0
 
 
+def test_rows_without_id_keep_their_sources_cut(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    frame = docs(*[(None, f"t{i} " * 10) for i in range(60)], source="a").unionByName(docs(*[(None, f"u{i} " * 10) for i in range(60)], source="b"))
+    frame = frame.unionByName(docs(*[(None, "copy " * 10)] * 60, (None, " "), (None, None), source="c"))
+    rows = mixing.plan(frame).groupBy("source_size", "target").sum("taken").collect()
+    assert sorted((r.target, r[2]) for r in rows) == sorted((float(t), t) for t in (1200, 1000, 500))
+    out = mixing.apply(frame).collect()
+    count = {s: [r.text for r in out if r.source == s] for s in "abc"}
+    assert {s: len(x) for s, x in count.items()} == {"a": 120, "b": 100, "c": 50}
+    assert len(set(count["b"])) == 60 and len(set(count["c"])) == 1
+    again = mixing.apply(frame.repartition(5)).collect()
+    assert sorted(r.text for r in again) == sorted(r.text for r in out)
+
+
 def check_shards(frame, depth):
     rows = sharding.shard(frame, depth).collect()
     assert len(rows) == frame.count()
