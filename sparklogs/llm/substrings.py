@@ -17,8 +17,8 @@ start) is removed, wherever it covers words. The work is that of a generalised s
 Words are compared as 64-bit hashes at aligned places of windows that share an anchor.
 
 Defined cases: a null or blank text has no words and hashes the empty text; a null doc_id comes after all others;
-rows with one doc_id are ordered by a hash of their texts, and equal rows are equal (neither is earlier); texts shorter than
-a window lose nothing; an empty table gives no rows; other columns are ignored.
+rows with one doc_id are ordered by a 64-bit hash of their texts, and equal rows are read as one (neither is earlier);
+texts shorter than a window lose nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,12 +104,15 @@ def _each(batch: pa.RecordBatch):
         yield i, j, Windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (order), sub (tells apart rows of one doc_id; 0 where every doc_id is one row) and text."""
+def _base(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc (order), sub (tells apart texts of one doc_id; 0 where every doc_id is one row), doc_id and text of every
+    document; and where a doc_id repeats, in which case equal rows are one document: doc_id, doc, sub of every row."""
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text")
     repeated = rows.groupBy("doc").count().where("count > 1").limit(1).count() > 0
-    sub = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % (1 << 31) if repeated else F.lit(0).cast("long")
-    return rows.withColumn("sub", sub)
+    if not repeated:
+        return rows.withColumn("sub", F.lit(0).cast("long")), None
+    rows = rows.withColumn("sub", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return materialize(rows.dropDuplicates(["doc", "sub"]), "documents", clean=True), rows.select("doc_id", "doc", "sub")
 
 
 def _anchors(batches):
@@ -118,8 +121,8 @@ def _anchors(batches):
         for i, _, w in _each(batch):
             a = w.anchors()
             row = w.row[a] if len(a) else a
-            at = sub[i + row] << 32 | (a - w.words.first[row])
-            yield pa.RecordBatch.from_arrays([pa.array(w.prefix[a].view(np.int64)), pa.array(doc[i + row]), pa.array(at)], ["h", "doc", "at"])
+            columns = (w.prefix[a].view(np.int64), doc[i + row], sub[i + row], a - w.words.first[row])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "sub", "at"])
 
 
 def _suffixes(batches):
@@ -140,8 +143,9 @@ def _suffixes(batches):
             raw = w.words.data.tobytes()
             text = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             n = len(cold)
-            at = sub[i + row] << 32 | items.field("pos").to_numpy()
-            yield _suffix_batch(w.prefix[place[cold]].view(np.int64), np.zeros(n, np.int64), doc[i + row[cold]], at[cold], (place - begin)[cold], text)
+            at = items.field("pos").to_numpy()
+            of = i + row[cold]
+            yield _suffix_batch(w.prefix[place[cold]].view(np.int64), np.zeros(n, np.int64), doc[of], sub[of], at[cold], (place - begin)[cold], text)
             if hot.any():
                 # each window of which the anchor is the least prefix is a suffix of its own
                 known = np.zeros(len(w.words.starts), np.int64) - 1
@@ -149,7 +153,8 @@ def _suffixes(batches):
                 own = np.flatnonzero(~w.repeat & (known[w.anchor] >= 0)) if len(w.starts) else np.zeros(0, np.int64)
                 start, anchor = w.starts[own], w.anchor[own]
                 second = _second(w.words.hashes, start)
-                yield _suffix_batch(w.full[own].view(np.int64), second, doc[i + w.row[start]], known[anchor], anchor - start, [None] * len(own))
+                of = i + w.row[start]
+                yield _suffix_batch(w.full[own].view(np.int64), second, doc[of], sub[of], known[anchor], anchor - start, [None] * len(own))
 
 
 def _second(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -160,17 +165,17 @@ def _second(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _suffix_batch(h, second, doc, at, before, text) -> pa.RecordBatch:
+def _suffix_batch(h, second, doc, sub, at, before, text) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(h), pa.array(second), pa.array(doc), pa.array(at), pa.array(before.astype(np.int32)), pa.array(text, pa.binary())],
-        ["h", "second", "doc", "at", "before", "context"],
+        [pa.array(h), pa.array(second), pa.array(doc), pa.array(sub), pa.array(at), pa.array(before.astype(np.int32)), pa.array(text, pa.binary())],
+        ["h", "second", "doc", "sub", "at", "before", "context"],
     )
 
 
 def tree(table: pa.Table) -> pa.RecordBatch | None:
     """Marks of whole groups of suffixes: bit o of `mask` says that the window o words left of the anchor came earlier."""
-    table = table.take(np.lexsort((table.column("at").to_numpy(), table.column("doc").to_numpy())))  # earliest first
-    h, doc, at = (table.column(c).to_numpy() for c in ("h", "doc", "at"))
+    table = table.take(np.lexsort(tuple(table.column(c).to_numpy() for c in ("at", "sub", "doc"))))  # earliest first
+    h, doc, sub, at = (table.column(c).to_numpy() for c in ("h", "doc", "sub", "at"))
     before = table.column("before").to_numpy()
     m = np.zeros((len(h), LEFT + WINDOW), np.uint64)  # the anchor stands in column LEFT; 0: no word
     data, offsets = string_parts(table.column("context").combine_chunks())
@@ -200,13 +205,13 @@ def tree(table: pa.Table) -> pa.RecordBatch | None:
         head = np.concatenate(([True], key[1:] != key[:-1]))
         start = at[leaf] - o
         first = np.flatnonzero(head)[np.cumsum(head) - 1]
-        # equal rows are not earlier than each other
-        later = (doc[leaf] != doc[leaf[first]]) | (start != start[first])
+        # one window that several anchors stand in is not earlier than itself
+        later = (doc[leaf] != doc[leaf[first]]) | (sub[leaf] != sub[leaf[first]]) | (start != start[first])
         mask[leaf[later]] |= np.int32(1 << o)
     hit = np.flatnonzero(mask)
     if not len(hit):
         return None
-    return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(at[hit]), pa.array(mask[hit])], ["doc", "at", "mask"])
+    return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (doc, sub, at, mask)], ["doc", "sub", "at", "mask"])
 
 
 def _kept(batches):
@@ -238,34 +243,37 @@ def _kept(batches):
             removed.append(total[first[1:]] - total[first[:-1]])
         if counts:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate(counts)), pa.array(np.concatenate(removed)), pa.array(digests)],
-                ["doc_id", "n_words", "n_removed", "kept_sha256"],
+                [*(batch.column(c) for c in ("doc_id", "doc", "sub")), pa.array(np.concatenate(counts)), pa.array(np.concatenate(removed)), pa.array(digests)],
+                ["doc_id", "doc", "sub", "n_words", "n_removed", "kept_sha256"],
             )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row."""
-    base = _base(docs)
-    anchors = base.select("doc", "sub", "text").mapInArrow(_anchors, "h long, doc long, at long")
+    base, repeats = _base(docs)
+    anchors = base.select("doc", "sub", "text").mapInArrow(_anchors, "h long, doc long, sub long, at long")
     often = anchors.groupBy("h").count().where("count > 1").select(F.col("h"), (F.col("count") > GROUP).alias("hot"))
-    place = F.struct((F.col("at") % (1 << 32)).alias("pos"), "hot")
-    wanted = anchors.join(often, "h").groupBy("doc", F.shiftright("at", 32).alias("sub")).agg(F.collect_list(place).alias("anchors"))
+    place = F.struct(F.col("at").alias("pos"), "hot")
+    wanted = anchors.join(often, "h").groupBy("doc", "sub").agg(F.collect_list(place).alias("anchors"))
     wanted = materialize(wanted, "anchors", clean=True)
     del anchors, often
     suffixes = base.select("doc", "sub", "text").join(wanted, ["doc", "sub"]).mapInArrow(
-        _suffixes, "h long, second long, doc long, at long, before int, context binary"
+        _suffixes, "h long, second long, doc long, sub long, at long, before int, context binary"
     )
     suffixes = materialize(suffixes, "suffixes", clean=True)
-    short = suffixes.where("context IS NOT NULL").select("h", "doc", "at", "before", "context").repartition("h")
-    marks = over_groups(short, "h", tree, "doc long, at long, mask int", 20_000)
-    whole = suffixes.where("context IS NULL").select("h", "second", "doc", "at", "before")
-    start = F.struct("doc", (F.col("at") - F.col("before")).alias("start"))
+    short = suffixes.where("context IS NOT NULL").select("h", "doc", "sub", "at", "before", "context").repartition("h")
+    marks = over_groups(short, "h", tree, "doc long, sub long, at long, mask int", 20_000)
+    whole = suffixes.where("context IS NULL").select("h", "second", "doc", "sub", "at", "before")
+    start = F.struct("doc", "sub", (F.col("at") - F.col("before")).alias("start"))
     first = whole.groupBy("h", "second").agg(F.min(start).alias("first")).withColumnsRenamed({"h": "h_", "second": "second_"})
     later = whole.join(first, (F.col("h") == F.col("h_")) & (F.col("second") == F.col("second_"))).where(start > F.col("first"))
-    marks = marks.union(later.select("doc", "at", F.expr("shiftleft(1, before) AS mask")))
-    marks = marks.groupBy("doc", F.shiftright("at", 32).alias("sub")).agg(
-        F.collect_list(F.struct((F.col("at") % (1 << 32)).alias("pos"), "mask")).alias("marks")
+    marks = marks.union(later.select("doc", "sub", "at", F.expr("shiftleft(1, before) AS mask")))
+    marks = marks.groupBy("doc", "sub").agg(
+        F.collect_list(F.struct(F.col("at").alias("pos"), "mask")).alias("marks")
     )
     marks = materialize(marks, "marks", clean=True)
-    out = base.join(marks, ["doc", "sub"], "left").select("doc_id", "text", F.coalesce("marks", F.expr("CAST(array() AS array<struct<pos: long, mask: int>>)")).alias("marks"))
-    return out.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    out = base.join(marks, ["doc", "sub"], "left").select("doc_id", "doc", "sub", "text", F.coalesce("marks", F.expr("CAST(array() AS array<struct<pos: long, mask: int>>)")).alias("marks"))
+    out = out.mapInArrow(_kept, "doc_id long, doc long, sub long, n_words long, n_removed long, kept_sha256 string")
+    if repeats is not None:
+        out = repeats.join(out.drop("doc_id"), ["doc", "sub"])
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -54,6 +55,21 @@ def test_repeated_ids(docs):
     assert substrings.dedup(docs(*rows).limit(0)).count() == 0
 
 
+def test_texts_without_id_whose_checksums_meet(docs):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+    seen = {}
+    for i in range(400_000):
+        text = f"n{i} {one}" if i % 2 else f"n{i} more words first {two}"
+        other = seen.setdefault(zlib.crc32(text.encode()) % (1 << 31), text)
+        if other != text and (one in other) != (one in text):
+            break
+    else:
+        raise AssertionError("no two checksums meet")
+    rows = [(1, one), (2, two), (None, text), (None, other), *[(None, "same " + one)] * 3, (None, None)]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup(docs(*rows)).collect()), key=str)
+    assert got == sorted([(1, 30, 0), (2, 30, 0), (None, 31, 30), (None, 34, 30), *[(None, 31, 30)] * 3, (None, 0, 0)], key=str)
+
+
 def test_a_third_of_all_rows_is_one_text(docs, monkeypatch):
     monkeypatch.setattr(substrings, "GROUP", 50)
     passage = " ".join(f"q{i}" for i in range(60))
