@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import itertools
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step takes; the arrays over it are some dozen times as large.
 STEP_BYTES = 1 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _counter = itertools.count()
 _own_dir: list[str] = []
 
@@ -25,35 +26,40 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="spark-"))
         base = _own_dir[0]
     return f"{base.rstrip('/')}/sparklogs-{spark.sparkContext.applicationId}"
 
 
-def _collect_garbage(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def materialize(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    clean: let the driver collect garbage before and after, whereupon Spark removes the shuffle files of finished
-    queries. For operators whose steps each shuffle about as much as the input.
+    Spark removes the shuffle files of the write at its end, so the disk holds those of one step at a time.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{next(_counter)}-{name}"
-    if clean:
-        _collect_garbage(spark)
-    df.write.mode("overwrite").parquet(path)
-    del df
-    if clean:
-        _collect_garbage(spark)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that `materialize` wrote and that nothing reads any more."""
+    for table in tables:
+        place = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -210,14 +216,14 @@ def local_roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         root = after
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node that links reach.
 
     Alternating large-star and small-star steps, each a partial-aggregated minimum and a join that the adaptive
-    engine can split; lineage is cut after every round. Nodes are longs without null.
+    engine can split; lineage is cut after every round, until no edge changes. Nodes are longs without null.
     """
     edges = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.selectExpr("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
         large = both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b").distinct()
@@ -225,12 +231,9 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         small = large.join(least, "a")
         small = small.where("b <> m").selectExpr("b AS a", "m AS b").union(least.selectExpr("a", "m")).distinct()
         after = materialize(small, "edges")
-        n, stars = after.agg(F.count("*"), F.count_distinct("a")).first()
-        roots = after.select(F.col("b").alias("a")).distinct()
-        if n == stars and after.join(roots, "a", "left_semi").limit(1).count() == 0:
-            edges = after
-            break
+        release(edges)
         edges = after
-    else:
-        raise RuntimeError("components did not converge")
-    return edges.selectExpr("a AS node", "b AS root").union(edges.selectExpr("b", "b").distinct())
+        n, stars = edges.agg(F.count("*"), F.count_distinct("a")).first()
+        roots = edges.select(F.col("b").alias("a")).distinct()
+        if n == stars and edges.join(roots, "a", "left_semi").limit(1).count() == 0:
+            return edges.selectExpr("a AS node", "b AS root").union(edges.selectExpr("b", "b").distinct())

@@ -3,23 +3,24 @@
 Documents are sets of word shingles; two link when their Jaccard similarity is at least num / den. The join is exact:
 
 1. Equal sets are one set. Every set emits its first tokens in hash order, so many that linked sets share several of
-   them; tokens of a single set are dropped, and sets with too few shared tokens left can't link with anything.
-2. Of the sets left, all tokens are counted: one that shares less than num / den of its tokens with the others is
-   dropped as well. What remains are families of similar documents, whatever passages others share.
-3. Similar sets are put together (by their least token by several hashes) in chunks and compared within a chunk. The
-   links found make components; those of a lower similarity, LOOSE, make families.
-4. Families are dealt in blocks of similar sets. The token-group matrix holds the union of tokens of each block,
+   them. Tokens that only one set emits are dropped; sets with too few tokens left can't link with anything.
+2. Sets are partitioned into groups by their least shared token, which similar sets have in common most likely, and
+   large groups into blocks of CHUNK sets, with some members of the group in all of its blocks.
+3. Blocks are opened for their own members first. The links found make components; those of a lower similarity, LOOSE,
+   make families. Sets that share too few tokens with other components are done.
+4. The families of the rest are dealt in blocks. The token-group matrix holds the union of tokens of each block,
    restricted to each set's rarest tokens that suffice to meet every partner. Tokens that lie in one component only
    are struck out. A set queries the blocks that hold one of its tokens from another component; a block is opened if
    the query's overlap with the block's token union reaches the bound, and its members are then compared exactly.
 
 No list of pairs leaves a task: links are reduced to each member's least linked member. Sets are known by a 64-bit
-hash of their tokens, tokens by 64-bit hashes.
+hash of their tokens, tokens by 64-bit hashes. Tokens that a sample finds in many sets are shared for certain: they
+are dealt by set, so that no task gets all sets of one token.
 
 Defined cases: a null, empty or blank text has no set and links with nothing; shorter texts than a shingle are one
 shingle; null doc_ids take part, but a component takes its id from ids that aren't null (it has none if all are);
 repeated rows link as equal texts do, and different texts under one doc_id are sets of their own; an empty table gives
-no rows; other columns are ignored by `join` and kept by `keep_one`.
+no rows; other columns, whatever their names, are ignored by `join` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, components, gram_hashes, local_roots, materialize, mix, over_groups, slices, string_parts
+from .common import WORD, Words, components, gram_hashes, local_roots, materialize, mix, over_groups, release, slices, string_parts
 
-CHUNK, FREQUENT = 256, 256
-#: Rounds of local comparison at most; they end when one leaves more than SETTLED of the components.
-ROUNDS, SETTLED = 4, 0.95
+#: Sets of one block, and members of a group that all of its blocks have.
+CHUNK, PIVOTS = 128, 8
 #: Similarity, in percent, from which sets are of one family.
 LOOSE = 50
+#: Texts that are sampled for tokens of many sets, sets of the sample that make a token one, and such tokens at most:
+#: they decide where rows are dealt to, not what is found.
+SAMPLED, OFTEN, MOST_OFTEN = 20_000, 20, 100_000
 
 
 def _least(n, num: int, den: int):
@@ -142,19 +145,19 @@ def _grown(known: DataFrame, edges: DataFrame) -> DataFrame:
     return known.join(roots, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "comp")).drop("node", "root")
 
 
-def _key(tokens, seed: int):
-    """The least token by a hash: equal for similar sets, most likely."""
-    return F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(seed))))
+def _own_blocks(sets: DataFrame) -> DataFrame:
+    """The sets (f, tokens, key, size: sets of that key) in the blocks of their group."""
+    chunks = F.expr(f"(size + {CHUNK - 1}) DIV {CHUNK}")
+    own = F.pmod(F.xxhash64("f", F.lit("block")), chunks)
+    everywhere = (chunks > 1) & (F.pmod(F.xxhash64("f", F.lit("pivot")), F.expr(f"greatest(1, size DIV {PIVOTS})")) == 0)
+    chunk = F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(own)))
+    dealt = sets.where("size > 1").select("f", F.col("f").alias("comp"), "key", chunk.alias("chunk"), "tokens")
+    return dealt.select("f", "comp", F.xxhash64("key", "chunk").alias("meet"), F.lit(False).alias("query"), "tokens")
 
 
-def _local_round(known: DataFrame, sets: DataFrame, seed: int, num: int, den: int) -> DataFrame:
-    """Links within chunks of the sets with the same key token; groups of one component are left out."""
-    keyed = known.withColumn("key", F.col("keys")[seed])
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    chunk = F.pmod(F.xxhash64("f", F.lit(seed)), F.expr(f"(size + {CHUNK - 1}) DIV {CHUNK}"))
-    placed = keyed.join(sizes, "key").select("f", "comp", F.xxhash64("key", chunk).alias("meet"), F.lit(False).alias("query"))
-    rows = placed.join(sets, "f").repartition("meet")
-    return over_groups(rows, "meet", _linked(num, den), "a long, b long, strict boolean", 2_000)
+def _opened(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between what meets in a block: a, b, strict (or of one family)."""
+    return over_groups(rows.repartition("meet"), "meet", _linked(num, den), "a long, b long, strict boolean", 2_000)
 
 
 def _matrix_round(known: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -163,9 +166,9 @@ def _matrix_round(known: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     block = F.xxhash64("kin", F.pmod(F.xxhash64("f", F.lit("block")), F.expr(f"(size + {CHUNK - 1}) DIV {CHUNK}")))
     placed = materialize(known.join(sizes, "kin").select("f", "comp", "probe", block.alias("block")), "blocks")
     tokens = placed.select("f", "comp", "block", F.explode("probe").alias("t"))
-    matrix = materialize(tokens.groupBy("t", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "matrix")
-    shared = matrix.groupBy("t").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("t")
-    matrix = matrix.join(shared, "t", "left_semi").withColumnRenamed("block", "asked")
+    matrix_ = materialize(tokens.groupBy("t", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "matrix")
+    shared = matrix_.groupBy("t").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("t")
+    matrix = matrix_.join(shared, "t", "left_semi").withColumnRenamed("block", "asked")
     asked = tokens.join(matrix, "t").where("block <= asked AND (low <> comp OR high <> comp)")
     asked = asked.select("f", "comp", F.col("asked").alias("block")).distinct()
     asked = materialize(asked, "asked")
@@ -173,38 +176,41 @@ def _matrix_round(known: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     query = asked.join(share, "block").select("f", "comp", F.xxhash64("block", F.pmod(F.xxhash64("f", F.lit("share")), "shares")).alias("meet"), F.lit(True).alias("query"))
     member = placed.join(share, "block").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
     member = member.select("f", "comp", F.xxhash64("block", "share").alias("meet"), F.lit(False).alias("query"))
-    rows = query.union(member).join(sets, "f").repartition("meet")
-    return over_groups(rows, "meet", _linked(num, den), "a long, b long, strict boolean", 2_000)
+    edges = materialize(_opened(query.union(member).join(sets, "f"), num, den), "links")
+    release(placed, matrix_, asked)
+    return edges
 
 
-def _text_hash():
-    return F.xxhash64("text")
+def _text_hash(text="text"):
+    return F.xxhash64(text)
 
 
-def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles and set f of every row; and for each set (of) its first row and that of its component.
+def _id(doc_id="doc_id"):
+    """doc_id as a text that null ids have too."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
 
-    A row is known by (none, doc_id, hash): whether its id is null, its id, and the hash of its text. The first has the
-    least id that isn't null, if there is one.
-    """
-    base = docs.select("doc_id", "text", _text_hash().alias("hash"))
 
-    def measured(batches):
+def _measured(k: int):
+    def step(batches):
         for batch in batches:
             n, f, has = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
             for r, tokens in _sets(batch, k):
                 n[r], f[r], has[r] = len(tokens), _name(tokens), True
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("hash"), pa.array(n), pa.array(f, mask=~has)], ["doc_id", "hash", "n_shingles", "f"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(n), pa.array(f, mask=~has)], ["doc_id", "hash", "n_shingles", "f"])
+
+    return step
+
 
-    def first_tokens(batches):
+def _first_tokens(k: int, num: int, den: int, often: np.ndarray):
+    """The first tokens of each set: dealt by the token, and the set beside it; those in `often` the other way round."""
+
+    def step(batches):
         seen: set[int] = set()
         for batch in batches:
             out_t, out_f = [], []
             for _, tokens in _sets(batch, k):
                 f = _name(tokens)
-                if f in seen:
+                if f in seen:  # a map-side combine
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
@@ -213,76 +219,109 @@ def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
                 out_t.append(t)
                 out_f.append(np.full(len(t), f))
             if out_t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_f))], ["t", "f"])
+                t, f = np.concatenate(out_t).view(np.int64), np.concatenate(out_f)
+                known = np.isin(t, often) if len(often) else np.zeros(len(t), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(known, f, t)), pa.array(np.where(known, t, f)), pa.array(known)], ["d", "x", "often"])
+
+    return step
+
+
+def _shared(table: pa.Table) -> pa.RecordBatch | None:
+    """Of whole groups of first tokens, the distinct (f, t) whose token several sets have."""
+    d, x, often = (table.column(c).to_numpy() for c in ("d", "x", "often"))
+    order = np.lexsort((x, d, often))
+    d, x, often = d[order], x[order], often[order]
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (often[1:] != often[:-1])))
+    d, x, often = d[new], x[new], often[new]
+    same = (d[1:] == d[:-1]) & ~often[1:] & ~often[:-1]
+    keep = often | np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    if not keep.any():
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(np.where(often, d, x)[keep]), pa.array(np.where(often, x, d)[keep])], ["f", "t"])
 
-    def whole_sets(batches):
+
+def _whole_sets(k: int):
+    def step(batches):
+        seen: set[int] = set()  # repeated rows stand together
         for batch in batches:
-            wanted = batch.column("f").to_numpy()
-            out_f, out_t = [], []
+            rows, cuts, out = [], [0], []
+            f = batch.column("f").to_numpy()
             for r, tokens in _sets(batch, k):
-                if _name(tokens) == wanted[r]:
-                    out_f.append(wanted[r])
-                    out_t.append(tokens.view(np.int64))
-            if out_f:
-                cut = np.concatenate(([0], np.cumsum([len(t) for t in out_t])))
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(out_t)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(out_f)), lists], ["f", "tokens"])
-
-    rows = materialize(base.mapInArrow(measured, "doc_id long, hash long, n_shingles long, f long"), "measured")
+                if f[r] in seen:
+                    continue
+                seen.add(int(f[r]))
+                rows.append(r)
+                cuts.append(cuts[-1] + len(tokens))
+                out.append(tokens.view(np.int64))
+            if rows:
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(out)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("f", "key", "size")), lists], ["f", "key", "size", "tokens"])
+
+    return step
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and set f of every row; and for each set (of) its first row and that of its component.
+
+    A row is known by (none, doc_id, hash): whether its id is null, its id, and the hash of its text. The first has the
+    least id that isn't null, if there is one.
+    """
+    base = docs.select("doc_id", "text", _text_hash().alias("hash"))
+    rows = materialize(base.mapInArrow(_measured(k), "doc_id long, hash long, n_shingles long, f long"), "measured")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     each = materialize(rows.where("f IS NOT NULL").groupBy("f").agg(F.max("n_shingles").alias("n"), F.min(row).alias("row")), "sets")
 
-    # 1: tokens in hash order
-    emitted = base.select("text").mapInArrow(first_tokens, "t long, f long")
-    often = emitted.groupBy("t").agg(F.min("f").alias("low"), F.max("f").alias("high")).where("low <> high").select("t")
-    often = materialize(often, "often", clean=True)
+    # 1: first tokens in hash order
+    schema = "d long, x long, often boolean"
+    part = min(1 << 20, (SAMPLED << 20) // max(1, rows.count()))
+    sampled = base.where(F.pmod("hash", F.lit(1 << 20)) < part).select("text").mapInArrow(_first_tokens(k, num, den, np.zeros(0, np.int64)), schema)
+    often = sampled.groupBy("d").agg(F.count_distinct("x").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "d").limit(MOST_OFTEN)
+    often = np.sort(np.array([r["d"] for r in often.select("d").collect()], np.int64))  # at most MOST_OFTEN
+    emitted = base.select("text").mapInArrow(_first_tokens(k, num, den, often), schema)
+    pairs = materialize(over_groups(emitted.repartition("d"), "d", _shared, "f long, t long", 200_000), "pairs")
     smallest = F.expr(f"(n * {num} + {den - 1}) DIV {den}")  # the smallest partner
     slack = F.expr(f"small - (small * {num} + {den - 1}) DIV {den}")
-    held = emitted.join(often, "t", "left_semi").groupBy("f").agg(F.size(F.collect_set("t")).alias("held"))
-    left = held.join(each, "f").withColumn("small", smallest).where(F.col("held") >= F.floor(slack / 2) + 1)
-    left = materialize(left.select("f", "n", "row"), "left", clean=True)
-    del emitted, often, held
-
-    # 2: all tokens of the sets left
-    wanted = left.select(F.col("row.doc_id").alias("id_"), F.col("row.hash").alias("hash_"), "f")
-    # copies without an id are one text each; the hash deals them over the tasks
-    single = base.where("doc_id IS NOT NULL").union(base.where("doc_id IS NULL").dropDuplicates(["hash"]))
-    texts = single.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")))
-    sets = texts.select("f", "text").mapInArrow(whole_sets, "f long, tokens array<long>").dropDuplicates(["f"])
-    sets = materialize(sets, "tokens", clean=True)
-    tokens = sets.select("f", F.explode("tokens").alias("t"))
-    counts = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(counts, "t").groupBy("f").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("shared"))
+    held = pairs.groupBy("f").agg(F.count("*").alias("held"), F.min("t").alias("key"))
+    left = held.join(each, "f").withColumn("small", smallest).withColumn("least", F.floor(slack / 2) + 1).where("held >= least")
+    left = materialize(left.select("f", "n", "row", "key", "least"), "left")
+
+    # 2: groups of sets with the same least shared token
+    sizes = left.groupBy("key").agg(F.count("*").alias("size"))
+    wanted = left.join(sizes, "key").select(_id("row.doc_id").alias("id"), F.col("row.hash").alias("hash"), F.col("row.none").alias("none"), "f", "key", "size")
+    texts = base.select(_id().alias("id"), "hash", F.col("doc_id").isNull().alias("none"), "text").join(wanted, ["id", "hash", "none"])
+    texts = texts.select("f", "key", "size", "text").mapInArrow(_whole_sets(k), "f long, key long, size long, tokens array<long>")
+    sets = materialize(texts, "tokens")
+
+    # 3: every block is opened for its own members
+    edges = materialize(_opened(_own_blocks(sets), num, den), "links")
+    known = left.select("f", F.col("f").alias("comp"), "least")
+    roots = components(edges.where("strict").select("a", "b")).select(F.col("node").alias("f"), "root")
+    known = materialize(known.join(roots, "f", "left").select("f", F.coalesce("root", "f").alias("comp"), "least"), "known")
+    across = pairs.join(known, "f").groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("t")
+    rest = pairs.join(across, "t", "left_semi").groupBy("f").agg(F.count("*").alias("held")).join(known, "f").where("held >= least")
+    rest = materialize(rest.select("f", "comp"), "rest")
+    families = materialize(sets.select("f", "tokens").join(rest, "f"), "families")
+
+    # 4: all tokens of the sets left; those of one component don't count
+    tokens = families.select("f", "comp", F.explode("tokens").alias("t"))
+    counts = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("t", "df")
+    shared = tokens.join(counts, "t").groupBy("f").agg(F.sort_array(F.collect_set(F.struct("df", "t"))).alias("shared"))
     need = F.expr(f"(n * {num} + {den - 1}) DIV {den}")
-    known = shared.join(left.select("f", "n"), "f").where(F.size("shared") >= need)
     # rarest first: with all but need - 1 of its shared tokens a set meets every partner
-    probe = F.slice("shared", F.lit(1), (F.size("shared") - need + 1).cast("int"))
-    rare = F.filter("shared", lambda x: x["df"] <= FREQUENT)
-    rare = F.when(F.size(rare) > 0, rare).otherwise(F.col("shared"))
-    keys = F.array(*[_key(rare["t"] if seed == 0 else F.col("shared")["t"], seed) for seed in range(ROUNDS)])
-    known = known.select("f", F.col("f").alias("comp"), probe["t"].alias("probe"), keys.alias("keys"))
-    known = materialize(known, "known", clean=True)
-    sets = materialize(sets.join(known.select("f"), "f", "left_semi"), "families", clean=True)
-
-    # 3 and 4
-    parts, kin = known.count(), None
-    for seed in range(ROUNDS):
-        edges = materialize(_local_round(known, sets, seed, num, den), "links", clean=True)
-        known = materialize(_grown(known, edges.where("strict")), "known", clean=True)
-        kin = edges if kin is None else kin.union(edges)
-        before, parts = parts, known.select("comp").distinct().count()
-        if parts > SETTLED * before:
-            break  # what is left to be joined, the matrix finds
-    family = components(kin.select("a", "b")).select(F.col("node").alias("f_"), F.col("root").alias("kin"))
-    known = known.join(family, F.col("f") == F.col("f_"), "left").select("f", "comp", "probe", F.coalesce("kin", "f").alias("kin"))
-    known = materialize(known, "known", clean=True)
-    edges = materialize(_matrix_round(known, sets, num, den), "links", clean=True)
-    known = _grown(known.select("f", "comp"), edges.where("strict"))
-    roots = known.join(each.select("f", "row"), "f")
-    least = roots.groupBy("comp").agg(F.min("row").alias("first"))
-    named = roots.select("f", "comp").join(least, "comp").select(F.col("f").alias("f_"), "first")
+    probe = F.slice("shared", F.lit(1), (F.size("shared") - need + 1).cast("int"))["t"]
+    kin = components(edges.select("a", "b")).select(F.col("node").alias("f"), F.col("root").alias("kin"))
+    probed = shared.join(left.select("f", "n"), "f").where(F.size("shared") >= need).select("f", probe.alias("probe"))
+    probed = probed.join(rest, "f").join(kin, "f", "left").select("f", "comp", "probe", F.coalesce("kin", "f").alias("kin"))
+    probed = materialize(probed, "probed")
+    more = _matrix_round(probed, families.select("f", "tokens"), num, den)
+    known = _grown(known.select("f", "comp"), more.where("strict"))
+    of_sets = known.join(each.select("f", "row"), "f")
+    least = of_sets.groupBy("comp").agg(F.min("row").alias("first"))
+    named = of_sets.select("f", "comp").join(least, "comp").select(F.col("f").alias("f_"), "first")
     named = each.join(named, F.col("f") == F.col("f_"), "left").select(F.col("f").alias("of"), "row", F.coalesce("first", "row").alias("first"))
-    return rows, materialize(named, "components", clean=True)
+    named = materialize(named, "components")
+    release(each, pairs, left, sets, edges, rest, families, probed, more)
+    return rows, named
 
 
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -294,12 +333,15 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component, once: the one whose doc_id names it, or if no id does, the one with
-    the least text hash. Of texts without words, which link with nothing, one of each doc_id stays, and each without."""
+    the least text hash. Of texts without words, which link with nothing, one of each doc_id stays, and each without.
+    Of rows equal in id and text the one with the least hash of all its columns stays."""
     rows, named = _joined(docs, k, num, den)
-    one = named.where("row <=> first").select(F.col("row.doc_id").alias("id_"), F.col("row.hash").alias("hash_"))
-    blank = rows.where("f IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("hash"))
-    one = materialize(one.union(blank), "kept", clean=True)
-    known = docs.withColumn("text_hash_", _text_hash())
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash_") == F.col("hash_"))
-    kept = known.join(one, same, "left_semi").dropDuplicates(["doc_id", "text_hash_"]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
+    one = named.where("row <=> first").select("row.none", _id("row.doc_id").alias("id"), F.col("row.hash").alias("hash"))
+    blank = rows.where("f IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    one = materialize(one.union(blank.select(F.lit(False), _id(), "hash")), "kept")
+    packed = docs.select(F.struct("*").alias("row"))  # whatever other columns are called, they don't clash
+    keys = ["none", "id", "hash"]
+    packed = packed.select("row", F.col("row.doc_id").isNull().alias("none"), _id("row.doc_id").alias("id"), _text_hash("row.text").alias("hash"))
+    first = packed.join(one, keys, "left_semi").groupBy(*keys).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    worded = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    return first.select("row").union(packed.where(F.col("none") & ~worded).select("row")).select("row.*")

@@ -112,7 +112,7 @@ def _base(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if not repeated:
         return rows.withColumn("sub", F.lit(0).cast("long")), None
     rows = rows.withColumn("sub", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return materialize(rows.dropDuplicates(["doc", "sub"]), "documents", clean=True), rows.select("doc_id", "doc", "sub")
+    return materialize(rows.dropDuplicates(["doc", "sub"]), "documents"), rows.select("doc_id", "doc", "sub")
 
 
 def _anchors(batches):
@@ -255,12 +255,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     often = anchors.groupBy("h").count().where("count > 1").select(F.col("h"), (F.col("count") > GROUP).alias("hot"))
     place = F.struct(F.col("at").alias("pos"), "hot")
     wanted = anchors.join(often, "h").groupBy("doc", "sub").agg(F.collect_list(place).alias("anchors"))
-    wanted = materialize(wanted, "anchors", clean=True)
+    wanted = materialize(wanted, "anchors")
     del anchors, often
     suffixes = base.select("doc", "sub", "text").join(wanted, ["doc", "sub"]).mapInArrow(
         _suffixes, "h long, second long, doc long, sub long, at long, before int, context binary"
     )
-    suffixes = materialize(suffixes, "suffixes", clean=True)
+    suffixes = materialize(suffixes, "suffixes")
     short = suffixes.where("context IS NOT NULL").select("h", "doc", "sub", "at", "before", "context").repartition("h")
     marks = over_groups(short, "h", tree, "doc long, sub long, at long, mask int", 20_000)
     whole = suffixes.where("context IS NULL").select("h", "second", "doc", "sub", "at", "before")
@@ -271,7 +271,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     marks = marks.groupBy("doc", "sub").agg(
         F.collect_list(F.struct(F.col("at").alias("pos"), "mask")).alias("marks")
     )
-    marks = materialize(marks, "marks", clean=True)
+    marks = materialize(marks, "marks")
     out = base.join(marks, ["doc", "sub"], "left").select("doc_id", "doc", "sub", "text", F.coalesce("marks", F.expr("CAST(array() AS array<struct<pos: long, mask: int>>)")).alias("marks"))
     out = out.mapInArrow(_kept, "doc_id long, doc long, sub long, n_words long, n_removed long, kept_sha256 string")
     if repeats is not None:

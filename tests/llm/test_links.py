@@ -53,10 +53,11 @@ def families(seed, n=40):
 
 
 @pytest.mark.parametrize("k, num, den", [(4, 85, 100), (5, 80, 100)])
-@pytest.mark.parametrize("chunk", [4, 256])
-def test_join_against_brute_force(docs, monkeypatch, k, num, den, chunk):
+@pytest.mark.parametrize("chunk, pivots, often", [(4, 2, 3), (2, 10**9, 10**9), (128, 8, 20)])
+def test_join_against_brute_force(docs, monkeypatch, k, num, den, chunk, pivots, often):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
-    monkeypatch.setattr(jaccard, "ROUNDS", 1 if chunk == 4 else 4)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "OFTEN", often)
     rows = families(k)
     rows += [(900, None), (901, ""), (902, " \n"), (903, "one"), (904, "ONE"), (905, "one two three"), (906, "é É"), (907, rows[0][1]), (908, "x " * 20_000)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(*rows), k, num, den).collect()}
@@ -70,6 +71,30 @@ def test_join_odd_tables(docs):
     assert jaccard.join(docs(*rows).limit(0)).count() == 0
 
 
+def test_one_family_in_many_blocks_and_a_passage_in_all(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    rng = random.Random(5)
+    passage = [f"p{j}" for j in range(60)]
+    base = [f"w{j}" for j in range(120)]
+    rows = [(i, " ".join(f"v{i}x" if j == rng.randrange(120) else w for j, w in enumerate(base))) for i in range(90)]
+    rows += [(i, " ".join(passage + [f"o{i}t{j}" for j in range(rng.randint(8, 14))])) for i in range(100, 160)]
+    rows += [(i, " ".join(passage)) for i in range(160, 163)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(*rows)).collect()}
+    assert got == brute_join(rows, 4, 85, 100)
+
+
+def test_keep_one_with_clashing_columns(docs):
+    from pyspark.sql import functions as F
+
+    rows = families(3, 6)
+    names = ["id_", "hash_", "text_hash_", "f", "f_", "hash", "row", "none", "id", "doc", "of", "first", "meet"]
+    frame = docs(*rows, rows[0]).withColumns({n: F.lit("x") for n in names})
+    out = jaccard.keep_one(frame)
+    assert out.columns == frame.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted({r for _, r in brute_join(rows, 5, 80, 100).values()})
+    assert jaccard.join(frame).count() == len(rows) + 1
+
+
 def test_keep_one(docs):
     rows = families(7, 12)
     frame = docs(*rows, rows[0], (None, "no id"), (800, None))
