@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: list[str] = []
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, which all executors share, or in a temporary folder where that is unset."""
+    """A new path in spark.checkpoint.dir, which all executors share. Where that is unset, in a temporary folder, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-"))
         base = _own[0]
