@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, lattice, media, mixing, pieces, quality, secrets, sharding, substrings, toxicity
-from .common import read, shared_dir
+from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,15 +54,19 @@ def op8_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
-
+    """The documents come in two increments, whose blobs one ledger takes up: the second scans what the first had not."""
+    docs, path = read(spark, sf_dir, "documents"), secrets.new_ledger(spark)
+    for part in secrets.increments(docs):
+        secrets.record(part, path)
+    out = secrets.findings(docs, path)
 
     def count(kind: str):
         return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    base = F.filter("findings", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
+    counts = [count(kind) for kind in secrets.BASE_KINDS]
     return out.select(
-        "doc_id", *counts, F.sha2(secrets.spans(F.col("findings")), 256).alias("base_sha256"), secrets.spans(F.col("findings")).alias("spans"),
+        "doc_id", *counts, F.sha2(secrets.spans(base), 256).alias("base_sha256"), secrets.spans(F.col("findings")).alias("spans"),
         F.lower(F.hex("blob")).alias("blob"),
     )
 
@@ -118,6 +121,36 @@ FROM ranked
 """
 
 
+LEDGER_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents
+), rules(place, kind, pattern, part, least) AS (
+  VALUES
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
+  (1, 'access', '(AKIA[A-Z0-9]+)', 1, 16),
+  (2, 'hex', '([0-9a-f]{32,})', 1, 32),
+  (3, 'private', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1, 1),
+  (4, 'bearer', '([Bb]earer\x20+[A-Za-z0-9._~+/=-]{20,})', 1, 1),
+  (5, 'github', '(gh[pousr]_[A-Za-z0-9]{36,})', 1, 1)
+), matched AS (
+  SELECT n, place, kind, least, regexp_extract_all(text, pattern, 0) AS m, regexp_extract_all(text, pattern, part) AS p, string_split_regex(text, pattern) AS gaps
+  FROM d, rules WHERE regexp_matches(text, pattern)
+), spans AS (
+  SELECT n, place, kind, len(m[i]) AS size, len(p[i]) >= least AS ok,
+         list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: len(g))), 0) AS start
+  FROM matched, unnest(range(1, len(m) + 1)) AS t(i)
+), named AS (
+  SELECT n, place, kind, start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM spans WHERE ok
+), per AS (
+  SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY start, place) FILTER (place < 3) AS base, string_agg(span, ',' ORDER BY start, place) AS spans
+  FROM named GROUP BY n
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob
+FROM d LEFT JOIN per USING (n)
+"""
+
 _REACH = """
 edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(node, root) AS (SELECT node, node FROM nodes UNION SELECT edges.y, reach.root FROM reach JOIN edges ON edges.x = reach.node),
@@ -172,5 +205,5 @@ SELECT node AS vec_id, (SELECT count(*) FROM edges WHERE x = node) AS n_links, c
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_suffix_tree_dedup": SUBSTRINGS_SQL, "op6_token_group_join": JACCARD_SQL, "op8_lattice_near_dedup": LATTICE_SQL, "op10_source_mixing": MIXING_SQL,
+        "op4_suffix_tree_dedup": SUBSTRINGS_SQL, "op6_token_group_join": JACCARD_SQL, "op8_lattice_near_dedup": LATTICE_SQL, "op9_blob_ledger": LEDGER_SQL, "op10_source_mixing": MIXING_SQL,
     }

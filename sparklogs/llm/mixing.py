@@ -8,7 +8,9 @@ however large the source and however many rows share a doc_id.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own, last in
 order; a null doc_id counts as the empty text for the key; repeated rows are documents each, of which as many are
-taken as the budget holds; without words in the whole table every target is 0; other columns are ignored by `plan` and kept by `apply`.
+taken as the budget holds; without words in the whole table every target is 0; other columns, whatever their names, are
+ignored by `plan` and kept by `apply`. The windows over sources hold one row per source: meant for up to some
+hundred thousand sources, not for a source per web host.
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ def _digest(seed: str):
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
 
 
-def _size():
-    return F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0))
+def _size(text: str = "text"):
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0))
 
 
-def _text_hash():
+def _text_hash(text: str = "text"):
     """63 bits of the text."""
-    return F.shiftrightunsigned(F.xxhash64("text"), 1)
+    return F.shiftrightunsigned(F.xxhash64(text), 1)
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
@@ -154,12 +156,14 @@ def plan(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
 def apply(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
     """The documents of the mix: each as often as the mix begins it, uncut; those it never takes are gone."""
     _, ends = cuts(docs, seed, weights, share, most)
-    worded = docs.where(F.col("text").rlike(WORD))
-    apart, equal = _placed(worded, ends, _digest(seed), _size(), _text_hash())
+    # whatever other columns are called, they don't clash
+    packed = docs.select(F.struct("*").alias("row")).where(F.col("row.text").rlike(WORD))
+    packed = packed.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"))
+    apart, equal = _placed(packed, ends, _digest(seed), _size("row.text"), _text_hash("row.text"))
 
     def copied(rows: DataFrame, begun) -> DataFrame:
         copies = (F.col("whole_") + begun.cast("int")).cast("int")
         rows = rows.withColumn("copies_", copies).where("copies_ > 0")
-        return rows.withColumn("epoch_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+        return rows.withColumn("epoch_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select("row.*")
 
     return copied(apart, F.col("first_")).union(copied(equal, F.col("left_") > F.col("rank_") * F.col("size_")))

@@ -1,51 +1,77 @@
-"""Secret scans over a ledger of content-addressed blobs.
+"""Secret scans over an incremental ledger of content-addressed blobs.
 
-Every version of every document is a path to a blob, the SHA-256 of its text. The ledger holds one row per blob and
-rule version that has been scanned, with what was found. A scan reduces all rows to their blobs (a partial
-aggregate, so a text with a third of all rows is one row per task), leaves out what the ledger knows, reads one
-document per unseen blob, scans it once, adds it to the ledger, and joins the findings back to all rows.
+Every version of every document is a path to a blob, the SHA-256 of its text. The ledger holds what was found in each
+blob under each rule version. `record` reduces the rows of an increment to their blobs (a partial aggregate, so a text
+with a third of all rows is one row per task), leaves out the pairs of blob and rule version that the ledger knows,
+reads one document per unseen blob, scans it once and adds it. `findings` joins the ledger back to all paths.
+
+Two writers may add a blob both; it is read once, as equal blobs have equal findings.
 
 Defined cases: a null text is the empty blob; null ids and repeated rows are rows each, with the findings of their
-blob; an empty table gives no rows; other columns are ignored by `scan` and kept by `redact`.
+blob; an empty table gives no rows; other columns, whatever their names, are ignored by `scan` and kept by `redact`.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shared_dir
 
 #: A rule: kind, pattern, group that must be long enough, least length. The order is the order of kinds.
-RULES = (
+BASE_RULES = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),
 )
-RULE_VERSION = 1
+#: What the second rule version finds besides: headers of private keys, bearer tokens, prefixed personal tokens.
+MORE_RULES = (
+    ("private", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1),
+    ("bearer", re.compile(r"[Bb]earer\x20+[A-Za-z0-9._~+/=-]{20,}"), 0, 1),
+    ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), 0, 1),
+)
+RULES = {1: BASE_RULES, 2: BASE_RULES + MORE_RULES}
+RULE_VERSION = 2
+BASE_KINDS = tuple(rule[0] for rule in BASE_RULES)
+#: Substrings without which a rule can't match; those of assign in lower case.
+_NEEDS = {"access": ("AKIA",), "private": ("-----BEGIN",), "bearer": ("earer",), "github": ("_",)}
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 FINDINGS = "array<struct<kind: string, start: int, end: int>>"
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
+def find(text: str, rules=RULES[RULE_VERSION]) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by start and then by kind."""
     low = text.encode().lower()
     out = []
-    for place, (kind, pattern, group, least) in enumerate(RULES):
-        if kind == "assign" and not any(w in low for w in _WORDS) or kind == "access" and "AKIA" not in text:
+    for place, (kind, pattern, group, least) in enumerate(rules):
+        if kind == "assign" and not any(w in low for w in _WORDS) or not all(n in text for n in _NEEDS.get(kind, ())):
             continue
         out += [(m.start(), place, kind, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return [(kind, start, end) for start, _, kind, end in sorted(out)]
 
 
-def _scan(batches):
+def _scan(rules):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        found = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t or "")] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(found, kind)], ["blob", "findings"])
+
+    def step(batches):
+        for batch in batches:
+            found = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t or "", rules)] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(found, kind)], ["blob", "findings"])
+
+    return step
+
+
+def _blob(text="text"):
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def new_ledger(spark) -> str:
+    """A path for an empty ledger in the shared folder."""
+    return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
 
 def ledger(spark, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
@@ -55,30 +81,49 @@ def ledger(spark, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], f"blob binary, findings {FINDINGS}")
     rows = spark.read.schema(f"blob binary, findings {FINDINGS}, rule_version int").parquet(path)
-    return rows.where(F.col("rule_version") == rule_version).select("blob", "findings")
+    return rows.where(F.col("rule_version") == rule_version).select("blob", "findings").dropDuplicates(["blob"])
 
 
-def scan(docs: DataFrame, path: str | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """doc_id, blob and findings of every row; unseen blobs are added to the ledger at `path` if one is given."""
-    versions = docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
-    paths = materialize(versions.select("doc_id", "blob"), "paths")
-    one = paths.groupBy("blob").agg(F.min("doc_id").alias("one"))
-    known = ledger(docs.sparkSession, path, rule_version) if path else None
-    if known is not None:
-        one = one.join(known, "blob", "left_anti")
-    one = one.withColumnRenamed("blob", "blob_")
+def record(docs: DataFrame, path: str, rule_version: int = RULE_VERSION, rules=None) -> None:
+    """Scan the blobs of docs (doc_id, text) that the ledger at `path` doesn't know under rule_version, and add them."""
+    rules = RULES[rule_version] if rules is None else rules
+    versions = docs.select("doc_id", "text", _blob().alias("blob"))
+    one = versions.groupBy("blob").agg(F.min("doc_id").alias("one"))
+    one = one.join(ledger(docs.sparkSession, path, rule_version).select("blob"), "blob", "left_anti")
+    one = materialize(one.withColumnRenamed("blob", "blob_"), "unseen")
     texts = versions.join(one, (F.col("blob") == F.col("blob_")) & F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
-    fresh = materialize(texts.select("blob", "text").mapInArrow(_scan, f"blob binary, findings {FINDINGS}"), "fresh")
-    fresh = fresh.groupBy("blob").agg(F.first("findings").alias("findings"))  # repeated rows bring a blob twice
-    if path:
-        fresh.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(path)
-        fresh = ledger(docs.sparkSession, path, rule_version)
+    fresh = texts.select("blob", "text").mapInArrow(_scan(rules), f"blob binary, findings {FINDINGS}")
+    fresh.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(path)
+
+
+def findings(docs: DataFrame, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """doc_id, blob and findings of every row, as far as the ledger knows its blob."""
     # blobs without findings need no row of their own here; few are left, and copies are split by the engine
-    return paths.join(fresh.where(F.size("findings") > 0), "blob", "left").select(
+    found = ledger(docs.sparkSession, path, rule_version).where(F.size("findings") > 0)
+    return docs.select("doc_id", _blob().alias("blob")).join(found, "blob", "left").select(
         "doc_id", "blob", F.coalesce("findings", F.from_json(F.lit("[]"), FINDINGS)).alias("findings")
     )
 
 
+def scan(docs: DataFrame, path: str | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
+    """doc_id, blob and findings of every row; unseen blobs are added to the ledger at `path` (default: a new one)."""
+    path = path or new_ledger(docs.sparkSession)
+    record(docs, path, rule_version)
+    return findings(docs, path, rule_version)
+
+
+def increments(docs: DataFrame, parts: int = 2) -> list[DataFrame]:
+    """docs as they came in: `parts` ranges of doc_id of about equal size, rows without an id in the last."""
+    bounds = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.01)
+    edges = [None, *sorted(set(bounds)), None]
+    out = []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        after = F.lit(True) if low is None else F.coalesce(F.col("doc_id") > low, F.lit(True))
+        until = F.lit(True) if high is None else F.coalesce(F.col("doc_id") <= high, F.lit(False))
+        out.append(docs.where(after & until))
+    return out
+
+
 def spans(findings):
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
@@ -95,10 +140,14 @@ def masked(text: str, found) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every secret that the ledger's scan found replaced by [SECRET], and n_chars as it is then."""
-    held = materialize(scan(docs).where(F.size("findings") > 0).select("doc_id", "blob", "findings"), "findings")
-    held = held.dropDuplicates(["doc_id", "blob"]).select(F.col("doc_id").alias("id_"), F.col("blob").alias("blob_"), F.col("findings").alias("findings_"))
+def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs with every secret that the ledger's scan found replaced by [SECRET], and n_chars as it is then.
+
+    Blobs that the ledger at `path` (default: a new one) knows aren't scanned again.
+    """
+    path = path or new_ledger(docs.sparkSession)
+    record(docs, path)
+    found = ledger(docs.sparkSession, path).where(F.size("findings") > 0)
 
     @F.pandas_udf("string")
     def hide(text, found):
@@ -106,11 +155,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return pd.Series([masked(t, f) if f is not None else t for t, f in zip(text, found, strict=True)])
 
-    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    out = docs.join(held, docs["doc_id"].eqNullSafe(F.col("id_")) & (blob == F.col("blob_")), "left")
-    text = F.when(F.col("findings_").isNotNull(), hide("text", "findings_")).otherwise(docs["text"])
-    new = {"text": text.alias("text")}
+    # whatever other columns are called, they don't clash
+    out = docs.select(F.struct("*").alias("row")).withColumn("blob", _blob("row.text")).join(found, "blob", "left")
+    text = F.when(F.col("findings").isNotNull(), hide("row.text", "findings")).otherwise(F.col("row.text"))
+    out = out.select("row", "findings", text.alias("text"))
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("findings_").isNotNull(), F.length(text).cast("long")).otherwise(docs["n_chars"]).alias("n_chars")
-    return out.select(*[new.get(c, docs[c]) for c in docs.columns])
-
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(F.col("findings").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")

@@ -50,6 +50,9 @@ BASE = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 8),
     ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 16),
     ("hex", r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 32),
+    ("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, bool),
+    ("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/=-]{20,}", 0, bool),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, bool),
 )
 
 
@@ -61,6 +64,7 @@ def brute(text):
 TEXTS = [
     'é token = "' + "a1" * 20 + '" x', "PassWord:short", "PASSWD='longenough1'", "api_key: AKIA" + "Z9" * 8, "AKIA1 AKIA" + "B" * 12, "f" * 31, "0f" * 16 + "G" + "0" * 40,
     "paſſword=12345678", "toKen=12345678", "secret==abcdefgh1", "token=token=abcdefgh", None, "", "plain", "x" * 100_000 + " secret:abcdefgh",
+    "-----BEGIN RSA PRIVATE KEY----- x -----BEGIN KEY-----", "Bearer " + "aZ9." * 6 + " bearer short", "ghp_" + "a1" * 18 + " gh_" + "b" * 40,
 ]
 
 
@@ -81,13 +85,35 @@ def test_ledger_scans_each_blob_once(spark, docs, tmp_path):
     # what the ledger knows isn't scanned again: a planted finding comes back as it is
     again = secrets.scan(docs("plain", "new token=abcdefgh"), path)
     assert again.count() == 2 and secrets.ledger(spark, path).count() == seen.count() + 1
-    assert secrets.ledger(spark, path, rule_version=2).count() == 0
-    secrets.scan(docs("plain"), path, rule_version=2).collect()
-    assert secrets.ledger(spark, path, rule_version=2).count() == 1
+    assert secrets.ledger(spark, path, rule_version=1).count() == 0
+    secrets.scan(docs("plain"), path, rule_version=1).collect()
+    assert secrets.ledger(spark, path, rule_version=1).count() == 1
+
+
+def test_increments_through_one_ledger(spark, docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    frame = docs(*[(i, f"text {i % 7} token=abcdefgh{i % 3}") for i in range(40)], (None, "text 1 token=abcdefgh1"))
+    parts = secrets.increments(frame, 3)
+    assert sum(p.count() for p in parts) == 41 and len(parts) == 3 and [p.where("doc_id IS NULL").count() for p in parts] == [0, 0, 1]
+    added = []
+    for part in parts:
+        before = secrets.ledger(spark, path).count()
+        secrets.record(part, path)
+        added.append(secrets.ledger(spark, path).count() - before)
+    assert sum(added) == 21 and added[0] < 21 and added[2] == 0
+    # a second writer that scanned the same blobs doubles no document
+    spark.read.parquet(path).write.mode("append").partitionBy("rule_version").parquet(path + "x")
+    spark.read.parquet(path).write.mode("append").partitionBy("rule_version").parquet(path + "x")
+    rows = secrets.findings(frame, path + "x").collect()
+    assert len(rows) == 41 and all(len(r.findings) == 1 for r in rows)
+    assert [p.count() for p in secrets.increments(frame.limit(0))] == [0]
 
 
 def test_redaction(docs):
     frame = docs(*TEXTS, (0, "same id, no secret"), (50, TEXTS[0]))
+    from pyspark.sql import functions as F
+
+    frame = frame.withColumns({n: F.lit("x") for n in ("id_", "blob", "blob_", "findings", "findings_", "row", "found")})
     out = secrets.redact(frame)
     assert out.columns == frame.columns and out.count() == frame.count()
     texts = {(r.doc_id, r.text) for r in out.collect()}

@@ -46,6 +46,9 @@ def test_targets_and_prefix_sums(spark, docs):
 
 def test_mix_takes_effect(docs):
     frame = docs(*["word " * 10] * 40, source="a").unionByName(docs(*[(100 + i, "word " * 10) for i in range(40)], source="b"))
+    from pyspark.sql import functions as F
+
+    frame = frame.withColumns({n: F.lit("x") for n in ("id_", "taken_", "size_", "epoch_", "row", "left_", "rank_", "digest", "hash")})
     out = mixing.apply(frame)
     assert out.columns == frame.columns
     words = {r.source: r["count"] * 10 for r in out.groupBy("source").count().collect()}

@@ -66,11 +66,12 @@ def test_names():
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
 
 
-def test_mixing_sql(spark):
+@pytest.mark.parametrize("name", ["op9_blob_ledger", "op10_source_mixing"])
+def test_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.execute(entry.oracle_sql()["op10_source_mixing"]).df()
-    got = entry.queries()["op10_source_mixing"](spark, SF).toPandas()
+    want = con.execute(entry.oracle_sql()[name]).df()
+    got = entry.queries()[name](spark, SF).toPandas()
     show = lambda x: x[sorted(x.columns)].sort_values("doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(show(got), show(want), check_dtype=False)
 
