@@ -1,18 +1,26 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Words are mapped to the symbols insult, threat, target, negation, report and other. Four small transducers read the
-symbols of one clause: insult and threat emit the matched word's weight, target, negation and report carry the
-context in which it was matched. Their product is one table of states; a clause's output is a weight per context.
-A document's score is a logistic function of its clauses' weights by context, so that a negated or reported match
-counts by its own gain and isolated words never score outside of a matched clause.
-
-Learned from labels: the insult lexicon (words and word beginnings of 4 to 6 bytes, kept if a likelihood-ratio test
-over all candidates holds) and the gains, both from a bounded sample of labelled rows. Fixed: the short lists of
-threats, pronouns, negations and speech verbs below.
-
-Defined cases: a null, empty or wordless text has no clause and gets the score of that; without labels the lexicon
-is empty and every score is the prior; repeated rows are scored each; an empty table gives no rows; other columns
-are ignored by `score` and kept by `reject`. Whole texts are read, whatever their length.
+Words are mapped to the symbols insult, threat, target, negation, report and other. Five transducers read the symbols
+of a clause, each from the left and from the right: target, negation and report keep the context that they open, insult
+and threat the match that they wait to join. The composition of those of one direction is one table over the tuples of
+their states; a match emits its word's weight into the context that the two tables' states at its place give:
+
+* an insult: negated, reported, targeted (a target within TARGET_SPAN words on either side), joined (with another
+  insult or threat in the clause) or else lone;
+* a threat: negated, reported or threat, if a target stands within the span on either side or an insult joins it; a
+  threat word alone is none.
+
+A document's score is a logistic function of its matched clauses' weights by context, of which negated, reported and
+lone ones have gains of their own. Of lone matches the heaviest doesn't count: one isolated word scores nothing.
+
+Learned from labels, from a bounded sample of labelled rows: words and word beginnings of 4 to 9 bytes that tell toxic
+texts (those that a likelihood-ratio test over all candidates keeps), the weights of the words listed below, and the
+gains. Fixed: short lists of insults and threats, as a start where there are few labels, and of pronouns, negations
+and speech verbs.
+
+Defined cases: a null, empty or wordless text has no clause and gets the score of that; without labels only the listed
+words count, by the weight START; repeated rows are scored each; an empty table gives no rows; other columns are
+ignored by `score` and kept by `reject`. Whole texts are read, whatever their length.
 """
 
 from __future__ import annotations
@@ -25,30 +33,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, held_out, materialize, mix, slices, string_parts
+from .common import Words, held_out, materialize, mix, release, slices, string_parts
 
-#: Labelled rows that are learned from, at most, and entries of the lexicon, at most.
-SAMPLE_ROWS, LEXICON = 20_000, 5_000
-PREFIXES = (4, 5, 6)
+#: Labelled rows that are learned from, at most; they bound the lexicon too.
+SAMPLE_ROWS = 20_000
+PREFIXES = (4, 5, 6, 7, 8, 9)
 SHINGLE = 4
 THRESHOLD = 0.3
-
-# Closed word classes of the four languages.
-TARGETS = "you your he him she her they them du dich dir ihr ihn sie tu toi vous il elle ils tú te usted él ella ellos".split()
+#: A candidate is kept if its likelihood ratio statistic exceeds BAR x log(candidates), and its log odds ODDS.
+BAR, ODDS = 1.2, 2.5
+#: Weight of a listed word before any label is seen, and how many texts that counts for.
+START, START_TEXTS = 3.0, 3.0
+
+# Common insults and threats, and closed word classes, of the four languages.
+INSULTS = (
+    "idiot moron scum trash worthless clown disgusting stupid loser pathetic imbecile pig filth coward bastard vermin "
+    "dummkopf trottel abschaum widerlich versager feigling schwein drecksack imbécile crétin abruti ordure minable connard lâche "
+    "imbécil estúpido basura asqueroso cobarde cerdo inútil escoria"
+).split()
+THREATS = (
+    "kill hurt destroy beat burn stab shoot strangle die töten umbringen schlagen verletzen vernichten erschießen tuer frapper "
+    "détruire brûler blesser matar golpear destruir quemar herir"
+).split()
+TARGETS = "you your he him she her they them du dich dir ihr ihn sie tu toi te vous il elle ils tú usted él ella ellos".split()
 NEGATIONS = "not no never isn don doesn nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTS = "said says say called wrote quoted claims sagte sagt schrieb dit écrit appelle dijo dice escribió".split()
-THREATS = "kill hurt destroy beat burn die töten schlagen verletzen tuer frapper détruire matar golpear destruir".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-CONTEXTS = ("plain", "targeted", "negated", "reported", "threat")
-#: Gains before any label is seen, and the bias.
-PRIOR = np.array([1.2, 1.4, 0.4, 0.7, 0.6, -3.0])
-#: Words after a negation that it governs, and words around a target that it governs.
+CONTEXTS = ("lone", "joined", "targeted", "negated", "reported", "threat")
+LONE, JOINED, TARGETED, NEGATED, REPORTED, THREATENED = range(6)
+#: Gains before any label is seen: of the contexts, of the logarithm of the clauses (any sign), and the bias.
+PRIOR = np.array([1.2, 1.5, 1.6, 0.4, 0.7, 1.6, 0.0, -3.0])
+#: Words after a negation that it governs, and words on either side of a target that it governs.
 NEGATION_SPAN, TARGET_SPAN = 3, 4
 
 
-def _machine(states: int, symbol: int, span: int | None) -> np.ndarray:
-    """next[state, symbol] of a countdown that `symbol` starts; span None: it holds to the end of the clause."""
+def _machine(symbol: int, span: int | None) -> np.ndarray:
+    """next[state, symbol] of a machine that `symbol` starts: a countdown of span words; span None: to the clause's end."""
+    states = 2 if span is None else span + 1
     table = np.zeros((states, 6), np.int64)
     for s in range(states):
         table[s] = s if span is None else max(0, s - 1)
@@ -65,25 +87,43 @@ def _product(*machines: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
     return table, states
 
 
-_NEXT, _STATES = _product(_machine(NEGATION_SPAN + 1, NEGATION, NEGATION_SPAN), _machine(2, REPORT, None), _machine(TARGET_SPAN + 1, TARGET, TARGET_SPAN))
-#: The context in which a state matches an insult.
-_CONTEXT = np.array([2 if neg else 3 if rep else 1 if tgt else 0 for neg, rep, tgt in _STATES])
-
-
-def clause(symbols, weights) -> np.ndarray:
-    """The weights that the composed transducer emits over one clause, by context."""
-    out = np.zeros(len(CONTEXTS))
-    state, threat = 0, 0.0
-    for a, w in zip(symbols, weights, strict=True):
-        if a == INSULT:
-            out[_CONTEXT[state]] += w
-        elif a == THREAT:
-            threat += w if not _STATES[state][0] else 0.0
-        elif a == TARGET and threat:  # a threat counts once it has met its target
-            out[4] += threat
-            threat = 0.0
-        state = _NEXT[state, a]
-    return out
+_MACHINES = [_machine(INSULT, None), _machine(THREAT, None), _machine(TARGET, TARGET_SPAN), _machine(REPORT, None)]
+_LEFT, _LEFT_STATES = _product(*_MACHINES, _machine(NEGATION, NEGATION_SPAN))
+_RIGHT, _RIGHT_STATES = _product(*_MACHINES)
+
+
+def _context(symbol: int, left: tuple[int, ...], right: tuple[int, ...]) -> int:
+    """The context of a match between two states, -1: none."""
+    insult, threat, target, report = (bool(x or y) for x, y in zip(left, right, strict=False))
+    if symbol == THREAT and not target and not insult:
+        return -1
+    if left[4]:
+        return NEGATED
+    if report:
+        return REPORTED
+    if symbol == THREAT:
+        return THREATENED
+    return TARGETED if target else JOINED if insult or threat else LONE
+
+
+#: context[symbol, left state, right state] of the whole composition.
+_CONTEXT = np.array([[[_context(a, x, y) for y in _RIGHT_STATES] for x in _LEFT_STATES] for a in (INSULT, THREAT)])
+
+
+def clause(symbols, weights) -> tuple[np.ndarray, float]:
+    """The weights that the composed transducer emits over one clause, by context, and the heaviest lone one."""
+    out, most = np.zeros(len(CONTEXTS)), 0.0
+    right, state = [], 0
+    for a in reversed(symbols):
+        right.append(state)
+        state = _RIGHT[state, a]
+    state = 0
+    for a, w, after in zip(symbols, weights, reversed(right), strict=True):
+        if a in (INSULT, THREAT) and (c := _CONTEXT[a - INSULT, state, after]) >= 0:
+            out[c] += w
+            most = max(most, w) if c == LONE else most
+        state = _LEFT[state, a]
+    return out, most
 
 
 _LETTER = np.zeros(256, bool)
@@ -93,12 +133,23 @@ _BREAK[[ord(c) for c in ".!?;\n|"]] = True
 
 
 def _letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with all but letters made spaces, offsets, and the clause number at each byte."""
+    """Bytes with all but letters made spaces, offsets, and the clause number at each byte.
+
+    Not letters either: U+0080 to U+00BF but for ª, µ and º, and general and ideographic punctuation (U+2000 to U+206F,
+    U+3000 to U+303F); an ellipsis ends a clause.
+    """
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offsets[1:])
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    clauses = np.cumsum(_BREAK[raw]) if len(raw) else np.zeros(0, np.int64)
-    return np.where(_LETTER[raw], raw, np.uint8(32)), offsets, clauses
+    letter, end = _LETTER[raw], _BREAK[raw]
+    if len(raw) and raw.max() >= 0xC2:
+        two = np.flatnonzero(raw[:-1] == 0xC2)
+        two = two[~np.isin(raw[two + 1], (0xAA, 0xB5, 0xBA))]
+        letter[two] = letter[two + 1] = False
+        three = np.flatnonzero(((raw[:-2] == 0xE2) & ((raw[1:-1] == 0x80) | (raw[1:-1] == 0x81) & (raw[2:] < 0xB0))) | ((raw[:-2] == 0xE3) & (raw[1:-1] == 0x80)))
+        letter[three] = letter[three + 1] = letter[three + 2] = False
+        end[three] |= (raw[three] == 0xE2) & (raw[three + 1] == 0x80) & (raw[three + 2] == 0xA6)
+    return np.where(letter, raw, np.uint8(32)), offsets, np.cumsum(end)
 
 
 def _features(words: Words, total: np.ndarray | None = None) -> list[np.ndarray]:
@@ -129,7 +180,7 @@ def word_hash(word: str) -> int:
 
 @dataclass
 class Model:
-    """keys (sorted feature hashes), weights, and gains by context with the bias last."""
+    """keys (sorted feature hashes), weights, and gains as in PRIOR."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -148,9 +199,10 @@ def _closed() -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(texts: list[bytes], model: Model) -> np.ndarray:
-    """For each text the logarithm of 1 + the weights of its clauses, by context."""
+    """For each text the logarithm of 1 + the weights of its clauses by context, and that of 1 + its clauses."""
     closed, kinds = _closed()
-    out = np.zeros((len(texts), len(CONTEXTS)))
+    out = np.zeros((len(texts), len(CONTEXTS) + 1))
+    heaviest = np.zeros(len(texts))
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     for i, j in slices(offsets):
         raw, at, clauses = _letters(texts[i:j])
@@ -162,17 +214,19 @@ def contexts(texts: list[bytes], model: Model) -> np.ndarray:
             weight = np.maximum(weight, model.lookup(h))
         place = np.minimum(np.searchsorted(closed, words.hashes), len(closed) - 1)
         symbols = np.where(closed[place] == words.hashes, kinds[place], OTHER)
-        weight = np.where(symbols == THREAT, 3.0, weight)
         symbols = np.where((weight > 0) & (symbols != THREAT), INSULT, symbols)
-        row = words.rows()
-        # clauses with a match only; clause numbers and rows together name a clause
-        name = clauses[words.starts] + row * np.int64(0)
+        row, name = words.rows(), clauses[words.starts]
         edges = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (row[1:] != row[:-1]), [True])))
         which = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        for c in np.unique(which[weight > 0]):
+        out[i:j, -1] += np.bincount(row[edges[:-1]], minlength=j - i)
+        for c in np.unique(which[weight > 0]):  # clauses with a match only
             a, b = edges[c], edges[c + 1]
-            out[i + row[a]] += clause(symbols[a:b], weight[a:b])
-    return np.log1p(out)
+            r = i + row[a]
+            emitted, most = clause(symbols[a:b].tolist(), weight[a:b].tolist())
+            out[r, :-1] += emitted
+            heaviest[r] = max(heaviest[r], most)
+    out[:, LONE] -= heaviest
+    return np.log1p(np.maximum(out, 0))
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
@@ -198,35 +252,25 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = S
                 for a, b in zip(words.first[:-1], words.first[1:], strict=True):
                     own = grams[a : b - SHINGLE + 1] if b - a >= SHINGLE else words.hashes[a:b]
                     least.append(int(own.min() >> np.uint64(1)) if b > a else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), pa.array(least, pa.int64())], ["text", "label", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "label")), pa.array(least, pa.int64())], ["doc_id", "text", "label", "sketch"])
 
     # near copies of one document say the same thing: of those with the same least shingle hash and label one counts
-    rows = rows.select("text", "label").mapInArrow(sketch, "text string, label int, sketch long")
-    rows = materialize(rows.dropDuplicates(["sketch", "label"]), "toxic-distinct")
+    sketched = rows.select("doc_id", "text", "label").mapInArrow(sketch, "doc_id long, text string, label int, sketch long")
+    one = sketched.groupBy("sketch", "label").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text"))
+    distinct = materialize(one.select("text", "label"), "toxic-distinct")
+    release(rows)
+    rows = distinct
 
     def count(batches):
         for batch in batches:
-            label = batch.column("label").to_numpy()
-            texts = _lowered(batch.column("text"))
-            for i, j in slices(np.concatenate(([0], np.cumsum([len(t) for t in texts])))):
-                raw, at, _ = _letters(texts[i:j])
-                words = Words(raw, at)
-                row = words.rows()
-                hashes = np.concatenate(_features(words))
-                row = np.tile(row, 1 + len(PREFIXES))
-                keep = hashes != 0
-                pair = np.unique(np.stack([hashes[keep].view(np.int64), row[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
-                h, back = np.unique(pair[:, 0], return_inverse=True)
-                toxic = label[i:j][pair[:, 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(np.bincount(back, toxic, len(h)).astype(np.int64)), pa.array(np.bincount(back, 1 - toxic, len(h)).astype(np.int64))],
-                    ["h", "pos", "neg"],
-                )
+            for h, pos, neg in counted(_lowered(batch.column("text")), batch.column("label").to_numpy()):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(pos), pa.array(neg)], ["h", "pos", "neg"])
 
     all_pos, all_n = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     all_neg = all_n - all_pos
+    start = _listed()
     if not all_pos or not all_neg:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), PRIOR.copy())
+        return Model(start, np.full(len(start), START), PRIOR.copy())
     seen = rows.select("text", "label").mapInArrow(count, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     seen = materialize(seen.where("pos + neg >= 2"), "toxic-features")
     share = all_pos / all_n
@@ -234,26 +278,52 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = S
     part = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
     odds = F.log((F.col("pos") + 0.5) / (all_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (all_neg + 1.0))
     ratio = 2 * (part(F.col("pos"), F.lit(share)) + part(F.col("neg"), F.lit(1 - share)))
-    bar = 2 * np.log(max(2, seen.count()))
-    kept = seen.withColumn("odds", odds).where((odds > 2.5) & (ratio > bar)).orderBy(ratio.desc(), "h").limit(LEXICON)
-    entries = sorted((int(np.int64(r["h"]).view(np.uint64)), float(r["odds"])) for r in kept.select("h", "odds").collect())  # at most LEXICON rows
-    model = Model(np.array([k for k, _ in entries], np.uint64), np.array([w for _, w in entries]), PRIOR.copy())
+    listed = F.col("h").isin([int(x) for x in start.view(np.int64)])
+    bar = BAR * np.log(max(2, seen.count()))
+    kept = seen.withColumn("odds", odds).withColumn("listed", listed).where(listed | ((odds > ODDS) & (ratio > bar)))
+    kept = kept.select("h", "pos", "neg", "odds", "listed").orderBy("h").toPandas()  # a part of the sample's words
+    release(seen)
+    entries = dict.fromkeys(start.tolist(), START)
+    for h, k, odd, is_listed in zip(kept["h"].to_numpy(np.int64).view(np.uint64).tolist(), kept["pos"] + kept["neg"], kept["odds"], kept["listed"], strict=True):
+        entries[h] = max(0.0, (START * START_TEXTS + odd * k) / (START_TEXTS + k)) if is_listed else odd
+    keys = np.array(sorted(entries), np.uint64)
+    model = Model(keys, np.array([entries[k] for k in keys.tolist()]), PRIOR.copy())
+    names = [*CONTEXTS, "clauses"]
 
     def read_clauses(batches):
         for batch in batches:
             x = contexts(_lowered(batch.column("text")), model)
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(len(CONTEXTS))], batch.column("label")], [*CONTEXTS, "label"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(len(names))], batch.column("label")], [*names, "label"])
 
-    schema = ", ".join(f"{c} double" for c in CONTEXTS) + ", label int"
-    # as many rows of six numbers as the sample has; rounding and a count per kind keep them few
+    schema = ", ".join(f"{c} double" for c in names) + ", label int"
+    # as many rows of numbers as the sample has; rounding and a count per kind keep them few
     kinds = rows.select("text", "label").mapInArrow(read_clauses, schema)
-    kinds = kinds.groupBy(*[F.round(c, 1).alias(c) for c in CONTEXTS], "label").count().orderBy(*CONTEXTS, "label").toPandas()
-    model.gains = _gains(kinds[list(CONTEXTS)].to_numpy(float), kinds["label"].to_numpy(float), kinds["count"].to_numpy(float))
+    kinds = kinds.groupBy(*[F.round(c, 1).alias(c) for c in names], "label").count().orderBy(*names, "label").toPandas()
+    model.gains = _gains(kinds[names].to_numpy(float), kinds["label"].to_numpy(float), kinds["count"].to_numpy(float))
+    release(rows)
     return model
 
 
+def _listed() -> np.ndarray:
+    return np.array(sorted(word_hash(w) for w in (*INSULTS, *THREATS)), np.uint64)
+
+
+def counted(texts: list[bytes], label: np.ndarray):
+    """(feature, texts of label 1 that have it, texts of label 0) of slices of the texts."""
+    for i, j in slices(np.concatenate(([0], np.cumsum([len(t) for t in texts])))):
+        raw, at, _ = _letters(texts[i:j])
+        words = Words(raw, at)
+        hashes = np.concatenate(_features(words))
+        row = np.tile(words.rows(), 1 + len(PREFIXES))
+        keep = hashes != 0
+        pair = np.unique(np.stack([hashes[keep].view(np.int64), row[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
+        h, back = np.unique(pair[:, 0], return_inverse=True)
+        toxic = label[i:j][pair[:, 1]]
+        yield h, np.bincount(back, toxic, len(h)).astype(np.int64), np.bincount(back, 1 - toxic, len(h)).astype(np.int64)
+
+
 def _gains(x: np.ndarray, y: np.ndarray, n: np.ndarray, pull: float = 2.0) -> np.ndarray:
-    """Logistic regression with non-negative gains, pulled to PRIOR; Newton steps on the penalised likelihood."""
+    """Logistic regression, with non-negative gains of the contexts, pulled to PRIOR; Newton steps on the penalised likelihood."""
     x = np.column_stack([x, np.ones(len(x))])
     g = PRIOR.copy()
     for _ in range(60):
@@ -262,7 +332,7 @@ def _gains(x: np.ndarray, y: np.ndarray, n: np.ndarray, pull: float = 2.0) -> np
         curve = (x * (n * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + pull * np.eye(len(g))
         step = np.linalg.solve(curve, slope)
         g = g - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        g[:-1] = np.maximum(g[:-1], 0)
+        g[: len(CONTEXTS)] = np.maximum(g[: len(CONTEXTS)], 0)
     return g
 
 
@@ -272,7 +342,7 @@ def probability(texts: list[bytes], model: Model) -> np.ndarray:
 
 
 def score_column(model: Model):
-    """A column expression of the score of a text; the model (at most LEXICON entries) goes to the tasks with it."""
+    """A column expression of the score of a text; the model, a part of the sample's words, goes to the tasks with it."""
 
     @F.pandas_udf("double")
     def toxicity(text: pd.Series) -> pd.Series:
