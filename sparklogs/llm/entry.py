@@ -19,7 +19,7 @@ def op1_clause_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(read(spark, sf_dir, "documents"))
+    return substrings.dedup(read(spark, sf_dir, "documents")).drop("repeats")
 
 
 def op5_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

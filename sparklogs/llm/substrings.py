@@ -6,13 +6,16 @@ start) is removed, wherever it covers words. The work is that of a generalised s
 1. Suffixes that can't lie below a deep node are left out. A window's anchor is its least 6-word prefix hash; equal
    windows have equal anchors at equal places, so an anchor that occurs once has no repeated window around it.
    Windows repeated within one document are seen there and then.
-2. The suffixes at repeated anchors are grouped by prefix. A prefix of six words is extended to the whole window
-   where its group would be larger than GROUP suffixes: such a group is a single deep node, whose first leaf is a
-   minimum that Spark aggregates before the shuffle.
-3. Each smaller group is sorted by its suffixes' words; neighbours' common prefixes give the internal nodes, and
-   with the words to the left of the anchor, the maximal repeats of WINDOW words and more. All leaves of such a node
-   but the first are marked.
-4. The marks go back to their documents, which drop the words they cover.
+2. The suffixes at repeated anchors are grouped by a prefix of variable length: six words from the anchor on, for the
+   windows that begin up to 14 words before it. A group of more than GROUP suffixes is split: the windows that begin 0
+   to 7 words before the anchor have 13 words in common, those that begin 8 to 14 before it 14 words, and so on by
+   halves up to the 20 words of one window. Each such suffix begins up to 14 words earlier and has the longer prefix;
+   prefixes that occur once are dropped. A prefix of 20 words is one node however many leaves it has: its first leaf
+   is a minimum, to which every task adds what it has.
+3. Each group is sorted by its suffixes' words; neighbours' common prefixes give the internal nodes of its subtree,
+   and with the words to the left of the anchor, the maximal repeats of WINDOW words and more. All leaves of such a
+   node but the first are marked.
+4. The marks go back to their documents, which drop the words they cover; runs of them are the `repeats`.
 
 Words are compared as 64-bit hashes at aligned places of windows that share an anchor.
 
@@ -30,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix, over_groups, slices, string_parts
+from .common import Words, materialize, mix, over_groups, release, slices, string_parts
 
 WINDOW, PREFIX = 20, 6
 LEFT = WINDOW - PREFIX
-#: Suffixes of one group: some 8 MB of words, and as much again as a matrix, in one task.
-GROUP = 32_768
+#: Suffixes of one group: less than a MB of words, and as much again as a matrix, in one task.
+GROUP = 2_048
 _LAST = (1 << 63) - 1
 _C = np.uint64(0xD6E8FEB86659FD93)
 
@@ -73,7 +76,7 @@ class Windows:
         self.words = words = Words(data, offsets)
         self.row = words.rows()
         empty = np.zeros(0, np.int64)
-        self.starts, self.repeat, self.anchor, self.prefix, self.full = empty, empty.astype(bool), empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        self.starts, self.repeat, self.anchor, self.prefix = empty, empty.astype(bool), empty, empty.astype(np.uint64)
         n = len(words.starts)
         if n < WINDOW:
             return
@@ -81,8 +84,8 @@ class Windows:
         ok = np.flatnonzero(np.arange(n) + WINDOW <= words.first[1:][self.row])
         if not len(ok):
             return
-        self.starts, self.full = ok, full[ok]
-        own = mix(self.full ^ self.row[ok].astype(np.uint64) * _C)
+        self.starts = ok
+        own = mix(full[ok] ^ self.row[ok].astype(np.uint64) * _C)
         self.repeat = np.zeros(len(ok), bool)
         ordered = np.sort(own)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
@@ -125,6 +128,9 @@ def _anchors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "sub", "at"])
 
 
+_SUFFIX = "h long, lo int, hi int, doc long, sub long, at long, before int, context binary"
+
+
 def _suffixes(batches):
     """The neighbourhood of each repeated anchor: `before` words to its left, and up to WINDOW words from it on."""
     for batch in batches:
@@ -132,57 +138,57 @@ def _suffixes(batches):
         for i, j, w in _each(batch):
             wanted = batch.column("anchors")[i:j]
             counts = np.diff(wanted.offsets.to_numpy())
-            items = wanted.flatten()
+            at = wanted.flatten().field("pos").to_numpy()
+            hot = wanted.flatten().field("hot").to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(j - i), counts)
-            place = w.words.first[row] + items.field("pos").to_numpy()
-            hot = items.field("hot").to_numpy(zero_copy_only=False)
+            place = w.words.first[row] + at
             first, last = w.words.first[row], w.words.first[row + 1]
             begin, end = np.maximum(first, place - LEFT), np.minimum(last, place + WINDOW)
-            cold = np.flatnonzero(~hot)
-            a, b = w.words.starts[begin[cold]], w.words.ends[end[cold] - 1]
             raw = w.words.data.tobytes()
-            text = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            n = len(cold)
-            at = items.field("pos").to_numpy()
-            of = i + row[cold]
-            yield _suffix_batch(w.prefix[place[cold]].view(np.int64), np.zeros(n, np.int64), doc[of], sub[of], at[cold], (place - begin)[cold], text)
-            if hot.any():
-                # each window of which the anchor is the least prefix is a suffix of its own
-                known = np.zeros(len(w.words.starts), np.int64) - 1
-                known[place[hot]] = at[hot]
-                own = np.flatnonzero(~w.repeat & (known[w.anchor] >= 0)) if len(w.starts) else np.zeros(0, np.int64)
-                start, anchor = w.starts[own], w.anchor[own]
-                second = _second(w.words.hashes, start)
-                of = i + w.row[start]
-                yield _suffix_batch(w.full[own].view(np.int64), second, doc[of], sub[of], known[anchor], anchor - start, [None] * len(own))
-
-
-def _second(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Another hash of the windows at starts."""
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(WINDOW):
-        out = mix(out + hashes[starts + k])
-    return out.view(np.int64)
-
-
-def _suffix_batch(h, second, doc, sub, at, before, text) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h), pa.array(second), pa.array(doc), pa.array(sub), pa.array(at), pa.array(before.astype(np.int32)), pa.array(text, pa.binary())],
-        ["h", "second", "doc", "sub", "at", "before", "context"],
-    )
+            text = [raw[x:y] for x, y in zip(w.words.starts[begin].tolist(), w.words.ends[end - 1].tolist(), strict=True)]
+            n = len(at)
+            columns = (w.prefix[place].view(np.int64), np.zeros(n, np.int32), np.full(n, LEFT, np.int32), doc[i + row], sub[i + row], at, (place - begin).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.array(text, pa.binary()), pa.array(hot)], ["h", "lo", "hi", "doc", "sub", "at", "before", "context", "hot"]
+            )
 
 
-def tree(table: pa.Table) -> pa.RecordBatch | None:
-    """Marks of whole groups of suffixes: bit o of `mask` says that the window o words left of the anchor came earlier."""
-    table = table.take(np.lexsort(tuple(table.column(c).to_numpy() for c in ("at", "sub", "doc"))))  # earliest first
-    h, doc, sub, at = (table.column(c).to_numpy() for c in ("h", "doc", "sub", "at"))
-    before = table.column("before").to_numpy()
-    m = np.zeros((len(h), LEFT + WINDOW), np.uint64)  # the anchor stands in column LEFT; 0: no word
-    data, offsets = string_parts(table.column("context").combine_chunks())
+def _matrix(context: pa.Array, before: np.ndarray) -> np.ndarray:
+    """Hashes of the words around each anchor, which stands in column LEFT; 0: no word."""
+    m = np.zeros((len(before), LEFT + WINDOW), np.uint64)
+    data, offsets = string_parts(context)
     for i, j in slices(offsets):
         words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         row = words.rows()
         m[i + row, np.arange(len(row)) - words.first[row] + LEFT - before[i + row]] = words.hashes | np.uint64(1)
+    return m
+
+
+def _halves(batches):
+    """Suffixes for the windows that begin lo to hi words before the anchor, as those of either half of them."""
+    for batch in batches:
+        lo, hi = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+        m = _matrix(batch.column("context"), batch.column("before").to_numpy())
+        mid = (lo + hi) // 2
+        for a, b in ((lo, mid), (mid + 1, hi)):
+            h, whole = np.zeros(len(lo), np.uint64), np.ones(len(lo), bool)
+            for c in range(LEFT + WINDOW):
+                inside = (c >= LEFT - a) & (c < LEFT - b + WINDOW)
+                h = np.where(inside, mix(h * _C + m[:, c]), h)
+                whole &= ~inside | (m[:, c] != 0)
+            h = mix(h ^ (a * 64 + b + 1).astype(np.uint64))
+            rows = pa.array(np.flatnonzero(whole))
+            kept = [batch.column(c).take(rows) for c in ("doc", "sub", "at", "before", "context")]
+            numbers = (h.view(np.int64), a.astype(np.int32), b.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x).take(rows) for x in numbers), *kept], ["h", "lo", "hi", "doc", "sub", "at", "before", "context"])
+
+
+def tree(table: pa.Table) -> pa.RecordBatch | None:
+    """Marks of whole groups of suffixes: bit o of `mask` says that the window o words left of the anchor came earlier."""
+    table = table.take(np.lexsort(tuple(table.column(c).to_numpy() for c in ("at", "sub", "doc"))))  # earliest first
+    h, doc, sub, at = (table.column(c).to_numpy() for c in ("h", "doc", "sub", "at"))
+    lo, hi = (table.column(c).to_numpy() for c in ("lo", "hi"))
+    m = _matrix(table.column("context").combine_chunks(), table.column("before").to_numpy())
     right = m[:, LEFT:]
     order = np.lexsort(tuple(right[:, k] for k in range(WINDOW - 1, PREFIX - 1, -1)) + (h,))
     sorted_ = right[order]
@@ -196,7 +202,7 @@ def tree(table: pa.Table) -> pa.RecordBatch | None:
             left = mix(left * _C + m[:, LEFT - o])
         depth = WINDOW - o
         node[order] = np.concatenate(([0], np.cumsum(common < depth))).astype(np.uint64)
-        there = np.flatnonzero((m[:, LEFT - o] != 0) & (right[:, depth - 1] != 0))
+        there = np.flatnonzero((lo <= o) & (o <= hi) & (m[:, LEFT - o] != 0) & (right[:, depth - 1] != 0))
         if len(there) < 2:
             continue
         key = mix(node[there] * _C + left[there])
@@ -214,9 +220,13 @@ def tree(table: pa.Table) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (doc, sub, at, mask)], ["doc", "sub", "at", "mask"])
 
 
+_REPEATS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_MARK = "doc long, sub long, at long, mask int"
+
+
 def _kept(batches):
     for batch in batches:
-        counts, removed, digests = [], [], []
+        counts, removed, digests, repeats = [], [], [], []
         for i, j, w in _each(batch):
             n = len(w.words.starts)
             gone = np.zeros(n + 1, np.int64)
@@ -239,41 +249,66 @@ def _kept(batches):
                 keep = a + np.flatnonzero(~out[a:b])
                 kept = b" ".join([raw[x:y] for x, y in zip(w.words.starts[keep].tolist(), w.words.ends[keep].tolist(), strict=True)])
                 digests.append(hashlib.sha256(kept).hexdigest())
+                turn = np.flatnonzero(np.diff(np.concatenate(([False], out[a:b], [False]))))
+                repeats.append([{"start": x, "end": y} for x, y in turn.reshape(-1, 2).tolist()])
             counts.append(np.diff(first))
             removed.append(total[first[1:]] - total[first[:-1]])
         if counts:
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "doc", "sub")), pa.array(np.concatenate(counts)), pa.array(np.concatenate(removed)), pa.array(digests)],
-                ["doc_id", "doc", "sub", "n_words", "n_removed", "kept_sha256"],
+                [*(batch.column(c) for c in ("doc_id", "doc", "sub")), pa.array(np.concatenate(counts)), pa.array(np.concatenate(removed)), pa.array(digests), pa.array(repeats, _REPEATS)],
+                ["doc_id", "doc", "sub", "n_words", "n_removed", "kept_sha256", "repeats"],
             )
 
 
+def _trees(rows: DataFrame) -> DataFrame:
+    """Marks of the groups of suffixes, each a subtree in one task."""
+    return over_groups(rows.repartition("h"), "h", tree, _MARK, 20_000)
+
+
+def _split_trees(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Marks of suffixes in groups that are too large: split by longer prefixes until groups fit or are one window; and
+    the tables that they are read from."""
+    marks, tables = None, []
+    while True:
+        # a prefix is at most as many words longer as LEFT, in at most four rounds
+        rows = materialize(rows.mapInArrow(_halves, _SUFFIX), "longer")
+        counts = rows.groupBy("h").agg(F.count("*").alias("n"), F.max(F.expr("hi - lo")).alias("width")).where("n > 1")
+        counts = materialize(counts, "prefixes")
+        tables += [rows, counts]
+        fit = _trees(rows.join(counts.where(f"n <= {GROUP}").select("h"), "h", "left_semi"))
+        start = F.struct("doc", "sub", (F.col("at") - F.col("lo")).alias("start"))
+        window = rows.join(counts.where(f"n > {GROUP} AND width = 0").select("h"), "h", "left_semi")
+        first = window.groupBy("h").agg(F.min(start).alias("first")).withColumnRenamed("h", "h_")
+        later = window.join(first, F.col("h") == F.col("h_")).where(start > F.col("first"))
+        fit = fit.union(later.select("doc", "sub", "at", F.expr("shiftleft(1, lo) AS mask")))
+        marks = fit if marks is None else marks.union(fit)
+        large = counts.where(f"n > {GROUP} AND width > 0").select("h")
+        if not large.limit(1).count():
+            return marks, tables
+        rows = rows.join(large, "h", "left_semi")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row."""
+    """doc_id, n_words, n_removed, kept_sha256 and repeats (runs of removed words: start, end) for every row."""
     base, repeats = _base(docs)
     anchors = base.select("doc", "sub", "text").mapInArrow(_anchors, "h long, doc long, sub long, at long")
     often = anchors.groupBy("h").count().where("count > 1").select(F.col("h"), (F.col("count") > GROUP).alias("hot"))
     place = F.struct(F.col("at").alias("pos"), "hot")
     wanted = anchors.join(often, "h").groupBy("doc", "sub").agg(F.collect_list(place).alias("anchors"))
     wanted = materialize(wanted, "anchors")
-    del anchors, often
-    suffixes = base.select("doc", "sub", "text").join(wanted, ["doc", "sub"]).mapInArrow(
-        _suffixes, "h long, second long, doc long, sub long, at long, before int, context binary"
-    )
+    suffixes = base.select("doc", "sub", "text").join(wanted, ["doc", "sub"]).mapInArrow(_suffixes, _SUFFIX + ", hot boolean")
     suffixes = materialize(suffixes, "suffixes")
-    short = suffixes.where("context IS NOT NULL").select("h", "doc", "sub", "at", "before", "context").repartition("h")
-    marks = over_groups(short, "h", tree, "doc long, sub long, at long, mask int", 20_000)
-    whole = suffixes.where("context IS NULL").select("h", "second", "doc", "sub", "at", "before")
-    start = F.struct("doc", "sub", (F.col("at") - F.col("before")).alias("start"))
-    first = whole.groupBy("h", "second").agg(F.min(start).alias("first")).withColumnsRenamed({"h": "h_", "second": "second_"})
-    later = whole.join(first, (F.col("h") == F.col("h_")) & (F.col("second") == F.col("second_"))).where(start > F.col("first"))
-    marks = marks.union(later.select("doc", "sub", "at", F.expr("shiftleft(1, before) AS mask")))
-    marks = marks.groupBy("doc", "sub").agg(
-        F.collect_list(F.struct(F.col("at").alias("pos"), "mask")).alias("marks")
-    )
+    marks, tables = _trees(suffixes.where("NOT hot").drop("hot")), []
+    if suffixes.where("hot").limit(1).count():
+        more, tables = _split_trees(suffixes.where("hot").drop("hot"))
+        marks = marks.union(more)
+    marks = marks.groupBy("doc", "sub").agg(F.collect_list(F.struct(F.col("at").alias("pos"), "mask")).alias("marks"))
     marks = materialize(marks, "marks")
-    out = base.join(marks, ["doc", "sub"], "left").select("doc_id", "doc", "sub", "text", F.coalesce("marks", F.expr("CAST(array() AS array<struct<pos: long, mask: int>>)")).alias("marks"))
-    out = out.mapInArrow(_kept, "doc_id long, doc long, sub long, n_words long, n_removed long, kept_sha256 string")
+    release(wanted, suffixes, *tables)
+    none = F.expr("CAST(array() AS array<struct<pos: long, mask: int>>)")
+    out = base.join(marks, ["doc", "sub"], "left").select("doc_id", "doc", "sub", "text", F.coalesce("marks", none).alias("marks"))
+    kinds = "n_words long, n_removed long, kept_sha256 string, repeats array<struct<start: int, end: int>>"
+    out = out.mapInArrow(_kept, f"doc_id long, doc long, sub long, {kinds}")
     if repeats is not None:
         out = repeats.join(out.drop("doc_id"), ["doc", "sub"])
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "repeats")
