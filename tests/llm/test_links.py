@@ -156,9 +156,10 @@ def frame_of(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("block", [3, 512])
-def test_embedding_links(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, size", [(3, (1, 1.5)), (2048, (2, 2.0))])
+def test_embedding_links(spark, monkeypatch, block, size):
     monkeypatch.setattr(lattice, "BLOCK", block)
+    monkeypatch.setattr(lattice, "SIZES", (size,))
     rows = vectors()
     want, n = brute_links(rows)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.links(frame_of(spark, rows)).collect()}
@@ -170,6 +171,8 @@ def test_embedding_links(spark, monkeypatch, block):
 
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(4)
+    plans = {n: lattice.plan(n) for n in (100, 5_000, 500_000)}
+    assert [p.points for p in plans.values()] == sorted(p.points for p in plans.values()) and plans[500_000].points > 1
     x = rng.normal(size=(3000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     y = rng.normal(size=(3000, 64))
@@ -177,9 +180,9 @@ def test_recall_at_the_threshold():
     y /= np.linalg.norm(y, axis=1)[:, None]
     for cos, least in ((0.931, 0.9), (0.95, 0.95), (0.98, 0.99)):
         z = cos * x + np.sqrt(1 - cos**2) * y
-        a, b = (lattice.cells(v, lattice.projections(64)) for v in (x, z))
-        met = ((a[:, :, :1] == b) | (b[:, :, :1] == a)).any((1, 2))
-        assert met.mean() >= least
+        for p in plans.values():
+            a, b = (lattice.cells(v, lattice.projections(64, p)) for v in (x, z))
+            assert ((a[:, :, :1] == b) | (b[:, :, :1] == a)).any((1, 2)).mean() >= least
 
 
 def test_e8_decoding():
