@@ -32,7 +32,8 @@ def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    out = sharding.shard(docs, max(1, -(-sharding.total_bytes(docs) // 16)))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

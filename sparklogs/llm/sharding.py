@@ -1,13 +1,17 @@
-"""Sharding by a k-d tree: nodes are split at weighted medians along their widest dimension.
+"""Sharding by a k-d tree: nodes are split at weighted medians along their widest dimension until leaves reach a size.
 
-Each document is a point with metadata coordinates and a weight (its bytes). A node is split where half of its
-weight lies below; the median is found by histograms of the node's keys, each round narrowing the interval that
-holds it, so that a level costs a few aggregations of at most `BINS` rows per node and no sort. Keys order points by
-the coordinate, then by the text's hash, then by the document's: equal texts are neighbours and stay together, but a
-group of copies that is too heavy for the balance is cut.
+Each document is a point with metadata coordinates and a weight (its bytes). A node that is to become k leaves of the
+target bytes is split where k // 2 shares of its weight lie below; the cut is found by histograms of the node's keys,
+each round narrowing the interval that holds it, so that a level costs a few aggregations of at most `BINS` rows per
+node and no sort. Keys order points by the coordinate, then by the text's hash: equal texts are neighbours and stay
+together, but a group of copies that would make a half miss its share by more than 2 x SLACK of the node is cut, by a
+hash of the document.
+
+The driver holds one entry per node of a level: meant for up to some thousand leaves.
 
 Defined cases: a null text weighs 1 byte and has crc32 0; null ids are ordinary rows; repeated rows are documents
-each; an empty table gives no rows; other columns are ignored.
+each; leaves may be empty where there are fewer documents than leaves; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 BINS = 512
+DIMS = 3
 #: The share of a node's weight by which a half may miss the middle so that equal texts stay together.
 SLACK = 0.004
 SLOT_ROWS = 20_000
@@ -29,6 +34,9 @@ def _coordinate(share):
 
 
 def _by_node(values: dict[int, int]):
+    """The value of a row's node, null if it has none."""
+    if not values:
+        return F.lit(None).cast("long")
     return F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.lit(v).cast("long"))])[F.col("node")]
 
 
@@ -81,59 +89,62 @@ def _median(rows: DataFrame, key, nodes: dict[int, tuple[int, int, int, int]]) -
     return found
 
 
-def _split(rows: DataFrame, dims: int, base: list[float]) -> tuple[DataFrame, list[float]]:
-    """Every node in two, along the dimension that is widest in it, measured by its spread over the whole table."""
-    stats = rows.groupBy("node").agg(
-        F.sum("size").alias("w"),
-        *[F.round(F.stddev_pop(F.col(f"c{d}") / _HALF), 9).alias(f"sd{d}") for d in range(dims)],
+def _split(rows: DataFrame, leaves: dict[int, int], base: list[float]) -> tuple[DataFrame, dict[int, int], list[float]]:
+    """Every node of several leaves in two, along the dimension that is widest in it, measured by its spread over the
+    whole table. A node is known by its first leaf."""
+    open_ = {n: k for n, k in leaves.items() if k > 1}
+    stats = rows.where(F.col("node").isin(list(open_))).groupBy("node").agg(
+        F.sum("size").alias("w"), *[F.round(F.stddev_pop(F.col(f"c{d}") / _HALF), 9).alias(f"sd{d}") for d in range(DIMS)]
     ).collect()  # one row per node
-    base = base or [stats[0][f"sd{d}"] or 1.0 for d in range(dims)] if stats else base
-    wide = {s["node"]: max(range(dims), key=lambda d: (round((s[f"sd{d}"] or 0.0) / base[d], 6), -d)) for s in stats}
-    at = F.lit(None).cast("long")
-    for n, d in wide.items():
-        at = F.when(F.col("node") == n, F.col(f"c{d}")).otherwise(at)
-    key = F.shiftleft(at, 31) + F.col("h")
+    base = base or [stats[0][f"sd{d}"] or 1.0 for d in range(DIMS)]
+    wide = {s["node"]: max(range(DIMS), key=lambda d: (round((s[f"sd{d}"] or 0.0) / base[d], 6), -d)) for s in stats}
+    key = F.shiftleft(F.get(F.array(*[f"c{d}" for d in range(DIMS)]), _by_node(wide).cast("int")), 31) + F.col("h")
     weight = {s["node"]: s["w"] for s in stats}
-    cuts = _median(rows, key, {n: (0, (1 << 62) - 1, 0, (w + 1) // 2) for n, w in weight.items()})
-    # a cut that is still too far from the middle lies at one text's copies: those are dealt by document
-    heavy = {n: c for n, c in cuts.items() if abs(2 * c[1] - weight[n]) > 4 * SLACK * weight[n]}
-    groups = {}
+    aim = {n: -(-w * (open_[n] // 2) // open_[n]) for n, w in weight.items()}
+    cuts = _median(rows, key, {n: (0, (1 << 62) - 1, 0, a) for n, a in aim.items()})
+    # a cut that is still too far from its aim lies at one text's copies: those are dealt by document
+    heavy = {n: c for n, c in cuts.items() if abs(c[1] - aim[n]) > 2 * SLACK * weight[n]}
+    groups, inner = {}, {}
     if heavy:
         low = _by_node({n: c for n, (c, _) in heavy.items()})
         near = rows.where(F.col("node").isin(list(heavy))).withColumn("key", key)
         sides = near.groupBy("node").agg(F.max(F.when(F.col("key") < low, F.col("key"))).alias("l"), F.min(F.when(F.col("key") >= low, F.col("key"))).alias("r")).collect()
         for s in sides:
-            cut, below = heavy[s["node"]]
-            groups[s["node"]] = s["l"] if 2 * below > weight[s["node"]] else s["r"]
+            _, below = heavy[s["node"]]
+            groups[s["node"]] = s["l"] if below > aim[s["node"]] else s["r"]
         groups = {n: k for n, k in groups.items() if k is not None}
-    right = F.lit(False)
-    for n, (c, _) in cuts.items():
-        right = F.when(F.col("node") == n, key >= c).otherwise(right)
     if groups:
-        one = F.lit(False)
-        for n, k in groups.items():
-            one = F.when(F.col("node") == n, key == k).otherwise(one)
-        below = {r["node"]: r["w"] for r in rows.where(F.col("node").isin(list(groups))).withColumn("key", key).where(
-            F.col("key") < _by_node(groups)
-        ).groupBy("node").agg(F.sum("size").alias("w")).collect()}
-        inner = _median(rows.where(one), F.col("g"), {n: (0, (1 << 63) - 1, below.get(n, 0), (weight[n] + 1) // 2) for n in groups})
-        for n, k in groups.items():
-            c = inner[n][0]
-            right = F.when((F.col("node") == n) & (key == k), (F.col("g") >= c) if c < 1 << 63 else F.lit(False)).when(F.col("node") == n, key > k).otherwise(right)
-    return rows.withColumn("node", F.col("node") * 2 + right.cast("int")), base
-
-
-def shard(docs: DataFrame, depth: int = 4) -> DataFrame:
-    """doc_id, size, text_crc32, shard (0 to 2**depth - 1) and slot (gapless from 0 within the shard)."""
+        near = rows.where(F.col("node").isin(list(groups))).withColumn("key", key)
+        below = {r["node"]: r["w"] for r in near.where(F.col("key") < _by_node(groups)).groupBy("node").agg(F.sum("size").alias("w")).collect()}
+        found = _median(rows.where(key == _by_node(groups)), F.col("g"), {n: (0, (1 << 63) - 1, below.get(n, 0), aim[n]) for n in groups})
+        inner = {n: min(c, (1 << 63) - 1) for n, (c, _) in found.items()}
+    one = _by_node(groups)
+    right = F.when(one.isNotNull(), (key > one) | (key == one) & (F.col("g") >= _by_node(inner))).otherwise(key >= _by_node({n: c for n, (c, _) in cuts.items()}))
+    after = {n: k for n, k in leaves.items() if k == 1}
+    after |= {n: k // 2 for n, k in open_.items()} | {n + k // 2: k - k // 2 for n, k in open_.items()}
+    step = _by_node({n: k // 2 for n, k in open_.items()})
+    moved = F.when(right, F.col("node") + step).otherwise(F.col("node")).cast("int")
+    return rows.withColumn("node", moved), after, base
+
+
+def shard(docs: DataFrame, target_bytes: int) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot (gapless from 0 within the shard); shards are as many as the table has
+    times target_bytes, and of equal size but for SLACK and the sizes of single documents."""
     rows = materialize(points(docs).withColumn("node", F.lit(0)), "points")
-    base: list[float] = []
-    for level in range(depth):
-        rows, base = _split(rows, 3, base)
-        if level < depth - 1:
-            rows = materialize(rows, "nodes")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    leaves, base = {0: max(1, -(-total // target_bytes))}, []
+    while any(k > 1 for k in leaves.values()):
+        split, leaves, base = _split(rows, leaves, base)
+        after = materialize(split, "nodes")
+        release(rows)
+        rows = after
     return numbered(rows.withColumnRenamed("node", "shard"))
 
 
+def total_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Slots by bucket counts and a row number within each bucket; a bucket holds about SLOT_ROWS rows."""
     rows = materialize(rows.select("doc_id", "size", "text_crc32", "shard", "g"), "shards")

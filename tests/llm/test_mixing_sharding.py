@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from sparklogs.llm import mixing, sharding
@@ -70,8 +71,26 @@ def test_rows_without_id_keep_their_sources_cut(docs, monkeypatch):
     assert sorted(r.text for r in again) == sorted(r.text for r in out)
 
 
-def check_shards(frame, depth):
-    rows = sharding.shard(frame, depth).collect()
+def split_by_hand(points, shards, leaves, first, base):
+    """Checks, node by node, that the leaves come from cuts along the widest dimension, near the aim."""
+    if leaves == 1 or not points:
+        return
+    spread = [np.std([p[1][d] / 2**31 for p in points]) for d in range(3)]
+    base = base or [round(s, 9) or 1.0 for s in spread]
+    left = leaves // 2
+    low = [p for p in points if shards[p[0]] < first + left]
+    high = [p for p in points if shards[p[0]] >= first + left]
+    wide = max(range(3), key=lambda d: (round(round(spread[d], 9) / base[d], 6), -d))
+    if low and high:
+        assert max((p[1][wide], p[2]) for p in low) <= min((p[1][wide], p[2]) for p in high)
+    weight, most = sum(p[3] for p in points), max(p[3] for p in points)
+    assert abs(sum(p[3] for p in low) - weight * left / leaves) <= 2 * sharding.SLACK * weight + most
+    split_by_hand(low, shards, left, first, base)
+    split_by_hand(high, shards, leaves - left, first + left, base)
+
+
+def check_shards(frame, leaves):
+    rows = sharding.shard(frame, -(-sharding.total_bytes(frame) // leaves) if leaves else 1).collect()
     assert len(rows) == frame.count()
     slots, sizes = defaultdict(list), defaultdict(int)
     for r in rows:
@@ -81,24 +100,40 @@ def check_shards(frame, depth):
     return rows, sizes
 
 
-def test_shards_are_equal_and_keep_copies_together(docs, sf):
-    rows, sizes = check_shards(sf("documents"), 3)
-    mean = sum(sizes.values()) / 8
-    assert len(sizes) == 8 and all(abs(s / mean - 1) < 0.12 for s in sizes.values())  # documents of up to 7 % of a shard
+@pytest.mark.parametrize("leaves", [8, 5])
+def test_shards_are_equal_and_keep_copies_together(docs, sf, leaves):
+    rows, sizes = check_shards(sf("documents"), leaves)
+    mean = sum(sizes.values()) / leaves
+    assert len(sizes) == leaves and all(abs(s / mean - 1) < 0.12 for s in sizes.values())  # documents of up to 7 % of a shard
     texts = {r.doc_id: r.text for r in sf("documents").collect()}
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 1 for r in rows)
     shards = defaultdict(set)
     for r in rows:
         shards[texts[r.doc_id]].add(r.shard)
     assert sum(len(s) > 1 for s in shards.values()) <= 1
+    points = [(p.doc_id, (p.c0, p.c1, p.c2), p.h, p.size) for p in sharding.points(sf("documents")).collect()]
+    split_by_hand(points, {r.doc_id: r.shard for r in rows}, leaves, 0, None)
 
 
 def test_one_text_may_be_most_of_the_rows(docs):
     frame = docs(*["the same text again"] * 600, *[f"text {i} é" for i in range(40)], None, None, "")
-    rows, sizes = check_shards(frame, 3)
+    rows, sizes = check_shards(frame, 8)
     assert max(sizes.values()) - min(sizes.values()) <= 60
-    assert {tuple(r) for r in sharding.shard(frame.repartition(5), 3).collect()} == {tuple(r) for r in rows}
+    target = -(-sharding.total_bytes(frame) // 8)
+    assert {tuple(r) for r in sharding.shard(frame.repartition(5), target).collect()} == {tuple(r) for r in rows}
+
+
+def test_leaves_reach_the_target(docs):
+    frame = docs(*[f"text {i} " + "word " * (i % 9) for i in range(200)], "very long " * 50_000)
+    total = sharding.total_bytes(frame)
+    assert sharding.shard(frame, total).select("shard").distinct().count() == 1
+    sizes = check_shards(frame.where("doc_id < 200"), 7)[1]
+    assert len(sizes) == 7 and max(sizes.values()) <= 1.1 * sum(sizes.values()) / 7
+    # one document that is heavier than all others together
+    rows, sizes = check_shards(frame, 4)
+    assert len(rows) == 201 and max(sizes.values()) >= 500_000
 
 
 def test_empty_table_has_no_shards(docs):
-    assert sharding.shard(docs("a").limit(0)).count() == 0
+    assert sharding.shard(docs("a").limit(0), 16).count() == 0
+    assert sharding.shard(docs("a", "b"), 1).count() == 2
