@@ -46,8 +46,9 @@ def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.describe(media.encode(read(spark, sf_dir, "documents")))
     return out.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds"
-    )
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        F.col("tracks")[0]["codec"].alias("codec"), F.col("tracks")[0]["seconds"].alias("seconds"),
+    )
 
 
 def op8_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

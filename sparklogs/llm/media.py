@@ -1,8 +1,8 @@
 """Media columns: ISO base media containers in a binary column, written and read back box by box.
 
 `encode` stores each text's bytes as 8-bit PCM ('ipcm' with a 'pcmC' box) in ftyp / moov / mdat; `describe` walks the
-nested boxes of any such column, decodes the sample tables (stts, stsc, stsz, stco or co64, stss) and gives codec,
-duration and the byte range of every sync sample. Payload bytes are only sliced, never decoded.
+nested boxes of any such column, decodes the sample tables (stts, stsc, stsz, stco or co64, stss) of every track and gives
+its codec, duration and the byte range of every sync sample. Payload bytes are only sliced, never decoded.
 
 Defined cases: a null text is stored as one sample of spaces; null or broken media give an `error` and no index;
 repeated rows are rows each; equal texts give equal containers; an empty table gives no rows; other columns are ignored.
@@ -113,12 +113,8 @@ def _table(data: memoryview, at: int, end: int, columns: int, kind: str = ">u4",
     return np.frombuffer(data, kind, n * columns, at + skip + 4).astype(np.int64).reshape(n, columns)
 
 
-def index(media: bytes) -> dict:
-    """codec, timescale, duration, samples, keyframes [(start, end)] and ranges [(start, end)] of the chunks."""
-    data = memoryview(media)
-    at: dict[bytes, tuple[int, int]] = {}
-    for path, start, end in boxes(data):
-        at.setdefault(path.rsplit(b"/", 1)[1], (start, end))
+def _track(data: memoryview, at: dict[bytes, tuple[int, int]]) -> dict:
+    """What the boxes of one track say: their last names and where their bodies are."""
     if missing := {b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"} - at.keys():
         raise ValueError(f"no {sorted(missing)[0].decode()} box")
     start, _ = at[b"mdhd"]
@@ -129,6 +125,8 @@ def index(media: bytes) -> dict:
     (size,) = struct.unpack_from(">I", data, start + 4)
     (n,) = struct.unpack_from(">I", data, start + 8)
     sizes = np.full(n, size, np.int64) if size else _table(data, start, end, 1, skip=8)[:, 0]
+    if b"stco" not in at and b"co64" not in at:
+        raise ValueError("no stco or co64 box")
     offsets = _table(data, *at[b"stco"], 1)[:, 0] if b"stco" in at else _table(data, *at[b"co64"], 1, ">u8")[:, 0]
     runs = _table(data, *at[b"stsc"], 3)
     per = np.zeros(len(offsets), np.int64)
@@ -137,21 +135,35 @@ def index(media: bytes) -> dict:
     if per.sum() != n:
         raise ValueError(f"{per.sum()} samples in chunks, {n} in the size table")
     ends = np.cumsum(sizes)
+    edges = np.concatenate(([0], ends))  # bytes before each sample
     chunk_of = np.repeat(np.arange(len(offsets)), per)
-    first = np.concatenate(([0], np.cumsum(per)[:-1]))
-    before = np.concatenate(([0], ends))[first[chunk_of]] if n else np.zeros(0, np.int64)
-    begin = offsets[chunk_of] + (ends - sizes - before)
+    first = np.concatenate(([0], np.cumsum(per)))  # each chunk's first sample, and the end
+    begin = offsets[chunk_of] + (ends - sizes - edges[first[chunk_of]])
     sync = _table(data, *at[b"stss"], 1)[:, 0] - 1 if b"stss" in at else np.arange(n)
-    whole = np.add.reduceat(sizes, first) if n else np.zeros(0, np.int64)
-    ticks = int((_table(data, *at[b"stts"], 2).prod(axis=1)).sum())
-    if len(begin) and int((begin + sizes).max()) > len(media):
+    whole = edges[first[1:]] - edges[first[:-1]]
+    if len(begin) and int((begin + sizes).max()) > len(data):
         raise ValueError("samples lie past the file")
     return {
-        "codec": codec, "timescale": timescale, "duration": duration, "ticks": ticks, "samples": n,
+        "handler": bytes(data[at[b"hdlr"][0] + 8 : at[b"hdlr"][0] + 12]).decode("latin1") if b"hdlr" in at else "",
+        "codec": codec, "timescale": timescale, "duration": duration, "ticks": int(_table(data, *at[b"stts"], 2).prod(axis=1).sum()), "samples": n,
         "keyframes": np.stack([begin[sync], begin[sync] + sizes[sync]], 1), "ranges": list(zip(offsets.tolist(), (offsets + whole).tolist(), strict=True)),
     }
 
 
+def index(media: bytes) -> list[dict]:
+    """For each track: handler, codec, timescale, duration, samples, keyframes [(start, end)] and ranges [(start, end)] of the chunks."""
+    data = memoryview(media)
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    for path, start, end in boxes(data):
+        if path == b"/moov/trak":
+            tracks.append({})
+        elif path.startswith(b"/moov/trak/"):  # boxes come after the box that they are in
+            tracks[-1].setdefault(path.rsplit(b"/", 1)[1], (start, end))
+    if not tracks:
+        raise ValueError("no trak box")
+    return [_track(data, at) for at in tracks]
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text's UTF-8 bytes, filled up with spaces, in a container of its own."""
 
@@ -164,39 +176,41 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+_SPANS = "array<struct<start: long, end: long>>"
 INDEX_SCHEMA = (
     "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "codec string, seconds double, samples long, keyframes array<struct<start: long, end: long>>, feature string, error string"
+    f"tracks array<struct<handler: string, codec: string, seconds: double, samples: long, keyframes: {_SPANS}>>, feature string, error string"
 )
 
-INDEX_NAMES = "doc_id n_bytes media_bytes media_sha256 payload_bytes payload_sha256 tail_crc32 codec seconds samples keyframes feature error".split()
+INDEX_NAMES = "doc_id n_bytes media_bytes media_sha256 payload_bytes payload_sha256 tail_crc32 tracks feature error".split()
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_TRACK_TYPE = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("seconds", pa.float64()), ("samples", pa.int64()), ("keyframes", _SPAN_TYPE)]))
 
 
 def _described(media: bytes | None) -> tuple:
     if media is None:
-        return (None,) * 9 + (None, "no media")
+        return (None,) * 7 + ("no media",)
     digest = hashlib.sha256(media).hexdigest()
     try:
-        x = index(media)
+        tracks = index(media)
     except (ValueError, KeyError, IndexError, struct.error) as e:
-        return (len(media), digest) + (None,) * 7 + (None, str(e) or "broken")
-    payload = b"".join(media[a:b] for a, b in x["ranges"])
-    keys = x["keyframes"].tolist()
-    feature = f"{x['codec']};{x['timescale']};{x['duration']};{x['samples']};" + ",".join(f"{a}-{b}" for a, b in keys)
-    return (
-        len(media), digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
-        x["codec"], x["duration"] / x["timescale"] if x["timescale"] else None, x["samples"],
-        [{"start": a, "end": b} for a, b in keys], feature, None,
-    )
+        return (len(media), digest) + (None,) * 5 + (str(e) or "broken",)
+    payload = b"".join(media[a:b] for a, b in sorted(r for x in tracks for r in x["ranges"]))
+    shown, features = [], []
+    for x in tracks:
+        keys = x["keyframes"].tolist()
+        seconds = x["duration"] / x["timescale"] if x["timescale"] else None
+        shown.append({"handler": x["handler"], "codec": x["codec"], "seconds": seconds, "samples": x["samples"], "keyframes": [{"start": a, "end": b} for a, b in keys]})
+        features.append(f"{x['codec']};{x['timescale']};{x['duration']};{x['samples']};" + ",".join(f"{a}-{b}" for a, b in keys))
+    return len(media), digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), shown, "|".join(features), None
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """The index of each container: codec, duration, keyframe byte ranges and digests of what was read back."""
+    """The index of each container: codec, duration and keyframe byte ranges of every track, and digests of what was read back."""
     names = INDEX_NAMES
 
     def run(batches):
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64(),
-                 pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string()]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), _TRACK_TYPE, pa.string(), pa.string()]
         for batch in batches:
             rows = [_described(m) for m in batch.column("media").to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)

@@ -12,7 +12,7 @@ PADS = [b"", b"a", b"x" * 191, b"x" * 192, b"x" * 193, bytes(range(256)) * 40, "
 @pytest.mark.parametrize("raw", PADS)
 def test_container_round_trip(raw):
     payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
-    x = media.index(media.container(payload))
+    (x,) = media.index(media.container(payload))
     data = media.container(payload)
     assert b"".join(data[a:b] for a, b in x["ranges"]) == payload
     assert (x["codec"], x["duration"], x["ticks"], x["samples"]) == ("ipcm", len(payload), len(payload), len(payload) // 192)
@@ -32,13 +32,43 @@ def test_boxes_nest_and_break():
             list(media.boxes(memoryview(broken)))
 
 
+def test_each_track_has_its_own_tables():
+    def track(kind, codec, sizes, runs, offsets, wide, sync=None, same=0):
+        full, word = media._full, lambda *x: struct.pack(f">{len(x)}I", *x)
+        boxes = [
+            full(b"stsd", word(1), media._box(codec, bytes(8))), full(b"stts", word(1, len(sizes), 10)),
+            full(b"stsc", word(len(runs)), *[word(*r) for r in runs]), full(b"stsz", word(same, len(sizes)), *([] if same else [word(*sizes)])),
+            full(b"co64", word(len(offsets)), struct.pack(f">{len(offsets)}Q", *offsets)) if wide else full(b"stco", word(len(offsets), *offsets)),
+        ]
+        boxes += [full(b"stss", word(len(sync), *sync))] if sync else []
+        head = [full(b"mdhd", word(0, 0, 100, 10 * len(sizes), 0)), full(b"hdlr", bytes(4), kind, bytes(13))]
+        return media._box(b"trak", media._box(b"mdia", *head, media._box(b"minf", media._box(b"stbl", *boxes))))
+
+    def build(first):
+        # audio: 5 samples in chunks of 2, 2 and 1; video between them: 4 samples of differing sizes in chunks of 1 and 3
+        a = [first, first + 8 + 3, first + 8 + 3 + 8 + 12]
+        v = [first + 8, first + 8 + 3 + 8]
+        moov = media._box(b"moov", track(b"soun", b"mp4a", [4] * 5, [(1, 2, 1), (3, 1, 1)], a, False, same=4), track(b"vide", b"avc1", [3, 5, 1, 6], [(1, 1, 1), (2, 3, 1)], v, True, [1, 3]))
+        return media._box(b"ftyp", b"isom", bytes(4)) + moov
+
+    start = len(build(0)) + 8
+    data = build(start) + media._box(b"mdat", bytes(range(35)))
+    audio, video = media.index(data)
+    rel = lambda spans: [(int(a) - start, int(b) - start) for a, b in spans]
+    assert (audio["handler"], audio["codec"], audio["samples"], video["handler"], video["codec"], video["samples"]) == ("soun", "mp4a", 5, "vide", "avc1", 4)
+    assert rel(audio["keyframes"]) == [(0, 4), (4, 8), (11, 15), (15, 19), (31, 35)]
+    assert rel(video["ranges"]) == [(8, 11), (19, 31)] and rel(video["keyframes"]) == [(8, 11), (24, 25)]
+    assert media._described(data)[2:4] == (35, hashlib.sha256(bytes(range(35))).hexdigest())
+    assert media._described(data)[6].count("|") == 1 and (audio["ticks"], video["duration"]) == (50, 40)
+
+
 def test_media_columns(spark, docs):
     frame = docs("some text", None, "", "some text", "é" * 50_000)
     rows = {r.doc_id: r for r in media.describe(media.encode(frame)).collect()}
     for i, t in enumerate(["some text", "", "", "some text", "é" * 50_000]):
         payload = t.encode() + b" " * (-len(t.encode()) % 192 or (0 if t else 192))
         assert (rows[i].n_bytes, rows[i].payload_bytes, rows[i].payload_sha256) == (len(t.encode()), len(payload), hashlib.sha256(payload).hexdigest())
-        assert rows[i].error is None and len(rows[i].keyframes) == -(-rows[i].samples // media.SYNC)
+        assert rows[i].error is None and [len(t.keyframes) for t in rows[i].tracks] == [-(-rows[i].tracks[0].samples // media.SYNC)]
     assert rows[0][2:] == rows[3][2:] and rows[1][2:] == rows[2][2:]
     broken = spark.createDataFrame([(1, 1, bytearray(b"junk data")), (2, 1, None), (3, 1, bytearray(media.container(b" " * 192)[:-5]))], "doc_id long, n_bytes long, media binary")
     errors = {r.doc_id: r.error for r in media.describe(broken).collect()}
