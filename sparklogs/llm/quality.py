@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, held_out, mix, slices, string_parts
+from .common import Words, held_out, materialize, mix, slices, string_parts
 from .toxicity import sample
 
-#: Labelled documents that the model is fitted on, at most.
-SAMPLE_ROWS = 5_000
+#: Labelled documents that the model is fitted on, at most, and passages of them, at most (some 30 MB of features): the
+#: first whole documents by the hash of their id.
+SAMPLE_ROWS, SAMPLE_PASSAGES = 5_000, 400_000
 PASSAGE = 64
 THRESHOLD = 0.7
 HIDDEN, GATE, STEPS = 12, 8, 500
@@ -140,7 +141,7 @@ def train(x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = STEP
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE_ROWS) -> Model:
-    """The model from at most `most` labelled rows, whose passage features alone come to the driver."""
+    """The model from at most `most` labelled rows with at most SAMPLE_PASSAGES passages, whose features alone come to the driver."""
 
     def encode(batches):
         for batch in batches:
@@ -150,7 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int =
                 bags = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], batch.column("label")[i:j], pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
-    rows = sample(docs, labels, column, most).mapInArrow(encode, "doc_id long, label int, bag binary").toPandas()
+    rows = materialize(sample(docs, labels, column, most).mapInArrow(encode, "doc_id long, label int, bag binary"), "bags")
+    place = F.xxhash64("doc_id")
+    counts = rows.select(place.alias("place"), F.octet_length("bag").alias("bytes")).toPandas().sort_values("place")  # at most `most` numbers
+    inside = counts[counts["bytes"].cumsum() <= SAMPLE_PASSAGES * WIDTH * 4]
+    rows = rows.where(place <= int(inside["place"].max()) if len(inside) else F.lit(False)).toPandas()
     rows = rows.sort_values(["doc_id", "label"], kind="stable")
     label = rows["label"].to_numpy(float)
     if not len(label) or label.min() == label.max():

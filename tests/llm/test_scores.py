@@ -153,6 +153,27 @@ def test_gradient_of_the_attention_model():
         assert slopes[k][at] == pytest.approx((up - down) / (2 * eps), abs=1e-6)
 
 
+def test_passages_and_scores_by_hand(docs):
+    """Features that can be counted plainly, and the forward pass written out passage by passage."""
+    rng = np.random.default_rng(6)
+    texts = ["Abc abc 12!", "word " * 130 + "End.", "", "é ü $$ [x]"]
+    data, offsets = quality.string_parts(quality.pa.array(texts))
+    x, first = quality.passages(data, offsets)
+    assert first.tolist() == [0, 1, 4, 5, 6]
+    assert x[0, :3] ** 2 == pytest.approx([1 / 11, 5 / 11, 2 / 11]) and x[1, quality.KINDS] == pytest.approx(np.log1p(4)) and not x[4].any()
+    assert x[1, quality.KINDS + 3] == pytest.approx(63 / 64) and x[1, quality.KINDS + 4] == pytest.approx(1 / 64)
+    p = {k: rng.normal(0, 0.5, s) for k, s in {"w": (quality.WIDTH, 5), "b": (5,), "v": (5, 3), "u": (5, 3), "a": (3,), "c": (5,), "d": (1,)}.items()}
+    model = quality.Model(rng.normal(size=quality.WIDTH), rng.uniform(0.5, 2, quality.WIDTH), p)
+    want = []
+    for a, b in zip(first[:-1], first[1:]):
+        h = [np.tanh((v - model.mean) / model.scale @ p["w"] + p["b"]) for v in x[a:b]]
+        e = [np.exp(np.sum(p["a"] * np.tanh(z @ p["v"]) / (1 + np.exp(-(z @ p["u"]))))) for z in h]
+        z = sum(w * v for w, v in zip(e, h)) / sum(e)
+        want.append(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))))
+    got = {r.doc_id: r.score for r in quality.score(docs(*texts), model).collect()}
+    assert [got[i] for i in range(4)] == pytest.approx(want, rel=1e-5)
+
+
 def test_attention_weighs_passages():
     rng = np.random.default_rng(2)
     n, per = 200, 5
@@ -169,3 +190,4 @@ def test_quality_of_odd_texts(docs, sf):
     model = quality.fit(sf("documents"), sf("labels"))
     rows = quality.score(docs(None, "", " \n ", "word " * 30_000, "é", (None, "a"), (1, "b")), model).collect()
     assert len(rows) == 7 and all(0 <= r.score <= 1 for r in rows)
+    assert quality.score(docs("a").limit(0), model).count() == 0
