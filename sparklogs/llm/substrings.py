@@ -37,8 +37,8 @@ from .common import Words, materialize, mix, over_groups, release, slices, strin
 
 WINDOW, PREFIX = 20, 6
 LEFT = WINDOW - PREFIX
-#: Suffixes of one group: less than a MB of words, and as much again as a matrix, in one task.
-GROUP = 2_048
+#: Suffixes of one group: some 8 MB of words, and as much again as a matrix, in one task.
+GROUP = 32_768
 _LAST = (1 << 63) - 1
 _C = np.uint64(0xD6E8FEB86659FD93)
 
