@@ -26,14 +26,20 @@ def deleted_by_day(logs: DataFrame, edge: datetime) -> DataFrame:
     return gone.groupBy(F.to_date("timestamp").alias("dt")).agg(F.count("*").alias("deleted"))
 
 
-def apply(spark, path: str, as_of: datetime, days: int | None = None) -> int:
-    """Remove rows older than the cutoff from the table at path; the number of rows removed."""
-    edge = cutoff(as_of, days)
+def drop_before(spark, path: str, edge: datetime) -> None:
+    """Remove rows older than edge from a folder of date partitions."""
     logs = store.read(spark, path)
-    removed = deleted_by_day(logs.where(F.col("dt") <= F.lit(edge.date())), edge).agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0]
     for day in store.days(spark, path):
         if day < edge.date():
             store.drop_day(spark, path, day)
         elif day == edge.date() and edge != datetime(day.year, day.month, day.day, tzinfo=UTC):
             store.replace_day(spark, path, day, kept(logs.where(F.col("dt") == F.lit(day)), edge))
+
+
+def apply(spark, path: str, as_of: datetime, days: int | None = None) -> int:
+    """Remove rows older than the cutoff from the table at path; the number of rows removed."""
+    edge = cutoff(as_of, days)
+    logs = store.read(spark, path)
+    removed = deleted_by_day(logs.where(F.col("dt") <= F.lit(edge.date())), edge).agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0]
+    drop_before(spark, path, edge)
     return removed

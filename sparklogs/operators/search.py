@@ -25,11 +25,13 @@ def _ordered(logs: DataFrame, params: SearchParams) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("timestamp"), F.desc_nulls_last("id"))
 
 
-def shaped(rows: DataFrame) -> DataFrame:
+def columns() -> list:
     """The columns that users see: id as text, ISO timestamp, level, service, message, attributes."""
-    return rows.select(
-        F.col("id").cast("string").alias("id"), timestamps.iso(F.col("timestamp")).alias("timestamp"), "level", "service", "message", "attributes"
-    )
+    return [F.col("id").cast("string").alias("id"), timestamps.iso(F.col("timestamp")).alias("timestamp"), "level", "service", "message", "attributes"]
+
+
+def shaped(rows: DataFrame) -> DataFrame:
+    return rows.select(*columns())
 
 
 def page(logs: DataFrame, params: SearchParams) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import attributes as attrs
 from ..functions import patterns, timestamps
 from ..plans.params import LEVELS
+from ..sources import workdir
 
 # Limits and the texts of outcomes and reasons.
 BODY_LIMIT = 1_048_576
@@ -28,7 +29,8 @@ NO_MESSAGE = "message must be a non-empty string"
 NOT_FLAT = "attributes must be a flat object"
 NESTED = "nested objects or arrays are not allowed in attribute: '"
 
-BUCKET_BATCHES = 1_000
+#: Rows of one range of batches that ids are given in.
+RANGE_ROWS = 50_000
 
 
 def envelopes(bodies: DataFrame) -> DataFrame:
@@ -37,16 +39,14 @@ def envelopes(bodies: DataFrame) -> DataFrame:
     # a parser stops after the first value; in brackets, anything behind it shows as another element or an error
     wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
     shape = body.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$")
-    read = bodies.select("batch_id", body.alias("body"), F.when(shape & (F.size(wrapped) == 1), wrapped[0]).alias("v"))
-    logs = attrs.field(F.col("v"), "logs")
-    entries = F.try_variant_get(logs, "$", "array<variant>")
-    outcome = (
-        F.when(F.octet_length("body") > BODY_LIMIT, TOO_LARGE)
-        .when(F.col("v").isNull(), MALFORMED)
-        .when(~attrs.kind(F.col("v")).like("OBJECT<%") | ~attrs.kind(logs).like("ARRAY<%"), NO_LOGS)
-        .when(F.size(entries) == 0, EMPTY)
-    )
-    return read.select("batch_id", outcome.alias("outcome"), F.when(outcome.isNull(), entries).alias("entries"))
+    # step by step, so that a body is parsed once; only the beginning of a variant's schema is looked at
+    read = bodies.select("batch_id", (F.octet_length(body) > BODY_LIMIT).alias("large"), F.when(shape, wrapped).alias("wrapped"))
+    read = read.select("batch_id", "large", F.when(F.size("wrapped") == 1, F.col("wrapped")[0]).alias("v"))
+    read = read.select("batch_id", "large", F.col("v").isNull().alias("broken"), attrs.field(F.col("v"), "logs").alias("logs"))
+    # arrays alone can be taken as arrays, and objects alone have fields
+    read = read.select("batch_id", "large", "broken", F.try_variant_get("logs", "$", "array<variant>").alias("entries"))
+    outcome = F.when(F.col("large"), TOO_LARGE).when(F.col("broken"), MALFORMED).when(F.col("entries").isNull(), NO_LOGS).when(F.size("entries") == 0, EMPTY)
+    return read.select("batch_id", outcome.alias("outcome"), F.when(outcome.isNull(), F.col("entries")).alias("entries"))
 
 
 def exploded(bodies: DataFrame) -> DataFrame:
@@ -98,14 +98,19 @@ def validated(entries: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def accepted(checked: DataFrame) -> DataFrame:
-    """batch_id, index and the stored columns of accepted entries."""
-    return checked.where("reason IS NULL").select(
-        "batch_id", "index", "timestamp", "level", "service", "message",
+def normalised(checked: DataFrame) -> DataFrame:
+    """batch_id, index, reason and the stored columns of all entries, those of rejected ones as far as they can be read."""
+    return checked.select(
+        "batch_id", "index", "reason", "timestamp", "level", "service", "message",
         attrs.canonical(F.col("flat")).alias("attributes"), attrs.search_map(F.col("flat")).alias("attributes_search"), F.to_date("timestamp").alias("dt"),
     )
 
 
+def accepted(checked: DataFrame) -> DataFrame:
+    """batch_id, index and the stored columns of accepted entries."""
+    return normalised(checked.where("reason IS NULL")).drop("reason")
+
+
 def rejected(checked: DataFrame) -> DataFrame:
     return checked.where("reason IS NOT NULL").select("batch_id", F.col("index").cast("int").alias("index"), "reason")
 
@@ -120,10 +125,20 @@ def report(checked: DataFrame) -> DataFrame:
 def with_ids(rows: DataFrame, base: int = 0) -> DataFrame:
     """rows with ids base + 1, base + 2, ... in the order of (batch_id, index).
 
-    Batches are numbered in ranges: counts per range give its offset, a row number inside it the rest, so no task
-    holds more than one range.
+    The rows are written once and read back, so that what makes them runs once. Batches are numbered in ranges of about
+    RANGE_ROWS rows: counts per range give its offset, a row number inside it the rest, so no task holds more than one
+    range.
     """
-    ranged = rows.withColumn("range_", F.floor(F.col("batch_id") / BUCKET_BATCHES))
+    path = workdir.fresh(rows.sparkSession, "accepted")
+    rows.write.parquet(path)
+    return numbered(rows.sparkSession.read.schema(rows.schema).parquet(path), base)
+
+
+def numbered(rows: DataFrame, base: int = 0) -> DataFrame:
+    """with_ids of rows that are stored."""
+    n, low, high = rows.agg(F.count("*"), F.min("batch_id"), F.max("batch_id")).first()
+    width = max(1, (high - low + 1) * RANGE_ROWS // n) if n else 1
+    ranged = rows.withColumn("range_", F.expr(f"batch_id DIV {width}"))
     earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = ranged.groupBy("range_").count().select("range_", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset_"))
     inside = F.row_number().over(Window.partitionBy("range_").orderBy("batch_id", "index"))

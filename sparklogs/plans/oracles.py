@@ -66,6 +66,10 @@ _ENTRIES = f"""{_LOGS}, B AS (
 _STORED = f"{_ISO.format('ts')} AS timestamp, level, service, message, attributes, k"
 _CUT_INSIDE = "TIMESTAMP '2024-01-16 13:37:00'"
 
+_REPORT = f"""WITH {_ENTRIES} SELECT batch_id, count(*) FILTER (reason IS NULL) AS accepted,
+coalesce(string_agg(idx || ':' || reason, ';' ORDER BY idx) FILTER (reason IS NOT NULL), '') AS rejected,
+CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN 400 ELSE 200 END AS status FROM E GROUP BY batch_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -106,9 +110,7 @@ FROM P WHERE n <= 51""",
         "rollup_incremental": f"WITH {_LOGS} {_rollup('minute')}",
         "rollup_reconcile": "SELECT 0::BIGINT AS differing, count(*) AS rolled, count(*) AS raw FROM events",
         "ingest_validate": f"WITH {_ENTRIES} SELECT batch_id, idx AS index, reason FROM E",
-        "ingest_batch_report": f"""WITH {_ENTRIES} SELECT batch_id, count(*) FILTER (reason IS NULL) AS accepted,
-coalesce(string_agg(idx || ':' || reason, ';' ORDER BY idx) FILTER (reason IS NOT NULL), '') AS rejected,
-CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN 400 ELSE 200 END AS status FROM E GROUP BY batch_id""",
+        "ingest_batch_report": _REPORT,
         "ingest_envelope": f"WITH {_ENTRIES} SELECT DISTINCT batch_id, outcome FROM B",
         "ingest_accepted": f"WITH {_ENTRIES} SELECT row_number() OVER (ORDER BY batch_id, idx) AS id, {_STORED} FROM E WHERE reason IS NULL",
         "unnest_batches": f"WITH {_LOGS} SELECT id // 50 AS batch_id, {_ISO.format('ts')} AS timestamp, level, service, message, attributes FROM L",
@@ -121,6 +123,16 @@ CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN 400 ELSE 200 END AS status F
             _rollup(w, f"date_trunc('{w}', ts) + INTERVAL 1 {w} > {_CUT_INSIDE}", f", '{n}' AS width") for w, n in (('minute', '1m'), ('hour', '1h'), ('day', '1d')))})""",
         "stream_ingest": f"WITH {_ENTRIES} SELECT {_STORED} FROM E WHERE reason IS NULL",
         "stream_rollup": f"WITH {_ENTRIES} {_rollup('minute', 'reason IS NULL').replace('FROM L', 'FROM E')}",
+        "rollup_store_query": _rolled("1h", _U0, _U1, "level"),
+        "rollup_compacted": f"""WITH {_LOGS} SELECT * FROM ({' UNION ALL '.join(
+            _rollup(w, "true", f", '{n}' AS width") for w, n in (('minute', '1m'), ('hour', '1h'), ('day', '1d')))})""",
+        "agg_routed": f"""SELECT *, 'rollup' AS path FROM ({_rolled("1d", _U0, _U1, "service")})
+UNION ALL SELECT *, 'raw' AS path FROM ({_count("1d", _U0, _U1, "service", where="message ILIKE '%user 1%'")})""",
+        "search_cursor_page": f"WITH {_LOGS} SELECT {_SHAPE} FROM (SELECT * FROM L ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 50)",
+        "stream_report": _REPORT,
+        "stream_expired": f"""WITH {_ENTRIES} SELECT *, 'rows' AS of FROM ({_rollup('day', f"reason IS NULL AND ts >= {_CUT_INSIDE}").replace('FROM L', 'FROM E')})
+UNION ALL SELECT *, 'rollup' AS of FROM ({_rollup('day', f"reason IS NULL AND date_trunc('day', ts) + INTERVAL 1 day > {_CUT_INSIDE}").replace('FROM L', 'FROM E')})""",
+        "stream_live_counts": f"WITH {_LOGS} {_rollup('hour')}",
         "generate_logs": """SELECT event_id AS id,
 strftime(TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 7919 % 2592000000), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp,
 CASE event_id * 31 % 4 WHEN 0 THEN 'debug' WHEN 1 THEN 'info' WHEN 2 THEN 'warn' ELSE 'error' END AS level,

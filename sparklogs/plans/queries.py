@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timestamps
 from ..functions.timestamps import instant
-from ..operators import aggregate, filters, retention, rollup, search, validate
+from ..operators import aggregate, filters, retention, rollup, rollup_store, search, validate
 from ..session import prepared
 from ..sources import copytext, events, generate, store, workdir
 from ..streaming import ingest
@@ -33,6 +34,45 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.logs(_table(spark, sf_dir, "events"))
 
 
+#: What was stored for a query's table in this application: bodies that came in, rollups of the logs.
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    key = (prepared(spark).sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        path = workdir.fresh(spark, name)
+        write(path)
+        _kept[key] = path
+    return _kept[key]
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request bodies, as they are stored when they come in."""
+    path = _once(spark, sf_dir, "bodies", lambda p: events.bodies(_table(spark, sf_dir, "events"), AS_OF).write.parquet(p))
+    return spark.read.schema(ingest.BODIES).parquet(path)
+
+
+def _rollups(spark: SparkSession, sf_dir: str) -> rollup.Rollups:
+    """The stored rollups of the logs: all of them were merged into the base, as after a night's compaction."""
+
+    def write(path: str) -> None:
+        rollup_store.add(rollup.minutes(_logs(spark, sf_dir)), path, 0)
+        rollup_store.compact(spark, path)
+
+    return rollup_store.read(spark, _once(spark, sf_dir, "rollups", write))
+
+
+def _grown(spark: SparkSession, sf_dir: str, merge_after: tuple[int, ...]) -> rollup.Rollups:
+    """Rollups that four increments of the logs were added to, merged after some of them."""
+    path, logs = workdir.fresh(prepared(spark), "rollups"), _logs(spark, sf_dir)
+    for k in range(4):
+        rollup_store.add(rollup.minutes(logs.where(F.pmod("id", F.lit(4)) == k)), path, k)
+        if k in merge_after:
+            rollup_store.compact(spark, path)
+    return rollup_store.read(spark, path)
+
+
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs with times cut to the hour, so that many rows tie and the id decides."""
     return _logs(spark, sf_dir).withColumn("timestamp", F.date_trunc("HOUR", "timestamp"))
@@ -60,7 +100,7 @@ def _rolled(since, until, bucket, group_by=None, **conditions) -> Query:
     params = CountParams(since, until, bucket, group_by, **conditions)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return aggregate.counts(_logs(spark, sf_dir), rollup.build(_logs(spark, sf_dir)), params)
+        return aggregate.counts(_logs(spark, sf_dir), _rollups(spark, sf_dir), params)
 
     return run
 
@@ -71,7 +111,30 @@ def _shown(part: DataFrame) -> DataFrame:
 
 def logs_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = _logs(spark, sf_dir)
-    return search.shaped(logs).join(logs.select(F.col("id").cast("string").alias("id"), F.col("attributes_search")["k"].alias("k")), "id")
+    return logs.select(*search.columns(), F.col("attributes_search")["k"].alias("k"))
+
+
+def rollup_store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from a base and two deltas that aren't merged yet."""
+    return aggregate.ordered(rollup.query(_grown(spark, sf_dir, (1,)), CountParams(*UNALIGNED, "1h", "level")))
+
+
+def rollup_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_width(_grown(spark, sf_dir, (0, 2, 3)))
+
+
+def agg_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that rollups can answer, and counts that raw rows must."""
+    one, two = CountParams(*UNALIGNED, "1d", "service"), CountParams(*UNALIGNED, "1d", "service", q="user 1")
+    rows = [aggregate.counts(_logs(spark, sf_dir), _rollups(spark, sf_dir), p).withColumn("path", F.lit(aggregate.route(p))) for p in (one, two)]
+    return rows[0].unionByName(rows[1])
+
+
+def search_cursor_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the cursor text that the first page's report gives."""
+    params = SearchParams(limit=50)
+    text = search.page_report(_logs(spark, sf_dir), params).first()["next_cursor"]
+    return search.page(_logs(spark, sf_dir), replace(params, cursor=Cursor.decode(text)))
 
 
 def search_page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,20 +158,24 @@ def rollup_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.validated(validate.exploded(events.bodies(_table(spark, sf_dir, "events"), AS_OF)), AS_OF)
+    return validate.validated(validate.exploded(_bodies(spark, sf_dir)), AS_OF)
 
 
 def ingest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("batch_id", F.col("index").cast("long").alias("index"), "reason")
 
 
-def ingest_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reported(report: DataFrame) -> DataFrame:
     lines = F.transform("rejected", lambda r: F.concat_ws(":", r["index"].cast("string"), r["reason"]))
-    return validate.report(_checked(spark, sf_dir)).select("batch_id", "accepted", F.array_join(lines, ";").alias("rejected"), "status")
+    return report.select("batch_id", "accepted", F.array_join(lines, ";").alias("rejected"), "status")
+
+
+def ingest_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reported(validate.report(_checked(spark, sf_dir)))
 
 
 def ingest_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.envelopes(events.bodies(_table(spark, sf_dir, "events"), AS_OF)).select("batch_id", "outcome")
+    return validate.envelopes(_bodies(spark, sf_dir)).select("batch_id", "outcome")
 
 
 def _stored(rows: DataFrame) -> DataFrame:
@@ -151,12 +218,19 @@ def retention_deleted_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("dt").cast("string").alias("dt"), "deleted")
 
 
-def rollup_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = rollup.pruned(rollup.build(_logs(spark, sf_dir)), retention.cutoff(AS_OF_INSIDE, RETENTION_DAYS))
-    parts = [_shown(part).withColumn("width", F.lit(w)) for w, part in (("1m", kept.minute), ("1h", kept.hour), ("1d", kept.day))]
+def _by_width(rolled: rollup.Rollups) -> DataFrame:
+    parts = [_shown(part).withColumn("width", F.lit(w)) for w, part in (("1m", rolled.minute), ("1h", rolled.hour), ("1d", rolled.day))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def rollup_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rollups after they were pruned on disk."""
+    path = workdir.fresh(prepared(spark), "rollups")
+    rollup_store.add(rollup.minutes(_logs(spark, sf_dir)), path, 0)
+    rollup_store.compact(spark, path, retention.cutoff(AS_OF_INSIDE, RETENTION_DAYS))
+    return _by_width(rollup_store.read(spark, path))
+
+
 def retention_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored table after the retention job: what is read back."""
     path = workdir.fresh(prepared(spark), "logs")
@@ -166,16 +240,41 @@ def retention_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
-    """Ingest the bodies as a stream of three files, one per micro-batch; where the result lies."""
+    """Ingest the bodies as a stream, three files to a micro-batch; where the result lies."""
     path = workdir.fresh(prepared(spark), "stream")
-    bodies = events.bodies(_table(spark, sf_dir, "events"), AS_OF)
-    for k in range(3):
-        bodies.where(F.pmod("batch_id", F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    query = ingest.start(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", clock=lambda: AS_OF, files_per_trigger=1)
+    _bodies(spark, sf_dir).repartition(8, "batch_id").write.parquet(f"{path}/in")
+    query = ingest.start(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", clock=lambda: AS_OF, files_per_trigger=3)
     query.awaitTermination()
     return f"{path}/out"
 
 
+def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reported(ingest.reports(spark, _streamed(spark, sf_dir)))
+
+
+def stream_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream stored, after rows and rollups were expired on disk: the day counts of the rows left, and the rollup's days."""
+    path, edge = _streamed(spark, sf_dir), retention.cutoff(AS_OF_INSIDE, RETENTION_DAYS)
+    ingest.expire(spark, path, edge)
+    kept = rollup.coarser(rollup.minutes(ingest.stored_rows(spark, path)), "1d")
+    return _shown(kept).withColumn("of", F.lit("rows")).unionByName(_shown(ingest.rollups(spark, path).day).withColumn("of", F.lit("rollup")))
+
+
+def stream_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live counts per hour of the logs as a stream, after all of it was read."""
+    path = workdir.fresh(prepared(spark), "live")
+    logs = _logs(spark, sf_dir).select("timestamp", "service", "level")
+    logs.repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def store_counts(counts: DataFrame, epoch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{path}/out")
+
+    write = ingest.live_counts(stream, "1 hour").writeStream.outputMode("complete").foreachBatch(store_counts)
+    write.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _shown(spark.read.parquet(f"{path}/out"))
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(ingest.stored_rows(spark, _streamed(spark, sf_dir)))
 
@@ -239,4 +338,11 @@ def queries() -> dict[str, Query]:
         "stream_ingest": stream_ingest,
         "stream_rollup": stream_rollup,
         "generate_logs": generate_logs,
+        "rollup_store_query": rollup_store_query,
+        "rollup_compacted": rollup_compacted,
+        "agg_routed": agg_routed,
+        "search_cursor_page": search_cursor_page,
+        "stream_report": stream_report,
+        "stream_expired": stream_expired,
+        "stream_live_counts": stream_live_counts,
     }

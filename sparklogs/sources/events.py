@@ -13,23 +13,22 @@ from ..functions import timestamps
 PER_BATCH = 50
 
 
-def logs(events: DataFrame) -> DataFrame:
-    """The logs view of the events: id, timestamp, level, service, message, attributes, attributes_search, dt."""
+def logs(events: DataFrame, *more: str) -> DataFrame:
+    """The logs view of the events: id, timestamp, level, service, message, attributes, attributes_search, dt, and columns of theirs."""
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "warn").when(F.col("event_type") == "view", "debug")
     service = F.array(*map(F.lit, ("checkout", "auth", "payment", "inventory")))[F.pmod("user_id", F.lit(4)).cast("int")]
     ts = F.date_trunc("MILLISECOND", F.col("ts").cast("timestamp"))
     return events.select(
         F.col("event_id").alias("id"), ts.alias("timestamp"), level.otherwise("info").alias("level"), service.alias("service"),
         F.concat("event_type", F.lit(" by user "), F.col("user_id").cast("string")).alias("message"), F.col("props").alias("attributes"),
-        F.transform_values(attrs.parsed(F.col("props")), lambda _, v: attrs.text_of(v)).alias("attributes_search"), F.to_date(ts).alias("dt"),
+        F.transform_values(attrs.parsed(F.col("props")), lambda _, v: attrs.text_of(v)).alias("attributes_search"), F.to_date(ts).alias("dt"), *more,
     )
 
 
 def bodies(events: DataFrame, as_of: datetime) -> DataFrame:
     """batch_id and body: requests of 50 entries, with faults planted by the event's number."""
-    i = F.col("event_id")
-    view = logs(events).select("id", "timestamp", "level", "service", "message", "attributes")
-    rows = view.join(events.select("event_id", "ts"), F.col("id") == i)
+    i = F.col("id")
+    rows = logs(events, "ts").select("id", "timestamp", "level", "service", "message", "attributes", "ts")
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     late = as_of + timedelta(minutes=10)
     micros = F.date_format(F.col("ts").cast("timestamp") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")

@@ -12,10 +12,16 @@ from ..schema import LOGS
 ROWS_PER_FILE = 5_000_000
 
 
-def write(rows: DataFrame, path: str, files_per_day: int = 8, mode: str = "append") -> None:
-    """Append rows by date. Nearly all rows of a batch are of one day: it is dealt to files_per_day tasks."""
-    spread = F.pmod(F.xxhash64("id"), F.lit(files_per_day))
-    rows.select(*LOGS.fieldNames()).repartition("dt", spread).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("dt").parquet(path)
+def spread(rows: DataFrame) -> DataFrame:
+    """rows (with dt and id) dealt by day and number. Nearly all rows of a batch are of one day: it is dealt to as many
+    tasks as a shuffle has, and the adaptive engine joins small neighbours to files of its advisory size."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition("dt", F.pmod(F.xxhash64("id"), F.lit(n)))
+
+
+def write(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Append rows by date."""
+    spread(rows.select(*LOGS.fieldNames())).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("dt").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -32,27 +38,35 @@ def rows_of(batches: DataFrame) -> DataFrame:
     )
 
 
-def _fs(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def days(spark: SparkSession, path: str) -> list[date]:
     """The dates that have a partition."""
-    fs, place = _fs(spark, path)
+    fs, place = filesystem(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(place)]
     return sorted(date.fromisoformat(n[3:]) for n in names if n.startswith("dt=") and n[3:] != "__HIVE_DEFAULT_PARTITION__")
 
 
 def drop_day(spark: SparkSession, path: str, day: date) -> None:
-    fs, place = _fs(spark, f"{path}/dt={day}")
+    fs, place = filesystem(spark, f"{path}/dt={day}")
     fs.delete(place, True)
 
 
 def replace_day(spark: SparkSession, path: str, day: date, rows: DataFrame) -> None:
-    """Put rows in the place of a partition: written beside the table first, then moved there."""
-    staged = f"{path.rstrip('/')}__staged/dt={day}"
+    """Put rows in the place of a partition: written beside the table, the old partition moved aside, the new one moved
+    in, and the old one removed at last. If it stops halfway, the day lies whole in the __staged or the __old folder."""
+    top = path.rstrip("/")
+    staged, aside = f"{top}__staged/dt={day}", f"{top}__old/dt={day}"
     rows.drop("dt").write.mode("overwrite").parquet(staged)
-    fs, target = _fs(spark, f"{path}/dt={day}")
-    fs.delete(target, True)
-    fs.rename(_fs(spark, staged)[1], target)
+    fs, target = filesystem(spark, f"{path}/dt={day}")
+    old = filesystem(spark, aside)[1]
+    fs.delete(old, True)
+    fs.mkdirs(old.getParent())
+    for a, b in ((target, old), (filesystem(spark, staged)[1], target)):
+        if not fs.rename(a, b):
+            raise OSError(f"{a} can't be moved to {b}")
+    fs.delete(old, True)

@@ -1,9 +1,10 @@
 """Streaming ingest: each micro-batch is validated, stored and counted, and can be replayed.
 
-A micro-batch writes four outputs, each partitioned by its epoch with dynamic overwrite: the clock and first id that
-it used (written first, and read back when the epoch is replayed), rows, rejects, and the minute rollup's delta,
-which is written after the rows. A replay of an epoch replaces its own partitions by equal ones. There is no
-watermark: rows of any age are kept. Files per trigger bound the work in flight.
+A micro-batch merges the files that came in since the last one. It is validated once, into a table of checked entries,
+and writes its outputs from that, each partitioned by its epoch with dynamic overwrite: the clock and first id that it
+used (written first, and read back when the epoch is replayed), rows, rejects, the report of each body, and the rollups'
+deltas, which are counted from the stored rows. A replay of an epoch replaces its own partitions by equal ones. There is
+no watermark: rows of any age are kept. Files per trigger bound the work in flight.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import timestamps
-from ..operators import rollup, validate
-from ..schema import LOGS, REJECTS, ROLLUP
+from ..operators import retention, rollup, rollup_store, validate
+from ..schema import LOGS, REJECTS
+from ..sources import store
 
 BODIES = "batch_id long, body string"
+REPORTS = "batch_id long, accepted long, rejected array<struct<index: int, reason: string>>, status int"
 EPOCHS = "epoch long, as_of_ms long, base_id long, rows long"
 
 
@@ -45,27 +48,49 @@ def ingest_epoch(bodies: DataFrame, epoch: int, path: str, clock: Callable[[], d
         as_of, base = clock(), past or 0
     else:
         as_of, base = datetime.fromtimestamp(mine["as_of_ms"] / 1000, UTC), mine["base_id"]
-    checked = validate.validated(validate.exploded(bodies), as_of)
+    checked = validate.normalised(validate.validated(validate.exploded(bodies), as_of))
+    checked.write.mode("overwrite").parquet(f"{path}/checked/{epoch}")
+    checked = spark.read.schema(checked.schema).parquet(f"{path}/checked/{epoch}")
     if mine is None:
         # an upper bound of the ids that the epoch takes: its entries
-        n = validate.exploded(bodies).count()
-        _overwrite(spark.createDataFrame([(epoch, timestamps.millis(as_of), base, n)], EPOCHS), f"{path}/epochs", "epoch")
-    rows = validate.with_ids(validate.accepted(checked), base).select(*LOGS.fieldNames())
+        _overwrite(spark.createDataFrame([(epoch, timestamps.millis(as_of), base, checked.count())], EPOCHS), f"{path}/epochs", "epoch")
+    rows = validate.numbered(checked.where("reason IS NULL"), base).select(*LOGS.fieldNames())
     tag = F.lit(epoch).cast("long").alias("epoch")
-    spread = F.pmod(F.xxhash64("id"), F.lit(8))
-    _overwrite(rows.repartition("dt", spread).select("*", tag), f"{path}/rows", "epoch", "dt")
+    _overwrite(store.spread(rows).select("*", tag), f"{path}/rows", "epoch", "dt")
     _overwrite(validate.rejected(checked).select("*", tag), f"{path}/rejects", "epoch")
+    _overwrite(validate.report(checked).select("*", tag), f"{path}/reports", "epoch")
     stored = stored_rows(spark, path).where(F.col("epoch") == epoch)
-    _overwrite(rollup.minutes(stored).coalesce(1).select("*", tag), f"{path}/minutes", "epoch")
+    rollup_store.add(rollup.minutes(stored), f"{path}/rollups", epoch)
+    fs, place = store.filesystem(spark, f"{path}/checked/{epoch}")
+    fs.delete(place, True)
 
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/rows", T.StructType([*LOGS.fields, T.StructField("epoch", T.LongType())]))
 
 
+def rollups(spark: SparkSession, path: str) -> rollup.Rollups:
+    """The sums of all deltas, merged or not."""
+    return rollup_store.read(spark, f"{path}/rollups")
+
+
 def minute_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """The sum of all deltas."""
-    return rollup.merged(_read(spark, f"{path}/minutes", ROLLUP).select(*ROLLUP.fieldNames()))
+    return rollups(spark, path).minute
+
+
+def expire(spark: SparkSession, path: str, cutoff: datetime) -> None:
+    """Remove stored rows older than the cutoff, day by day in every epoch, and the buckets of the rollups that ended
+    before it; merges the deltas. Not to be run while the stream is."""
+    fs, place = store.filesystem(spark, f"{path}/rows")
+    for folder in fs.listStatus(place):
+        if folder.getPath().getName().startswith("epoch="):
+            retention.drop_before(spark, folder.getPath().toString(), cutoff)
+    rollup_store.compact(spark, f"{path}/rollups", cutoff)
+
+
+def reports(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, accepted, rejected and status of every body that had entries."""
+    return _read(spark, f"{path}/reports", REPORTS)
 
 
 def rejects(spark: SparkSession, path: str) -> DataFrame:
