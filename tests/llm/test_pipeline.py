@@ -5,10 +5,12 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from sparklogs.llm import entry, jaccard, secrets
+from sparklogs.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,6 +62,34 @@ def test_stages(spark, folder):
     assert sorted(map(str, corpus_pipeline.run(spark, path).collect())) == sorted(map(str, encoded))
 
 
+def test_stages_on_odd_rows(spark, folder, tmp_path):
+    """Nulls in every column, blank and long texts, repeated rows, clashing extra columns; and an empty table."""
+    path, docs = folder
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    odd = [
+        (None, None, None, None, None), (None, "", "en", "src0", 0), (7001, None, "en", None, None), (7002, " \n", None, "src1", 2), (None, "an id less text", "en", None, 1),
+        (7003, "y" + " tail of words" * 30_000, "fr", "src2", 9), (7003, "another text of the same id", "fr", "src2", 9), docs[1] + (9,), docs[1] + (9,),
+    ]
+    names = ["row", "id", "id_", "hash", "blob", "findings", "found", "label", "score", "of_", "left_", "copies_", "epoch_", "f", "none"]
+    whole = frame.unionByName(spark.createDataFrame(odd, frame.schema)).withColumns({n: F.lit("x") for n in names})
+    here = str(tmp_path / "odd")
+    whole.write.parquet(f"{here}/documents.parquet")
+    spark.read.parquet(f"{path}/labels.parquet").write.parquet(f"{here}/labels.parquet")
+    for table in (whole, whole.limit(0)):
+        out = table
+        for name, stage in corpus_pipeline.STAGES:
+            before, out = out, stage(spark, out, here)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == table.columns, name
+                out = materialize(out, "stage")
+            if name == "n-gram Jaccard join" and table is whole:
+                kept = [(r.doc_id, r.text) for r in out.collect()]
+                assert kept.count((1, docs[1][1])) == 1 and (7003, odd[6][1]) in kept and (7003, odd[5][1]) in kept and (7001, None) in kept
+                assert len(kept) == len({(i, t) for i, t in kept}) and kept.count((None, None)) == 1
+        rows = out.collect()
+        assert all(r.lossless for r in rows) and bool(rows) == (table is whole)
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
     names = set(__spark_entry__.queries())
