@@ -24,15 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix, slices
+from .common import mix, slices, string_parts
 
 SPACE, MARK = "▁", "\udc81"  # MARK stands for a literal U+2581 of the text, which no piece may take
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS, SEED = 0.7, 17
 #: Units that a task keeps filtered: arcs, at most; beyond that it begins anew.
-MOST_ARCS = 4_500_000
+MOST_ARCS = 3_000_000
 #: Units that are filtered at once.
-UNITS = 10_000
+UNITS = 2_000
 _UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
 
 
@@ -232,12 +232,13 @@ def encode(docs: DataFrame, model: Vocabulary, seed: int = SEED) -> DataFrame:
     def run(batches):
         lattices, table = Lattices(model), model.table()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             keys = keys_of(batch.column("doc_id"), seed)
-            for i, j in slices(np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))):
-                ids, cuts = lattices.sample([t or "" for t in texts[i:j]], keys[i:j])
-                flat, null = ids.tolist(), np.array([t is None for t in texts[i:j]])
-                same = [None if t is None else decode_ids(flat[a:b], table) == t for t, a, b in zip(texts[i:j], cuts[:-1], cuts[1:], strict=True)]
+            _, offsets = string_parts(batch.column("text"))
+            for i, j in slices(offsets):
+                texts = batch.column("text")[i:j].to_pylist()
+                ids, cuts = lattices.sample([t or "" for t in texts], keys[i:j])
+                flat, null = ids.tolist(), np.array([t is None for t in texts])
+                same = [None if t is None else decode_ids(flat[a:b], table) == t for t, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids), mask=pa.array(null))
                 count = pa.array(np.where(null, 0, np.diff(cuts)), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], count, lists, pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "lossless"])

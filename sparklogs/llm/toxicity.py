@@ -346,7 +346,8 @@ def score_column(model: Model):
 
     @F.pandas_udf("double")
     def toxicity(text: pd.Series) -> pd.Series:
-        return pd.Series(probability([(t or "").lower().encode() for t in text], model))
+        parts = [text[i : i + 500] for i in range(0, len(text), 500)]
+        return pd.Series(np.concatenate([probability([(t or "").lower().encode() for t in part], model) for part in parts] or [np.zeros(0)]))
 
     return toxicity
 
