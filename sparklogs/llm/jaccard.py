@@ -227,7 +227,7 @@ def _first_tokens(k: int, num: int, den: int, often: np.ndarray):
 
 
 def _shared(table: pa.Table) -> pa.RecordBatch | None:
-    """Of whole groups of first tokens, the distinct (f, t) whose token several sets have."""
+    """Of whole groups of first tokens, the distinct (f, t) whose token several sets have, and whether it is in `often`."""
     d, x, often = (table.column(c).to_numpy() for c in ("d", "x", "often"))
     order = np.lexsort((x, d, often))
     d, x, often = d[order], x[order], often[order]
@@ -237,7 +237,8 @@ def _shared(table: pa.Table) -> pa.RecordBatch | None:
     keep = often | np.concatenate(([False], same)) | np.concatenate((same, [False]))
     if not keep.any():
         return None
-    return pa.RecordBatch.from_arrays([pa.array(np.where(often, d, x)[keep]), pa.array(np.where(often, x, d)[keep])], ["f", "t"])
+    f, t = np.where(often, d, x), np.where(often, x, d)
+    return pa.RecordBatch.from_arrays([pa.array(f[keep]), pa.array(t[keep]), pa.array(often[keep])], ["f", "t", "often"])
 
 
 def _whole_sets(k: int):
@@ -278,7 +279,7 @@ def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     often = sampled.groupBy("d").agg(F.count_distinct("x").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "d").limit(MOST_OFTEN)
     often = np.sort(np.array([r["d"] for r in often.select("d").collect()], np.int64))  # at most MOST_OFTEN
     emitted = base.select("text").mapInArrow(_first_tokens(k, num, den, often), schema)
-    pairs = materialize(over_groups(emitted.repartition("d"), "d", _shared, "f long, t long", 200_000), "pairs")
+    pairs = materialize(over_groups(emitted.repartition("d"), "d", _shared, "f long, t long, often boolean", 200_000), "pairs")
     smallest = F.expr(f"(n * {num} + {den - 1}) DIV {den}")  # the smallest partner
     slack = F.expr(f"small - (small * {num} + {den - 1}) DIV {den}")
     held = pairs.groupBy("f").agg(F.count("*").alias("held"), F.min("t").alias("key"))
@@ -297,8 +298,12 @@ def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     known = left.select("f", F.col("f").alias("comp"), "least")
     roots = components(edges.where("strict").select("a", "b")).select(F.col("node").alias("f"), "root")
     known = materialize(known.join(roots, "f", "left").select("f", F.coalesce("root", "f").alias("comp"), "least"), "known")
-    across = pairs.join(known, "f").groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("t")
-    rest = pairs.join(across, "t", "left_semi").groupBy("f").agg(F.count("*").alias("held")).join(known, "f").where("held >= least")
+    across = pairs.join(known, "f").groupBy("t", "often").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    across = materialize(across.where("low <> high").select("t", "often"), "across")
+    # rows of tokens in `often`, of which there are at most MOST_OFTEN, stay where they are
+    held = pairs.where("often").join(F.broadcast(across.where("often").select("t")), "t", "left_semi")
+    held = held.union(pairs.where("NOT often").join(across.where("NOT often").select("t"), "t", "left_semi"))
+    rest = held.groupBy("f").agg(F.count("*").alias("held")).join(known, "f").where("held >= least")
     rest = materialize(rest.select("f", "comp"), "rest")
     families = materialize(sets.select("f", "tokens").join(rest, "f"), "families")
 
@@ -320,7 +325,7 @@ def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     named = of_sets.select("f", "comp").join(least, "comp").select(F.col("f").alias("f_"), "first")
     named = each.join(named, F.col("f") == F.col("f_"), "left").select(F.col("f").alias("of"), "row", F.coalesce("first", "row").alias("first"))
     named = materialize(named, "components")
-    release(each, pairs, left, sets, edges, rest, families, probed, more)
+    release(each, pairs, left, sets, edges, across, rest, families, probed, more)
     return rows, named
 
 
