@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparklogs.llm import jaccard, mixing, pieces, secrets, toxicity
-from sparklogs.llm.common import materialize, read
+from sparklogs.llm.common import materialize, read, release
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = before = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if hasattr(before, "written_at"):  # a stage's table goes once the next one's is there
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

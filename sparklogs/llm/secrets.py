@@ -1,9 +1,9 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 Every version of every document is a path to a blob, the SHA-256 of its text. The ledger holds what was found in each
-blob under each rule version. `record` reduces the rows of an increment to their blobs (a partial aggregate, so a text
-with a third of all rows is one row per task), leaves out the pairs of blob and rule version that the ledger knows,
-reads one document per unseen blob, scans it once and adds it. `findings` joins the ledger back to all paths.
+blob under each rule version. `record` reduces the rows of an increment to one text per blob (a partial aggregate, so a
+text with a third of all rows is one row per task), leaves out the pairs of blob and rule version that the ledger knows,
+scans each unseen blob once and adds it. `findings` joins the ledger back to all paths.
 
 Two writers may add a blob both; it is read once, as equal blobs have equal findings.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import shared_dir
 
 #: A rule: kind, pattern, group that must be long enough, least length. The order is the order of kinds.
 BASE_RULES = (
@@ -87,12 +87,10 @@ def ledger(spark, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
 def record(docs: DataFrame, path: str, rule_version: int = RULE_VERSION, rules=None) -> None:
     """Scan the blobs of docs (doc_id, text) that the ledger at `path` doesn't know under rule_version, and add them."""
     rules = RULES[rule_version] if rules is None else rules
-    versions = docs.select("doc_id", "text", _blob().alias("blob"))
-    one = versions.groupBy("blob").agg(F.min("doc_id").alias("one"))
-    one = one.join(ledger(docs.sparkSession, path, rule_version).select("blob"), "blob", "left_anti")
-    one = materialize(one.withColumnRenamed("blob", "blob_"), "unseen")
-    texts = versions.join(one, (F.col("blob") == F.col("blob_")) & F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
-    fresh = texts.select("blob", "text").mapInArrow(_scan(rules), f"blob binary, findings {FINDINGS}")
+    # one text for each blob in every task first, so a text with a third of all rows is a row per task from then on
+    one = docs.select("text", _blob().alias("blob")).groupBy("blob").agg(F.first("text").alias("text"))
+    unseen = one.join(ledger(docs.sparkSession, path, rule_version).select("blob"), "blob", "left_anti")
+    fresh = unseen.select("blob", "text").mapInArrow(_scan(rules), f"blob binary, findings {FINDINGS}")
     fresh.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(path)
 
 

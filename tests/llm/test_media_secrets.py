@@ -139,6 +139,13 @@ def test_increments_through_one_ledger(spark, docs, tmp_path):
     assert [p.count() for p in secrets.increments(frame.limit(0))] == [0]
 
 
+def test_repeated_rows_are_scanned_once(spark, docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    out = secrets.scan(docs(*[(None, "token=abcdefgh1")] * 500, *[(7, None)] * 20, (7, "")), path)
+    assert out.count() == 521 and sum(len(r.findings) for r in out.collect()) == 500
+    assert spark.read.parquet(path).count() == 2  # rows of the ledger as they are stored
+
+
 def test_redaction(docs):
     frame = docs(*TEXTS, (0, "same id, no secret"), (50, TEXTS[0]))
     from pyspark.sql import functions as F
