@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lattice, media, mixing, pieces, quality, secrets, sharding, substrings, toxicity
+from . import centroids, jaccard, lattice, media, mixing, pieces, quality, resampling, secrets, sharding, substrings, toxicity, wrappers
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,11 +77,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read(spark, sf_dir, "embeddings"))
+
+
+def op12_radix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {"op1_clause_toxicity": op1_clause_toxicity, "op2_sampled_pieces": op2_sampled_pieces, "op6_token_group_join": op6_token_group_join,
              "op8_lattice_near_dedup": op8_lattice_near_dedup, "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
              "op5_passage_quality": op5_passage_quality}
     found |= {"op7_iso_media": op7_iso_media, "op9_blob_ledger": op9_blob_ledger, "op3_kd_sharding": op3_kd_sharding, "op10_source_mixing": op10_source_mixing}
+    found |= {"op11_centroid_search": op11_centroid_search, "op12_radix_resampling": op12_radix_resampling, "op13_wrapper_extraction": op13_wrapper_extraction}
     return found
 
 
@@ -205,7 +218,88 @@ SELECT node AS vec_id, (SELECT count(*) FROM edges WHERE x = node) AS n_links, c
 """
 
 
+
+def _centroids_sql(rounds: int = centroids.ROUNDS) -> str:
+    """The rounds one after the other, each a few common table expressions."""
+    parts = [r"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+)""", r"""
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT 8))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT n, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': d, 'k': k}}) AS near FROM (
+    SELECT n, vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}
+  ) GROUP BY n
+)""")
+        if i < rounds:
+            parts.append(f"""
+m{i} AS MATERIALIZED (
+  SELECT k, list(((s - (s % m + m) % m) // m)::BIGINT ORDER BY j) AS c FROM (
+    SELECT near.k AS k, j, sum(x[j])::HUGEINT AS s, count(*)::HUGEINT AS m FROM a{i}, unnest(range(1, 65)) AS t(j) GROUP BY ALL
+  ) GROUP BY k
+),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON c{i}.k = m{i}.k)""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, near.k::INT AS cluster, near.d::BIGINT AS distance, (sum(near.d) OVER (PARTITION BY near.k))::BIGINT AS cluster_inertia,
+       (sum(near.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON k = near.k
+"""
+
+
+RESAMPLING_SQL = r"""
+WITH polynomial AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS step
+  FROM unnest(range(0, 256)) AS t(n)
+), texts AS (
+  SELECT row_number() OVER () AS n, doc_id AS id, text, true AS source FROM documents
+  UNION ALL SELECT row_number() OVER (), item_id, text, false FROM benchmark
+), words AS MATERIALIZED (
+  SELECT n, source, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM texts
+), spelled AS (
+  SELECT w, list_transform(range(1, strlen(w) + 1), lambda i: ('0x' || substr(hex(w), 2 * i - 1, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT w FROM words)
+), named AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM spelled, polynomial
+), sums AS (
+  SELECT bucket, count(*) FILTER (source) AS s, count(*) FILTER (NOT source) AS t FROM words JOIN named USING (w) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain FROM sums
+), weighed AS (
+  SELECT n, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM words JOIN named USING (w) JOIN gains USING (bucket) WHERE source GROUP BY n
+), scored AS (
+  SELECT id AS doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM texts LEFT JOIN weighed USING (n) WHERE source
+), ordered AS (
+  SELECT *, n_features >= 20 AS fit, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+         count(*) FILTER (n_features >= 20) OVER () AS many
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 10 * many // 100 THEN place END::BIGINT AS rank FROM ordered
+"""
+
+
+#: Holds for pages that are laid out as those of the given tables are: one article of headings and paragraphs.
+PAGES_SQL = r"""
+WITH blocks AS (
+  SELECT page_id, url, list_transform(
+    string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'),
+    lambda b: trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))
+  ) AS parts
+  FROM pages
+), texts AS (
+  SELECT page_id, url, array_to_string(list_transform(list_filter(parts, lambda b: b <> ''), lambda b: regexp_replace(b, '&amp;?', '&', 'g')), chr(10) || chr(10)) AS text FROM blocks
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_suffix_tree_dedup": SUBSTRINGS_SQL, "op6_token_group_join": JACCARD_SQL, "op8_lattice_near_dedup": LATTICE_SQL, "op9_blob_ledger": LEDGER_SQL, "op10_source_mixing": MIXING_SQL,
+        "op4_suffix_tree_dedup": SUBSTRINGS_SQL, "op6_token_group_join": JACCARD_SQL, "op8_lattice_near_dedup": LATTICE_SQL, "op9_blob_ledger": LEDGER_SQL, "op10_source_mixing": MIXING_SQL, "op11_centroid_search": _centroids_sql(), "op12_radix_resampling": RESAMPLING_SQL,
+        "op13_wrapper_extraction": PAGES_SQL,
     }
