@@ -1,9 +1,9 @@
-"""Stored rollups: minutes, hours and days on disk, each a base and deltas that are merged into it.
+"""Stored rollups: minutes, hours and days on disk, as sections of a table with versions (`sources.manifest`).
 
-Under the path, each width has folders `base=<epoch>` and `delta=<epoch>`. A delta holds the counts of one epoch (a
-batch or micro-batch) and may be written again with equal rows. `compact` sums the newest base and the deltas after it
-into a base of the last delta's epoch, and removes what that one replaces once it is complete. Readers take the newest
-complete base and the deltas after it, so that an interrupted compaction changes nothing.
+`add` stores the counts of one epoch (a batch or micro-batch) and commits its minutes, hours and days at once, with the
+epoch's number: an epoch that the table has, merged or not, isn't added again, and one that comes late is added like any
+other. `compact` merges all folders of a width into one and commits the three widths at once. Readers take the folders
+of one version, so neither a crash nor a writer beside them shows them half a change.
 """
 
 from __future__ import annotations
@@ -15,68 +15,71 @@ from pyspark.sql import functions as F
 
 from ..functions import timestamps
 from ..schema import ROLLUP
-from ..sources.store import filesystem
+from ..sources.manifest import Part, Table, Version
 from . import rollup
 
 WIDTHS = {"1m": "minute", "1h": "hour", "1d": "day"}
 
 
-def add(minutes: DataFrame, path: str, epoch: int) -> None:
-    """Store the minute counts of one epoch, and the hours and days that they add up to."""
-    minutes.select(*ROLLUP.fieldNames()).write.mode("overwrite").parquet(f"{path}/1m/delta={epoch}")
-    stored = minutes.sparkSession.read.schema(ROLLUP).parquet(f"{path}/1m/delta={epoch}")
-    hours = rollup.coarser(stored, "1h")
+def deltas(table: Table, minutes: DataFrame) -> list[Part]:
+    """Folders of the minute counts, and of the hours and days that they add up to: written, not yet committed."""
+    out = table.write(minutes.select(*ROLLUP.fieldNames()), "1m")
+    hours = rollup.coarser(table.read_parts(out, ROLLUP), "1h")
     for width, part in (("1h", hours), ("1d", rollup.coarser(hours, "1d"))):
-        part.select(*ROLLUP.fieldNames()).write.mode("overwrite").parquet(f"{path}/{width}/delta={epoch}")
+        out += table.write(part.select(*ROLLUP.fieldNames()), width)
+    return out
 
 
-def parts(spark: SparkSession, path: str, width: str) -> tuple[int | None, list[int]]:
-    """The epoch of the newest complete base, and those of the complete deltas after it."""
-    fs, place = filesystem(spark, f"{path}/{width}")
-    if not fs.exists(place):
-        return None, []
-    found: dict[str, list[int]] = {"base": [], "delta": []}
-    for status in fs.listStatus(place):
-        kind, _, epoch = status.getPath().getName().partition("=")
-        if kind in found and fs.exists(filesystem(spark, f"{path}/{width}/{kind}={epoch}/_SUCCESS")[1]):
-            found[kind].append(int(epoch))
-    base = max(found["base"], default=None)
-    return base, sorted(e for e in found["delta"] if base is None or e > base)
+def add(minutes: DataFrame, path: str, epoch: int) -> None:
+    """Store the minute counts of one epoch, and the hours and days that they add up to."""
+    table = Table(minutes.sparkSession, path)
+    if not table.version().has(epoch):
+        parts = deltas(table, minutes)
+        table.commit(lambda v: None if v.has(epoch) else v.plus(parts, epoch))
 
 
-def _read(spark: SparkSession, path: str, width: str) -> DataFrame:
-    base, deltas = parts(spark, path, width)
-    folders = ([f"{path}/{width}/base={base}"] if base is not None else []) + [f"{path}/{width}/delta={e}" for e in deltas]
-    if not folders:
-        return spark.createDataFrame([], ROLLUP)
-    rows = spark.read.schema(ROLLUP).parquet(*folders)
-    return rollup.merged(rows) if len(folders) > 1 else rows
+def _read(table: Table, parts: list[Part]) -> DataFrame:
+    rows = table.read_parts(parts, ROLLUP)
+    return rollup.merged(rows) if len(parts) > 1 else rows
 
 
-def read(spark: SparkSession, path: str) -> rollup.Rollups:
-    """The sums of base and deltas; a base alone is read as it is."""
-    return rollup.Rollups(*(_read(spark, path, width) for width in WIDTHS))
+def read(spark: SparkSession, path: str, version: Version | None = None) -> rollup.Rollups:
+    """The sums of all folders of one version; a folder alone is read as it is."""
+    table = Table(spark, path)
+    version = version or table.version()
+    return rollup.Rollups(*(_read(table, version.of(width)) for width in WIDTHS))
 
 
-def compact(spark: SparkSession, path: str, cutoff: datetime | None = None) -> None:
-    """Merge all deltas into the base; with a cutoff, drop the buckets that ended there or before."""
+def merged_parts(table: Table, version: Version, cutoff: datetime | None = None) -> tuple[list[Part], list[Part]]:
+    """(folders to drop, folders that take their place) of a compaction: written, not yet committed."""
+    gone: list[Part] = []
+    new: list[Part] = []
     for width in WIDTHS:
-        base, deltas = parts(spark, path, width)
-        if not deltas and (cutoff is None or base is None):
+        parts = version.of(width)
+        if not parts or len(parts) == 1 and cutoff is None:
             continue
-        rows = _read(spark, path, width)
+        rows = _read(table, parts)
         if cutoff is not None:
             edge = cutoff - timedelta(milliseconds=timestamps.WIDTHS_MS[width])
             rows = rows.where(F.col("bucket_start") > timestamps.literal(edge))
         # sorted by time, so that a range of time reads some row groups only
-        after = deltas[-1] if deltas else base
-        staged = f"{path}/{width}/staged={after}"
-        rows.repartitionByRange("bucket_start").sortWithinPartitions("bucket_start").write.mode("overwrite").parquet(staged)
-        fs, target = filesystem(spark, f"{path}/{width}/base={after}")
-        if fs.exists(target):
-            fs.delete(target, True)  # pruning a base that has no new deltas: what is staged replaces it
-        if not fs.rename(filesystem(spark, staged)[1], target):
-            raise OSError(f"{staged} can't be moved")
-        for kind, epochs in (("delta", deltas), ("base", [base] if base is not None and base != after else [])):
-            for epoch in epochs:
-                fs.delete(filesystem(spark, f"{path}/{width}/{kind}={epoch}")[1], True)
+        gone += parts
+        new += table.write(rows.repartitionByRange("bucket_start").sortWithinPartitions("bucket_start"), width)
+    return gone, new
+
+
+def compact(spark: SparkSession, path: str, cutoff: datetime | None = None) -> bool:
+    """Merge all folders of each width; with a cutoff, drop the buckets that ended there or before. False if another
+    writer replaced a folder meanwhile: then nothing is changed."""
+    table = Table(spark, path)
+    gone, new = merged_parts(table, table.version(), cutoff)
+    if not gone:
+        return True
+    done = []
+
+    def change(v: Version) -> Version | None:
+        done[:] = [set(gone) <= set(v.parts)]
+        return v.without(gone).plus(new) if done[0] else None
+
+    table.commit(change)
+    return done[0]

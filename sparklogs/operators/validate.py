@@ -29,8 +29,8 @@ NO_MESSAGE = "message must be a non-empty string"
 NOT_FLAT = "attributes must be a flat object"
 NESTED = "nested objects or arrays are not allowed in attribute: '"
 
-#: Rows of one range of batches that ids are given in.
-RANGE_ROWS = 50_000
+#: Rows of one range that ids are given in.
+RANGE_ROWS = 1_000_000
 
 
 def envelopes(bodies: DataFrame) -> DataFrame:
@@ -122,25 +122,41 @@ def report(checked: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("accepted") == 0, 400).otherwise(200))
 
 
+def ranges(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows that are stored, written to path in the order of (batch_id, index): the stored rows with at_ (range and place
+    in it), one row per range with the number of rows before it, and the number of rows.
+
+    Spark splits the ranges by a sample of the rows themselves, so neither sparse nor equal batch_ids meet in one; rows
+    without a batch_id come last, and rows of equal batch_id and index in the order that they came in.
+    """
+    spark, count = rows.sparkSession, rows.count()
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(few, count // 1_000), -(-count // RANGE_ROWS))
+    order = [F.col("batch_id").asc_nulls_last(), F.col("index"), F.col("came_")]
+    sorted_ = rows.withColumn("came_", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    out = sorted_.drop("came_").withColumn("at_", F.monotonically_increasing_id())
+    out.write.parquet(path)
+    stored = spark.read.schema(out.schema).parquet(path)
+    stored.written_at = path
+    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    counts = stored.groupBy(F.shiftright("at_", 33).alias("range_")).agg(F.count("*").alias("n_"))
+    return stored, counts.select("range_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("offset_")), count
+
+
+def placed(stored: DataFrame, offsets: DataFrame, base: int = 0) -> DataFrame:
+    """What `ranges` stored, with ids base + 1, base + 2, ... in its order."""
+    range_, place = F.shiftright("at_", 33), F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))
+    out = stored.withColumn("range_", range_).join(F.broadcast(offsets), "range_")
+    return out.withColumn("id", (F.lit(base) + F.col("offset_") + place + 1).cast("long")).drop("range_", "offset_", "at_")
+
+
 def with_ids(rows: DataFrame, base: int = 0) -> DataFrame:
     """rows with ids base + 1, base + 2, ... in the order of (batch_id, index).
 
-    The rows are written once and read back, so that what makes them runs once. Batches are numbered in ranges of about
-    RANGE_ROWS rows: counts per range give its offset, a row number inside it the rest, so no task holds more than one
-    range.
+    The rows are written once and read back, so that what makes them runs once, and then again in ranges: counts per
+    range give its offset, the place inside it the rest. No task holds more than a range.
     """
     path = workdir.fresh(rows.sparkSession, "accepted")
     rows.write.parquet(path)
-    return numbered(rows.sparkSession.read.schema(rows.schema).parquet(path), base)
-
-
-def numbered(rows: DataFrame, base: int = 0) -> DataFrame:
-    """with_ids of rows that are stored."""
-    n, low, high = rows.agg(F.count("*"), F.min("batch_id"), F.max("batch_id")).first()
-    width = max(1, (high - low + 1) * RANGE_ROWS // n) if n else 1
-    ranged = rows.withColumn("range_", F.expr(f"batch_id DIV {width}"))
-    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = ranged.groupBy("range_").count().select("range_", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset_"))
-    inside = F.row_number().over(Window.partitionBy("range_").orderBy("batch_id", "index"))
-    out = ranged.withColumn("place_", inside).join(offsets, "range_")
-    return out.withColumn("id", (F.lit(base) + F.col("offset_") + F.col("place_")).cast("long")).drop("range_", "offset_", "place_")
+    stored, offsets, _ = ranges(rows.sparkSession.read.schema(rows.schema).parquet(path), workdir.fresh(rows.sparkSession, "numbered"))
+    return placed(stored, offsets, base)

@@ -113,6 +113,9 @@ FROM P WHERE n <= 51""",
         "ingest_batch_report": _REPORT,
         "ingest_envelope": f"WITH {_ENTRIES} SELECT DISTINCT batch_id, outcome FROM B",
         "ingest_accepted": f"WITH {_ENTRIES} SELECT row_number() OVER (ORDER BY batch_id, idx) AS id, {_STORED} FROM E WHERE reason IS NULL",
+        "ingest_ids_sparse": f"""WITH {_ENTRIES}, S AS (
+  SELECT CASE WHEN batch_id % 7 = 3 THEN NULL WHEN batch_id % 11 = 5 THEN batch_id * 1000000000000 ELSE batch_id END AS batch_id, idx FROM E WHERE reason IS NULL
+) SELECT row_number() OVER (ORDER BY batch_id NULLS LAST, idx) AS id, batch_id, idx AS index FROM S""",
         "unnest_batches": f"WITH {_LOGS} SELECT id // 50 AS batch_id, {_ISO.format('ts')} AS timestamp, level, service, message, attributes FROM L",
         "copy_text": r"""SELECT '2024-01-31T00:00:00.000Z' || chr(9) || lang || chr(9) || source || chr(9)
 || replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), chr(13), '\r') || chr(9) || '{}' AS line FROM documents""",
@@ -126,6 +129,8 @@ FROM P WHERE n <= 51""",
         "rollup_store_query": _rolled("1h", _U0, _U1, "level"),
         "rollup_compacted": f"""WITH {_LOGS} SELECT * FROM ({' UNION ALL '.join(
             _rollup(w, "true", f", '{n}' AS width") for w, n in (('minute', '1m'), ('hour', '1h'), ('day', '1d')))})""",
+        "rollup_late_epoch": f"""WITH {_LOGS} SELECT * FROM ({' UNION ALL '.join(
+            _rollup(w, "true", f", '{n}' AS width") for w, n in (('minute', '1m'), ('hour', '1h'), ('day', '1d')))})""",
         "agg_routed": f"""SELECT *, 'rollup' AS path FROM ({_rolled("1d", _U0, _U1, "service")})
 UNION ALL SELECT *, 'raw' AS path FROM ({_count("1d", _U0, _U1, "service", where="message ILIKE '%user 1%'")})""",
         "search_cursor_page": f"WITH {_LOGS} SELECT {_SHAPE} FROM (SELECT * FROM L ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 50)",
@@ -133,6 +138,9 @@ UNION ALL SELECT *, 'raw' AS path FROM ({_count("1d", _U0, _U1, "service", where
         "stream_expired": f"""WITH {_ENTRIES} SELECT *, 'rows' AS of FROM ({_rollup('day', f"reason IS NULL AND ts >= {_CUT_INSIDE}").replace('FROM L', 'FROM E')})
 UNION ALL SELECT *, 'rollup' AS of FROM ({_rollup('day', f"reason IS NULL AND date_trunc('day', ts) + INTERVAL 1 day > {_CUT_INSIDE}").replace('FROM L', 'FROM E')})""",
         "stream_live_counts": f"WITH {_LOGS} {_rollup('hour')}",
+        "stream_live_bounded": f"WITH {_LOGS} {_rollup('day', "ts >= TIMESTAMP '2024-01-21 00:00:00'")}",
+        "stream_compacted": f"WITH {_ENTRIES} SELECT {_STORED} FROM E WHERE reason IS NULL",
+        "stream_late": f"WITH {_ENTRIES} {_rollup('day', 'reason IS NULL').replace('FROM L', 'FROM E')}",
         "generate_logs": """SELECT event_id AS id,
 strftime(TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 7919 % 2592000000), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp,
 CASE event_id * 31 % 4 WHEN 0 THEN 'debug' WHEN 1 THEN 'info' WHEN 2 THEN 'warn' ELSE 'error' END AS level,

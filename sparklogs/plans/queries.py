@@ -14,6 +14,7 @@ from ..functions.timestamps import instant
 from ..operators import aggregate, filters, retention, rollup, rollup_store, search, validate
 from ..session import prepared
 from ..sources import copytext, events, generate, store, workdir
+from ..sources.manifest import Table
 from ..streaming import ingest
 from .params import CountParams, Cursor, SearchParams
 
@@ -119,6 +120,17 @@ def rollup_store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.ordered(rollup.query(_grown(spark, sf_dir, (1,)), CountParams(*UNALIGNED, "1h", "level")))
 
 
+def rollup_late_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups that took in epochs 0 and 2, were merged, and took in 1, 3 and 2 again: every epoch counts once."""
+    path, logs = workdir.fresh(prepared(spark), "rollups"), _logs(spark, sf_dir)
+    for k in (0, 2, None, 1, 3, 2):
+        if k is None:
+            rollup_store.compact(spark, path)
+        else:
+            rollup_store.add(rollup.minutes(logs.where(F.pmod("id", F.lit(4)) == k)), path, k)
+    return _by_width(rollup_store.read(spark, path))
+
+
 def rollup_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_width(_grown(spark, sf_dir, (0, 2, 3)))
 
@@ -191,6 +203,13 @@ def ingest_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingest_ids_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of accepted entries whose batch ids have wide gaps, and of those that have none."""
+    b = F.col("batch_id")
+    sparse = _bodies(spark, sf_dir).withColumn("batch_id", F.when(b % 7 == 3, F.lit(None)).when(b % 11 == 5, b * 1_000_000_000_000).otherwise(b).cast("long"))
+    return validate.with_ids(validate.accepted(validate.validated(validate.exploded(sparse), AS_OF))).select("id", "batch_id", F.col("index").cast("long").alias("index"))
+
+
 def unnest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _logs(spark, sf_dir).withColumn("batch_id", F.floor(F.col("id") / events.PER_BATCH).cast("long"))
     rows = rows.withColumn("ts", timestamps.iso(F.col("timestamp")))
@@ -260,6 +279,36 @@ def stream_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(kept).withColumn("of", F.lit("rows")).unionByName(_shown(ingest.rollups(spark, path).day).withColumn("of", F.lit("rollup")))
 
 
+def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream stored, after its small files were merged and what they replaced was removed."""
+    path = _streamed(spark, sf_dir)
+    ingest.compact(spark, path)
+    Table(spark, path).vacuum(1, 0)
+    return _stored(ingest.stored_rows(spark, path))
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day counts after bodies came in by descending number, so that each micro-batch is later than all before it."""
+    path = workdir.fresh(prepared(spark), "late")
+    bodies = _bodies(spark, sf_dir)
+    for k, some in enumerate((bodies.where("batch_id % 3 = 2"), bodies.where("batch_id % 3 = 1"), bodies.where("batch_id % 3 = 0"))):
+        ingest.ingest_epoch(some, 2 - k, path, lambda: AS_OF)
+        if k == 1:
+            ingest.compact(spark, path)
+    return _shown(ingest.rollups(spark, path).day)
+
+
+def stream_live_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live counts per day, of which state and table keep the last ten days."""
+    path = workdir.fresh(prepared(spark), "live")
+    logs = _logs(spark, sf_dir).select("timestamp", "service", "level")
+    logs.repartitionByRange(6, "timestamp").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    ingest.live_table(stream, f"{path}/out", f"{path}/checkpoint", "1 day", "10 days").awaitTermination()
+    ingest.live_compact(spark, f"{path}/out", AS_OF - timedelta(days=10))
+    return _shown(ingest.live_rows(spark, f"{path}/out"))
+
+
 def stream_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live counts per hour of the logs as a stream, after all of it was read."""
     path = workdir.fresh(prepared(spark), "live")
@@ -329,6 +378,7 @@ def queries() -> dict[str, Query]:
         "ingest_batch_report": ingest_batch_report,
         "ingest_envelope": ingest_envelope,
         "ingest_accepted": ingest_accepted,
+        "ingest_ids_sparse": ingest_ids_sparse,
         "unnest_batches": unnest_batches,
         "copy_text": copy_text,
         "retention_keep": retention_keep,
@@ -340,9 +390,13 @@ def queries() -> dict[str, Query]:
         "generate_logs": generate_logs,
         "rollup_store_query": rollup_store_query,
         "rollup_compacted": rollup_compacted,
+        "rollup_late_epoch": rollup_late_epoch,
         "agg_routed": agg_routed,
         "search_cursor_page": search_cursor_page,
         "stream_report": stream_report,
         "stream_expired": stream_expired,
         "stream_live_counts": stream_live_counts,
+        "stream_live_bounded": stream_live_bounded,
+        "stream_compacted": stream_compacted,
+        "stream_late": stream_late,
     }

@@ -74,8 +74,8 @@ def test_before_1970(spark):
 
 
 def test_prune_keeps_buckets_that_reach_past_the_cutoff(spark):
-    frame = logs(spark, ("2026-07-01T10:00:00Z", "a", "info"), ("2026-08-15T23:30:00Z", "a", "info"), ("2026-08-16T10:00:00Z", "a", "info"))
-    kept = rollup.pruned(rollup.build(frame), instant("2026-08-15T23:45:00Z"))
+    frame = logs(spark, ("2025-11-02T04:10:00Z", "a", "info"), ("2025-12-20T17:05:00Z", "a", "info"), ("2025-12-20T17:50:00Z", "a", "info"))
+    kept = rollup.pruned(rollup.build(frame), instant("2025-12-20T17:20:00Z"))
     total = lambda part: part.agg(F.sum("count")).first()[0]
     assert (total(kept.minute), total(kept.hour), total(kept.day)) == (1, 2, 2)
 

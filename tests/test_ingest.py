@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparklogs.functions.timestamps import instant, iso
 from sparklogs.operators import validate
+from sparklogs.sources import workdir
 
 AS_OF = instant("2026-08-15T12:00:00Z")
 GOOD = {"timestamp": "2026-08-15T09:41:07Z", "level": "warn", "service": "ledger", "message": "retry scheduled", "attributes": {"tenant": "n7", "attempt": 2, "urgent": False}}
@@ -114,3 +115,18 @@ def test_ids_follow_batch_and_index(spark):
     rows = spark.createDataFrame([(b, i) for b in (5000, 3, 999, 1000) for i in (1, 0)], "batch_id long, index int")
     got = {(r.batch_id, r["index"]): r.id for r in validate.with_ids(rows, 10).collect()}
     assert [got[k] for k in sorted(got)] == list(range(11, 19))
+
+
+def test_ids_of_rows_without_or_with_sparse_batches(spark, monkeypatch):
+    """No row is lost, nulls come last, and no range holds more than twice its share."""
+    monkeypatch.setattr(validate, "RANGE_ROWS", 2_000)
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id = 1 THEN 1000000000000 ELSE id END AS batch_id", "CAST(id % 2 AS INT) AS index", "id AS came")
+    stored, offsets, count = validate.ranges(rows, f"{workdir.fresh(spark, 'ranges')}")
+    assert count == 20_000
+    sizes = [r["count"] for r in stored.groupBy(F.shiftright("at_", 33).alias("r")).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 2 * 20_000 / 10
+    out = validate.placed(stored, offsets, 5).orderBy("id").collect()
+    assert [r.id for r in out] == list(range(6, 20_006))
+    assert [(r.batch_id is None, r.batch_id or 0, r["index"]) for r in out] == sorted((r.batch_id is None, r.batch_id or 0, r["index"]) for r in out)
+    assert len({r.came for r in out}) == 20_000
+    assert validate.with_ids(rows.limit(0)).count() == 0

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sparklogs.plans import oracles, queries
@@ -19,7 +20,7 @@ def duck():
 
 
 def rows(frame, columns):
-    show = lambda v: "" if v is None or v != v else v if isinstance(v, str) else str(int(v))
+    show = lambda v: v if isinstance(v, str) else "" if pd.isna(v) else str(int(v))
     return sorted(tuple(show(v) for v in r) for r in frame[columns].itertuples(index=False))
 
 
