@@ -124,11 +124,15 @@ def _track(data: memoryview, at: dict[bytes, tuple[int, int]]) -> dict:
     start, end = at[b"stsz"]
     (size,) = struct.unpack_from(">I", data, start + 4)
     (n,) = struct.unpack_from(">I", data, start + 8)
+    if n * size > len(data):
+        raise ValueError(f"{n} samples of {size} bytes don't fit the file")
     sizes = np.full(n, size, np.int64) if size else _table(data, start, end, 1, skip=8)[:, 0]
     if b"stco" not in at and b"co64" not in at:
         raise ValueError("no stco or co64 box")
     offsets = _table(data, *at[b"stco"], 1)[:, 0] if b"stco" in at else _table(data, *at[b"co64"], 1, ">u8")[:, 0]
     runs = _table(data, *at[b"stsc"], 3)
+    if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(offsets)):
+        raise ValueError("runs of chunks don't ascend from the first chunk to one of the last")
     per = np.zeros(len(offsets), np.int64)
     for i, (first, count, _) in enumerate(runs):
         per[first - 1 : runs[i + 1][0] - 1 if i + 1 < len(runs) else None] = count
@@ -140,6 +144,8 @@ def _track(data: memoryview, at: dict[bytes, tuple[int, int]]) -> dict:
     first = np.concatenate(([0], np.cumsum(per)))  # each chunk's first sample, and the end
     begin = offsets[chunk_of] + (ends - sizes - edges[first[chunk_of]])
     sync = _table(data, *at[b"stss"], 1)[:, 0] - 1 if b"stss" in at else np.arange(n)
+    if len(sync) and (sync.min() < 0 or sync.max() >= n):
+        raise ValueError(f"a keyframe is none of the {n} samples")
     whole = edges[first[1:]] - edges[first[:-1]]
     if len(begin) and int((begin + sizes).max()) > len(data):
         raise ValueError("samples lie past the file")

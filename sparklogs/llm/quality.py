@@ -153,9 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int =
 
     rows = materialize(sample(docs, labels, column, most).mapInArrow(encode, "doc_id long, label int, bag binary"), "bags")
     place = F.xxhash64("doc_id")
-    counts = rows.select(place.alias("place"), F.octet_length("bag").alias("bytes")).toPandas().sort_values("place")  # at most `most` numbers
-    inside = counts[counts["bytes"].cumsum() <= SAMPLE_PASSAGES * WIDTH * 4]
-    rows = rows.where(place <= int(inside["place"].max()) if len(inside) else F.lit(False)).toPandas()
+    sizes = rows.groupBy(place.alias("place")).agg(F.sum(F.octet_length("bag")).alias("bytes")).toPandas().sort_values("place")  # at most `most` numbers
+    inside, total = [], 0
+    for at, size in zip(sizes["place"], sizes["bytes"], strict=True):
+        if total + size <= SAMPLE_PASSAGES * WIDTH * 4:  # a document too long for what is left is passed over
+            inside.append(int(at))
+            total += size
+    rows = rows.where(place.isin(inside)).toPandas()
     rows = rows.sort_values(["doc_id", "label"], kind="stable")
     label = rows["label"].to_numpy(float)
     if not len(label) or label.min() == label.max():

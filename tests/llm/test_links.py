@@ -202,3 +202,11 @@ def test_repeated_and_null_vectors(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in lattice.links(frame_of(spark, rows)).collect()), key=str)
     assert got == sorted([(1, 3, 1), (1, 3, 1), (2, 3, 1), (2, 0, 1), (None, 3, 1), (3, 0, 3), (4, 0, 4)], key=str)
     assert lattice.links(frame_of(spark, rows).limit(0)).count() == 0
+
+
+def test_vectors_without_an_id_link_others(spark):
+    at = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    rows = [(1, at(0.0), 1), (None, at(0.3), 1), (2, at(0.6), 1), (None, at(3.0), 1), (5, at(4.5), 1), (5, at(1.5), 1), (6, at(1.6), 1), (7, at(4.4), 1)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice.links(frame_of(spark, rows)).collect()), key=str)
+    want = [(1, 1, 1, True), (None, 2, 1, False), (2, 1, 1, False), (None, 0, None, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
+    assert got == sorted(want, key=str)

@@ -76,6 +76,23 @@ def test_media_columns(spark, docs):
     assert media.describe(media.encode(frame.limit(0))).count() == 0
 
 
+def test_absurd_counts_are_errors():
+    """Every word of the boxes' bodies set to the least and greatest value: an error or an index, and never much memory."""
+    whole = media.container(b"x" * 192 * 20)
+    end = whole.index(b"mdat") - 4
+    errors = []
+    for at in range(0, end - 3):
+        for word in (b"\0\0\0\0", b"\xff\xff\xff\xff", b"\x7f\xff\xff\xff"):
+            errors.append(media._described(whole[:at] + word + whole[at + 4 :])[7])
+    assert sum(e is not None for e in errors) > len(errors) / 4
+    sizes = whole.index(b"stsz") + 4
+    many = media._described(whole[: sizes + 8] + b"\xff\xff\xff\xff" + whole[sizes + 12 :])
+    assert "fit the file" in many[7]
+    sync = whole.index(b"stss") + 12
+    for number in (0, 21, 2**32 - 1):
+        assert "keyframe" in media._described(whole[:sync] + struct.pack(">I", number) + whole[sync + 4 :])[7]
+
+
 BASE = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 8),
     ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 16),

@@ -191,3 +191,13 @@ def test_quality_of_odd_texts(docs, sf):
     rows = quality.score(docs(None, "", " \n ", "word " * 30_000, "é", (None, "a"), (1, "b")), model).collect()
     assert len(rows) == 7 and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(docs("a").limit(0), model).count() == 0
+
+
+def test_one_huge_labelled_document_leaves_the_others(spark, docs, monkeypatch):
+    """A document that alone passes the bound of passages isn't learned from; the rest is."""
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 50)
+    rows = [(i, ("Good words in a sentence. " if i % 2 else "x1 $$ 77 ## ") * 5) for i in range(30)] + [(99, "good words " * 50_000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs(*rows), labels)
+    scores = {r.doc_id: r.score for r in quality.score(docs(*rows[:30]), model).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
