@@ -14,7 +14,8 @@ from ..plans.params import Cursor, SearchParams
 from .filters import filtered
 
 
-def _ordered(logs: DataFrame, params: SearchParams) -> DataFrame:
+def ordered(logs: DataFrame, params: SearchParams) -> DataFrame:
+    """All rows that the parameters ask for, newest first; to be cut by a limit."""
     out = filtered(logs, params.service, params.level, params.since, params.until, params.q, params.attributes)
     if params.cursor:
         at = timestamps.literal(params.cursor.timestamp)
@@ -36,7 +37,7 @@ def shaped(rows: DataFrame) -> DataFrame:
 
 def page(logs: DataFrame, params: SearchParams) -> DataFrame:
     """At most params.limit rows, newest first: a top-k, never a full sort."""
-    return shaped(_ordered(logs, params).limit(params.limit))
+    return shaped(ordered(logs, params).limit(params.limit))
 
 
 def encode_cursor(timestamp: str, id_: int) -> str:
@@ -48,13 +49,13 @@ def page_report(logs: DataFrame, params: SearchParams) -> DataFrame:
 
     The limit + 1 newest rows meet in one task; there are at most 1001.
     """
-    rows = _ordered(logs.select(*[c for c in logs.columns if c != "attributes"]), params).limit(params.limit + 1)
+    rows = ordered(logs.select(*[c for c in logs.columns if c != "attributes"]), params).limit(params.limit + 1)
     rows = rows.select(F.struct(F.col("timestamp").alias("ts"), "id").alias("at"))
-    ordered = rows.agg(F.sort_array(F.collect_list("at"), asc=False).alias("all"))
+    newest = rows.agg(F.sort_array(F.collect_list("at"), asc=False).alias("all"))
     last = F.col("all")[params.limit - 1]
     text = F.to_json(F.struct(timestamps.iso(last["ts"]).alias("timestamp"), last["id"].alias("id")))
     more = F.size("all") > params.limit
-    return ordered.select(
+    return newest.select(
         F.least(F.size("all"), F.lit(params.limit)).cast("long").alias("rows"), F.when(more, F.base64(text.cast("binary"))).alias("next_cursor")
     )
 
@@ -67,18 +68,18 @@ class Page:
 
 def fetch(logs: DataFrame, params: SearchParams) -> Page:
     """One page on the driver (at most 1000 rows) and the cursor of the next."""
-    rows = shaped(_ordered(logs, params).limit(params.limit + 1)).collect()
+    rows = shaped(ordered(logs, params).limit(params.limit + 1)).collect()
     rows, more = rows[: params.limit], len(rows) > params.limit
     return Page(rows, encode_cursor(rows[-1]["timestamp"], int(rows[-1]["id"])) if more else None)
 
 
 def walk(logs: DataFrame, params: SearchParams, pages: int) -> DataFrame:
-    """The rows of the first `pages` pages, each its own top-k after the cursor of the one before."""
-    out = page(logs, params)
-    for _ in range(pages - 1):
-        report = page_report(logs, params).first()
-        if report["next_cursor"] is None:
+    """The rows of the first `pages` pages, each its own top-k after the cursor of the one before, and read once."""
+    rows: list = []
+    for _ in range(pages):
+        page = fetch(logs, params)
+        rows += page.rows
+        if page.next_cursor is None:
             break
-        params = replace(params, cursor=Cursor.decode(report["next_cursor"]))
-        out = out.unionByName(page(logs, params))
-    return out
+        params = replace(params, cursor=Cursor.decode(page.next_cursor))
+    return logs.sparkSession.createDataFrame(rows, shaped(logs.limit(0)).schema)

@@ -85,6 +85,10 @@ def oracle_sql() -> dict[str, str]:
         "search_first_page": _page("true", 50),
         "search_next_page": _page("(ts, id) < (TIMESTAMP '2024-01-20 12:00:00', 6000)", 50, hourly=True),
         "search_filtered_page": _page("service = 'inventory' AND level = 'warn'", 25),
+        "search_descending": f"""WITH {_LOGS} SELECT {_SHAPE}, search FROM (
+  (SELECT *, '0' AS search FROM L ORDER BY ts DESC, id DESC LIMIT 2000)
+  UNION ALL (SELECT *, '1' FROM L WHERE service = 'payment' AND level = 'error' AND k = '9' ORDER BY ts DESC, id DESC LIMIT 30)
+  UNION ALL (SELECT *, '2' FROM L WHERE ts >= {_U0} AND ts < {_U1} AND (ts, id) < (TIMESTAMP '2024-01-11 12:00:00', 1) ORDER BY ts DESC, id DESC LIMIT 300))""",
         "search_page_report": f"""WITH {_LOGS}, P AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS n FROM L)
 SELECT least(count(*), 50)::BIGINT AS rows, CASE WHEN count(*) > 50 THEN
   (SELECT to_base64(('{{"timestamp":"' || {_ISO.format('ts')} || '","id":' || id || '}}')::BLOB) FROM P WHERE n = 50) END AS next_cursor

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import timestamps
 from ..functions.timestamps import instant
-from ..operators import aggregate, filters, retention, rollup, rollup_store, search, validate
+from ..operators import aggregate, filters, recent, retention, rollup, rollup_store, search, validate
+from ..schema import LOGS
 from ..session import prepared
 from ..sources import copytext, events, generate, store, workdir
 from ..sources.manifest import Table
@@ -157,6 +158,29 @@ def search_page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.walk(_hourly(spark, sf_dir), SearchParams(level="error", limit=40), pages=4)
 
 
+def _dated(spark: SparkSession, sf_dir: str) -> str:
+    """The logs as a table with versions, by date."""
+
+    def write(path: str) -> None:
+        table = Table(spark, path)
+        parts = table.write(store.spread(_logs(spark, sf_dir).select(*LOGS.fieldNames())).sortWithinPartitions("dt", "timestamp"), "rows", by_date=True)
+        table.commit(lambda v: v.plus(parts, 0))
+
+    return _once(spark, sf_dir, "dated", write)
+
+
+def _descending(spark: SparkSession, sf_dir: str, pages: list[tuple[SearchParams, int]]) -> DataFrame:
+    dates = recent.of_table(spark, _dated(spark, sf_dir))
+    rows = [(*r, str(k)) for k, (params, n) in enumerate(pages) for r in recent.walk(dates, params, n)[0]]
+    return spark.createDataFrame(rows, "id string, timestamp string, level string, service string, message string, attributes string, search string")
+
+
+def search_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest pages of a table that is read from its newest date on: plain, filtered, and walked from a cursor."""
+    plain, rare = SearchParams(limit=1000), SearchParams(service="payment", level="error", attributes={"k": "9"}, limit=30)
+    return _descending(spark, sf_dir, [(plain, 2), (rare, 1), (SearchParams(limit=100, since=UNALIGNED[0], until=UNALIGNED[1], cursor=Cursor(instant("2024-01-11T12:00:00Z"), 1)), 3)])
+
+
 def rollup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = _logs(spark, sf_dir)
     return _shown(rollup.merged(*[rollup.minutes(logs.where(F.pmod("id", F.lit(3)) == k)) for k in range(3)]))
@@ -353,6 +377,7 @@ def queries() -> dict[str, Query]:
         "search_first_page": _page(SearchParams(limit=50)),
         "search_next_page": _page(SearchParams(limit=50, cursor=CURSOR), _hourly),
         "search_filtered_page": _page(SearchParams(service="inventory", level="warn", limit=25)),
+        "search_descending": search_descending,
         "search_page_report": search_page_report,
         "search_page_walk": search_page_walk,
         "agg_1m": _raw(*UNALIGNED, "1m"),
