@@ -73,3 +73,8 @@ def search_map(attributes: Column) -> Column:
 def parsed(attributes: Column) -> Column:
     """Attributes from their JSON text."""
     return F.try_variant_get(F.try_parse_json(attributes), "$", MAP)
+
+
+def promoted(key: str) -> str:
+    """The name of the column that holds an attribute's text, where a table has one."""
+    return f"attr_{key}"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns, timestamps
+from ..functions.attributes import promoted
 
 
 def filtered(
@@ -36,7 +37,9 @@ def filtered(
     if level:
         out = out.where(F.col("level") == level)
     for key, value in (attributes or {}).items():
-        out = out.where(F.col("attributes_search")[key] == value)
+        name = promoted(key)
+        # a column of its own reaches the scan's filters, a map's entry doesn't
+        out = out.where((F.col(name) if name in logs.columns else F.col("attributes_search")[key]) == value)
     if q:
         out = out.where(patterns.matches(F.col("message"), q))
     if q_literal:

@@ -34,13 +34,15 @@ RANGE_ROWS = 1_000_000
 
 
 def envelopes(bodies: DataFrame) -> DataFrame:
-    """batch_id, outcome (null: fine) and entries (array of variants) of each body."""
+    """batch_id, outcome (null: fine) and entries (array of variants) of each body; size, where bodies have it, is told
+    without the body."""
     body = F.coalesce("body", F.lit(""))
+    size = F.coalesce("size", F.octet_length(body).cast("long")) if "size" in bodies.columns else F.octet_length(body)
     # a parser stops after the first value; in brackets, anything behind it shows as another element or an error
     wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
     shape = body.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$")
     # step by step, so that a body is parsed once; only the beginning of a variant's schema is looked at
-    read = bodies.select("batch_id", (F.octet_length(body) > BODY_LIMIT).alias("large"), F.when(shape, wrapped).alias("wrapped"))
+    read = bodies.select("batch_id", (size > BODY_LIMIT).alias("large"), F.when(shape, wrapped).alias("wrapped"))
     read = read.select("batch_id", "large", F.when(F.size("wrapped") == 1, F.col("wrapped")[0]).alias("v"))
     read = read.select("batch_id", "large", F.col("v").isNull().alias("broken"), attrs.field(F.col("v"), "logs").alias("logs"))
     # arrays alone can be taken as arrays, and objects alone have fields

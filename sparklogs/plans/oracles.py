@@ -81,6 +81,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_q_wildcard": _filter("message ILIKE '%p_rchase%user 1_%'"),
         "filter_q_literal": _filter("contains(lower(message), 'error by user 1')"),
         "filter_attr": _filter("k = '7'"),
+        "filter_attr_promoted": _filter("k = '7'"),
         "filter_combined": _filter(f"service = 'payment' AND level = 'info' AND ts >= {_A0} AND ts < {_A1} AND message ILIKE '%click%' AND k = '3'"),
         "search_first_page": _page("true", 50),
         "search_next_page": _page("(ts, id) < (TIMESTAMP '2024-01-20 12:00:00', 6000)", 50, hourly=True),
@@ -113,6 +114,9 @@ FROM P WHERE n <= 51""",
         "rollup_query_narrow": _rolled("1h", _U0, "TIMESTAMP '2024-01-05 10:10:00'"),
         "rollup_incremental": f"WITH {_LOGS} {_rollup('minute')}",
         "rollup_reconcile": "SELECT 0::BIGINT AS differing, count(*) AS rolled, count(*) AS raw FROM events",
+        "rollup_reconcile_differing": f"""WITH {_LOGS} SELECT {_ISO.format("date_trunc('minute', ts)")} AS start, service, level, count(*) AS raw,
+count(*) FILTER (id % 501 <> 7) + count(*) FILTER (id % 1009 = 3) AS rolled
+FROM L GROUP BY date_trunc('minute', ts), service, level HAVING raw <> rolled""",
         "ingest_validate": f"WITH {_ENTRIES} SELECT batch_id, idx AS index, reason FROM E",
         "ingest_batch_report": _REPORT,
         "ingest_envelope": f"WITH {_ENTRIES} SELECT DISTINCT batch_id, outcome FROM B",
@@ -120,6 +124,10 @@ FROM P WHERE n <= 51""",
         "ingest_ids_sparse": f"""WITH {_ENTRIES}, S AS (
   SELECT CASE WHEN batch_id % 7 = 3 THEN NULL WHEN batch_id % 11 = 5 THEN batch_id * 1000000000000 ELSE batch_id END AS batch_id, idx FROM E WHERE reason IS NULL
 ) SELECT row_number() OVER (ORDER BY batch_id NULLS LAST, idx) AS id, batch_id, idx AS index FROM S""",
+        "ingest_envelope_text": f"""WITH {_ENTRIES}, D AS (SELECT DISTINCT batch_id, outcome FROM B)
+SELECT NULL::BIGINT AS batch, outcome, count(*) AS bodies FROM D GROUP BY outcome
+UNION ALL SELECT batch_id, outcome, 1 FROM D WHERE batch_id % 10 = 1 OR batch_id % 23 = 0
+UNION ALL SELECT -1, 'Request body exceeds the maximum allowed size', 1""",
         "unnest_batches": f"WITH {_LOGS} SELECT id // 50 AS batch_id, {_ISO.format('ts')} AS timestamp, level, service, message, attributes FROM L",
         "copy_text": r"""SELECT '2024-01-31T00:00:00.000Z' || chr(9) || lang || chr(9) || source || chr(9)
 || replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), chr(13), '\r') || chr(9) || '{}' AS line FROM documents""",

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import timestamps
 from ..functions.timestamps import instant
-from ..operators import aggregate, filters, recent, retention, rollup, rollup_store, search, validate
+from ..operators import aggregate, filters, recent, reconcile, retention, rollup, rollup_store, search, validate
 from ..schema import LOGS
 from ..session import prepared
-from ..sources import copytext, events, generate, store, workdir
+from ..sources import bodies, copytext, events, generate, store, workdir
 from ..sources.manifest import Table
 from ..streaming import ingest
 from .params import CountParams, Cursor, SearchParams
@@ -193,6 +193,28 @@ def rollup_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.crossJoin(minute.agg(F.sum("count").alias("rolled"))).crossJoin(logs.agg(F.count("*").alias("raw")))
 
 
+def rollup_reconcile_differing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes whose stored rollup isn't what the stored rows give: one row in 501 was never counted, some counted twice."""
+    path, logs = workdir.fresh(prepared(spark), "reconciled"), _logs(spark, sf_dir)
+    table = Table(spark, path)
+    for k in range(2):
+        some = logs.where(F.pmod("id", F.lit(2)) == k)
+        parts = table.write(store.spread(some.select(*LOGS.fieldNames())), "rows", by_date=True)
+        wrong = some.where("id % 501 <> 7").union(some.where("id % 1009 = 3"))
+        parts += reconcile.write(table, some) + rollup_store.deltas(table, rollup.minutes(wrong))
+        table.commit(lambda v, parts=parts, k=k: v.plus(parts, k))
+    out = reconcile.differing(spark, path)
+    return out.select(timestamps.iso(F.col("bucket_start")).alias("start"), "service", "level", "raw", "rolled")
+
+
+def filter_attr_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by an attribute that the stored table holds as a column, and by one that it doesn't."""
+    path = _once(spark, sf_dir, "promoted", lambda p: store.write(_logs(spark, sf_dir), p, promote=["k"]))
+    logs = store.read(spark, path, ["k"])
+    one, two = filters.filtered(logs, attributes={"k": "7"}), filters.filtered(logs, level="error", attributes={"k": "3", "none": "x"})
+    return search.shaped(one.unionByName(two))
+
+
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validated(validate.exploded(_bodies(spark, sf_dir)), AS_OF)
 
@@ -234,6 +256,19 @@ def ingest_ids_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.with_ids(validate.accepted(validate.validated(validate.exploded(sparse), AS_OF))).select("id", "batch_id", F.col("index").cast("long").alias("index"))
 
 
+def ingest_envelope_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of bodies that lie in text files: one in each line, and one in each file, of which one is too large."""
+    path, rows = workdir.fresh(prepared(spark), "text"), _bodies(spark, sf_dir)
+    rows.select("body").write.text(f"{path}/lines")
+    some = rows.where("batch_id % 10 = 1 OR batch_id % 23 = 0")
+    large = rows.where("batch_id = 1").select(F.lit(-1).cast("long").alias("batch_id"), F.concat("body", F.repeat(F.lit(" "), validate.BODY_LIMIT)).alias("body"))
+    some.unionByName(large).repartition("batch_id").write.partitionBy("batch_id").option("maxRecordsPerFile", 1).text(f"{path}/files")
+    count = lambda e: e.groupBy("batch", "outcome").agg(F.count("*").alias("bodies"))
+    by_line = validate.envelopes(bodies.lines(spark, f"{path}/lines")).withColumn("batch", F.lit(None).cast("long"))
+    by_file = validate.envelopes(bodies.whole(spark, f"{path}/files")).withColumn("batch", F.regexp_extract("batch_id", "batch_id=(-?[0-9]+)", 1).cast("long"))
+    return count(by_line).unionByName(count(by_file))
+
+
 def unnest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _logs(spark, sf_dir).withColumn("batch_id", F.floor(F.col("id") / events.PER_BATCH).cast("long"))
     rows = rows.withColumn("ts", timestamps.iso(F.col("timestamp")))
@@ -373,6 +408,7 @@ def queries() -> dict[str, Query]:
         "filter_q_wildcard": _filter(q=r"p_rchase%user\ 1_"),
         "filter_q_literal": _filter(q_literal="Error by user 1"),
         "filter_attr": _filter(attributes={"k": "7"}),
+        "filter_attr_promoted": filter_attr_promoted,
         "filter_combined": _filter(service="payment", level="info", since=ALIGNED[0], until=ALIGNED[1], q="click", attributes={"k": "3"}),
         "search_first_page": _page(SearchParams(limit=50)),
         "search_next_page": _page(SearchParams(limit=50, cursor=CURSOR), _hourly),
@@ -399,11 +435,13 @@ def queries() -> dict[str, Query]:
         "rollup_query_narrow": _rolled(instant("2024-01-05T09:45:30.500Z"), instant("2024-01-05T10:10:00Z"), "1h"),
         "rollup_incremental": rollup_incremental,
         "rollup_reconcile": rollup_reconcile,
+        "rollup_reconcile_differing": rollup_reconcile_differing,
         "ingest_validate": ingest_validate,
         "ingest_batch_report": ingest_batch_report,
         "ingest_envelope": ingest_envelope,
         "ingest_accepted": ingest_accepted,
         "ingest_ids_sparse": ingest_ids_sparse,
+        "ingest_envelope_text": ingest_envelope_text,
         "unnest_batches": unnest_batches,
         "copy_text": copy_text,
         "retention_keep": retention_keep,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.attributes import promoted
 from ..schema import LOGS
 
 ROWS_PER_FILE = 5_000_000
@@ -19,13 +23,34 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition("dt", F.pmod(F.xxhash64("id"), F.lit(n)))
 
 
-def write(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Append rows by date."""
-    spread(rows.select(*LOGS.fieldNames())).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("dt").parquet(path)
+def with_promoted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the texts of some attributes as columns of their own."""
+    for key in keys:
+        if not re.fullmatch(r"\w+", key):
+            raise ValueError(f"attribute {key!r} can't name a column")
+    return rows.withColumns({promoted(key): F.col("attributes_search")[key] for key in keys})
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOGS).parquet(path)
+def promoted_options(keys: Sequence[str]) -> dict[str, str]:
+    """Parquet's options for promoted attributes: a bloom filter for each, so that row groups without a value are
+    skipped even where its column isn't the one that rows are sorted by."""
+    return {f"parquet.bloom.filter.enabled#{promoted(key)}": "true" for key in keys}
+
+
+def write(rows: DataFrame, path: str, mode: str = "append", promote: Sequence[str] = (), **options: str) -> None:
+    """Append rows by date. With promote, the named attributes become columns, and a day's files are sorted by them, so
+    that a filter on one reads the row groups and pages that may hold its value only."""
+    names = [promoted(key) for key in promote]
+    rows = spread(with_promoted(rows.select(*LOGS.fieldNames()), promote))
+    if promote:
+        rows = rows.sortWithinPartitions("dt", *names, "timestamp")
+    writer = rows.write.mode(mode).options(**promoted_options(promote) | options)
+    writer.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("dt").parquet(path)
+
+
+def read(spark: SparkSession, path: str, promote: Sequence[str] = ()) -> DataFrame:
+    """The table; promote names the attributes that it has as columns."""
+    return spark.read.schema(T.StructType([*LOGS.fields, *[T.StructField(promoted(key), T.StringType()) for key in promote]])).parquet(path)
 
 
 def rows_of(batches: DataFrame) -> DataFrame:

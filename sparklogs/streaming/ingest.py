@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import timestamps
-from ..operators import retention, rollup, rollup_store, validate
+from ..operators import reconcile, retention, rollup, rollup_store, validate
 from ..schema import LOGS, REJECTS
 from ..sources import store
 from ..sources.manifest import Part, Table, Version
@@ -48,7 +48,8 @@ def ingest_epoch(bodies: DataFrame, epoch: int, path: str, clock: Callable[[], d
     rows = validate.placed(ranged, offsets, base).select(*LOGS.fieldNames())
     parts = table.write(store.spread(rows), "rows", by_date=True)
     parts += table.write(validate.rejected(checked), "rejects") + table.write(validate.report(checked), "reports")
-    parts += rollup_store.deltas(table, rollup.minutes(table.read_parts([p for p in parts if p.section == "rows"], LOGS)))
+    stored = table.read_parts([p for p in parts if p.section == "rows"], LOGS)
+    parts += reconcile.write(table, stored) + rollup_store.deltas(table, rollup.minutes(stored))
 
     def change(v: Version) -> Version | None:
         if v.has(epoch):
@@ -118,11 +119,17 @@ def compact(spark: SparkSession, path: str, file_bytes: int = FILE_BYTES) -> int
     if parts := small_parts(version, file_bytes):
         rows = _sized(table.read_parts(parts, LOGS), parts, file_bytes)
         gone, new = gone + parts, new + table.write(rows.select(*LOGS.fieldNames()), "rows", by_date=True)
+    digests = version.of(reconcile.SECTION)
+    if len(digests) > len({p.dt for p in digests}):
+        rows = reconcile.added(table.read_parts(digests, reconcile.DIGESTS), "hour", "dt").select(*reconcile.DIGESTS.fieldNames())
+        gone, new = gone + digests, new + table.write(rows.coalesce(1), reconcile.SECTION, by_date=True)
     for section, schema in (("rejects", REJECTS), ("reports", spark.createDataFrame([], REPORTS).schema)):
         if len(few := [p for p in version.of(section) if p.bytes < file_bytes * p.files / 2]) > 1:
             files = -(-sum(p.bytes for p in few) // file_bytes)
             gone, new = gone + few, new + table.write(table.read_parts(few, schema).repartition(files), section)
-    return _replaced(table, gone, new)
+    done = _replaced(table, gone, new)
+    table.vacuum()
+    return done
 
 
 def _replaced(table: Table, gone: list[Part], new: list[Part]) -> int:
@@ -145,13 +152,17 @@ def expire(spark: SparkSession, path: str, cutoff: datetime) -> int:
     there was nothing to drop or another writer replaced a folder meanwhile."""
     table = Table(spark, path)
     version, day = table.version(), str(cutoff.date())
-    old = [p for p in version.of("rows") if p.dt is not None and p.dt < day]
+    old = [p for p in version.of("rows", reconcile.SECTION) if p.dt is not None and p.dt < day]
     edge = [p for p in version.of("rows") if p.dt == day and cutoff.time() != datetime.min.time()]
     gone, new = rollup_store.merged_parts(table, version, cutoff)
     if edge:
         rows = _sized(retention.kept(table.read_parts(edge, LOGS), cutoff), edge, FILE_BYTES)
-        new += table.write(rows.select(*LOGS.fieldNames()), "rows", by_date=True)
-    return _replaced(table, gone + old + edge, new)
+        left = table.write(rows.select(*LOGS.fieldNames()), "rows", by_date=True)
+        new += left + (reconcile.write(table, table.read_parts(left, LOGS)) if left else [])
+        edge += [p for p in version.of(reconcile.SECTION) if p.dt == day]
+    done = _replaced(table, gone + old + edge, new)
+    table.vacuum()
+    return done
 
 
 # --- the stream ----------------------------------------------------------------------------------------------
