@@ -45,9 +45,12 @@ def merged(*parts: DataFrame) -> DataFrame:
     return out.groupBy(*KEYS).agg(F.sum("count").alias("count"))
 
 
-def _scan(part: DataFrame, since_ms: int, until_ms: int, params: CountParams) -> DataFrame:
-    start = F.col("bucket_start")
-    out = part.where((start >= F.timestamp_millis(F.lit(since_ms))) & (start < F.timestamp_millis(F.lit(until_ms))))
+def _scan(part: DataFrame, ranges: list[tuple[int, int]], params: CountParams) -> DataFrame:
+    """The buckets that start in one of the ranges [since, until): one scan, whose statistics prune it."""
+    start, inside = F.col("bucket_start"), F.lit(False)
+    for since, until in ranges:
+        inside = inside | ((start >= F.timestamp_millis(F.lit(since))) & (start < F.timestamp_millis(F.lit(until))))
+    out = part.where(inside)
     if params.service:
         out = out.where(F.col("service") == params.service)
     if params.level:
@@ -59,19 +62,19 @@ def query(rollups: Rollups, params: CountParams) -> DataFrame:
     """start (timestamp), group, count.
 
     A bucket belongs to the range if its start does. Hours and days come from the coarse rollup where whole ones fit,
-    and from minutes at the two edges.
+    and from minutes at the two edges, which one scan reads.
     """
     since, until = timestamps.millis(params.since), timestamps.millis(params.until)
-    rows = _scan(rollups.minute, since, until, params)
+    edges, rows = [(since, until)], None
     if params.bucket in ("1h", "1d"):
         width = timestamps.WIDTHS_MS[params.bucket]
         low, high = -(-since // width) * width, until // width * width
         if low < high:
-            rows = _scan(rollups.hour if params.bucket == "1h" else rollups.day, low, high, params)
-            if since < low:
-                rows = rows.unionByName(_scan(rollups.minute, since, low, params))
-            if high < until:
-                rows = rows.unionByName(_scan(rollups.minute, high, until, params))
+            rows = _scan(rollups.hour if params.bucket == "1h" else rollups.day, [(low, high)], params)
+            edges = [(a, b) for a, b in ((since, low), (high, until)) if a < b]
+    if edges:
+        minutes_ = _scan(rollups.minute, edges, params)
+        rows = minutes_ if rows is None else rows.unionByName(minutes_)
     group = F.col(params.group_by) if params.group_by else F.lit(None).cast("string")
     start = timestamps.bucket_start(F.col("bucket_start"), params.bucket)
     return rows.groupBy(start.alias("start"), group.alias("group")).agg(F.sum("count").alias("count"))

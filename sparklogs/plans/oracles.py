@@ -52,7 +52,7 @@ _ENTRIES = f"""{_LOGS}, B AS (
          WHEN id % 89 = 0 THEN 'invalid timestamp: must be a non-empty ISO 8601 string'
          WHEN id % 83 = 0 THEN 'invalid timestamp format: must be valid ISO 8601'
          WHEN id % 79 = 0 THEN 'timestamp cannot be more than 5 minutes in the future'
-         WHEN id % 73 = 0 THEN 'invalid level: ''critical'''
+         WHEN id % 73 = 0 THEN 'invalid level: ''' || (CASE id // 73 % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'ERROR' WHEN 2 THEN '7' ELSE 'undefined' END) || ''''
          WHEN id % 71 = 0 THEN 'service must be a non-empty string'
          WHEN id % 67 = 0 THEN 'message must be a non-empty string'
          WHEN id % 61 = 0 THEN 'attributes must be a flat object'
@@ -143,6 +143,8 @@ UNION ALL SELECT -1, 'Request body exceeds the maximum allowed size', 1""",
             _rollup(w, "true", f", '{n}' AS width") for w, n in (('minute', '1m'), ('hour', '1h'), ('day', '1d')))})""",
         "rollup_late_epoch": f"""WITH {_LOGS} SELECT * FROM ({' UNION ALL '.join(
             _rollup(w, "true", f", '{n}' AS width") for w, n in (('minute', '1m'), ('hour', '1h'), ('day', '1d')))})""",
+        "agg_in_order": f"""SELECT row_number() OVER (ORDER BY start, "group") AS place, * FROM (
+SELECT start, "group", count FROM ({_count("1h", _A0, _A1, "service")}))""",
         "agg_routed": f"""SELECT *, 'rollup' AS path FROM ({_rolled("1d", _U0, _U1, "service")})
 UNION ALL SELECT *, 'raw' AS path FROM ({_count("1d", _U0, _U1, "service", where="message ILIKE '%user 1%'")})""",
         "search_cursor_page": f"WITH {_LOGS} SELECT {_SHAPE} FROM (SELECT * FROM L ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 50)",

@@ -136,6 +136,12 @@ def rollup_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_width(_grown(spark, sf_dir, (0, 2, 3)))
 
 
+def agg_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per hour and service with the place that each row has in the result (at most a row per hour and service)."""
+    rows = flagship(spark, sf_dir).collect()
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows, 1)], 'place long, start string, `group` string, count long')
+
+
 def agg_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that rollups can answer, and counts that raw rows must."""
     one, two = CountParams(*UNALIGNED, "1d", "service"), CountParams(*UNALIGNED, "1d", "service", q="user 1")
@@ -455,6 +461,7 @@ def queries() -> dict[str, Query]:
         "rollup_compacted": rollup_compacted,
         "rollup_late_epoch": rollup_late_epoch,
         "agg_routed": agg_routed,
+        "agg_in_order": agg_in_order,
         "search_cursor_page": search_cursor_page,
         "stream_report": stream_report,
         "stream_expired": stream_expired,

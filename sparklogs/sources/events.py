@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import attributes as attrs
@@ -26,28 +26,37 @@ def logs(events: DataFrame, *more: str) -> DataFrame:
 
 
 def bodies(events: DataFrame, as_of: datetime) -> DataFrame:
-    """batch_id and body: requests of 50 entries, with faults planted by the event's number."""
+    """batch_id and body: requests of 50 entries, with faults planted by the event's number, each in several forms."""
     i = F.col("id")
+
+    def form(every: int, *texts: str | None) -> Column:
+        """One of the texts for the ids that `every` divides, in turns; None leaves the field out."""
+        turn = F.floor(i / every) % len(texts)
+        out = F.when(turn == 0, F.lit(texts[0]).cast("string"))
+        for k, text in enumerate(texts[1:], 1):
+            out = out.when(turn == k, F.lit(text).cast("string"))
+        return out
+
     rows = logs(events, "ts").select("id", "timestamp", "level", "service", "message", "attributes", "ts")
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     late = as_of + timedelta(minutes=10)
     micros = F.date_format(F.col("ts").cast("timestamp") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")
     inner = F.regexp_extract("attributes", r"^\{(.*)\}$", 1)
     ts = (
-        F.when(i % 83 == 0, F.lit("not-a-date")).when(i % 79 == 0, timestamps.iso(timestamps.literal(late)))
+        F.when(i % 83 == 0, form(83, "not-a-date", "2024-13-05T10:00:00Z", "10:15", "2024/01/05")).when(i % 79 == 0, timestamps.iso(timestamps.literal(late)))
         .when(i % 43 == 0, micros).otherwise(timestamps.iso(F.col("timestamp")))
     )
     parts = [
-        F.when(i % 89 != 0, F.concat(F.lit('"timestamp":'), quoted(ts))),
-        F.concat(F.lit('"level":'), quoted(F.when(i % 73 == 0, F.lit("critical")).otherwise(F.col("level")))),
-        F.concat(F.lit('"service":'), quoted(F.when(i % 71 == 0, F.lit("   ")).otherwise(F.col("service")))),
-        F.concat(F.lit('"message":'), quoted(F.when(i % 67 == 0, F.lit("")).otherwise(F.col("message")))),
-        F.when(i % 61 == 0, F.lit('"attributes":[1]'))
-        .when(i % 59 == 0, F.lit('"attributes":{"tags":["a"]}'))
+        F.when(i % 89 == 0, form(89, None, '"timestamp":"  "', '"timestamp":null', '"timestamp":1704067200')).otherwise(F.concat(F.lit('"timestamp":'), quoted(ts))),
+        F.when(i % 73 == 0, form(73, '"level":"critical"', '"level":"ERROR"', '"level":7', None)).otherwise(F.concat(F.lit('"level":'), quoted(F.col("level")))),
+        F.when(i % 71 == 0, form(71, '"service":"   "', '"service":""', '"service":null', '"service":5')).otherwise(F.concat(F.lit('"service":'), quoted(F.col("service")))),
+        F.when(i % 67 == 0, form(67, '"message":""', '"message":"\\t\\n "', None, '"message":{"a":1}')).otherwise(F.concat(F.lit('"message":'), quoted(F.col("message")))),
+        F.when(i % 61 == 0, form(61, '"attributes":[1]', '"attributes":"x"', '"attributes":5', '"attributes":true'))
+        .when(i % 59 == 0, form(59, '"attributes":{"tags":["a"]}', '"attributes":{"a":1,"tags":{"b":2}}'))
         .when(i % 53 == 0, F.concat(F.lit('"attributes":{'), inner, F.lit(',"gone":null}')))
         .when(i % 47 != 0, F.concat(F.lit('"attributes":'), F.col("attributes"))),
     ]
-    entry = F.when(i % 97 == 0, F.lit('"just text"')).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+    entry = F.when(i % 97 == 0, form(97, '"just text"', "null", "[1,2]", "17")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
     placed = rows.select(F.floor(i / PER_BATCH).cast("long").alias("batch_id"), F.struct((i % PER_BATCH).alias("at"), entry.alias("entry")).alias("e"))
     grouped = placed.groupBy("batch_id").agg(F.sort_array(F.collect_list("e"))["entry"].alias("entries"))  # 50 entries
     b = F.col("batch_id")
