@@ -33,11 +33,11 @@ REPORTS = "batch_id long, accepted long, rejected array<struct<index: int, reaso
 FILE_BYTES = 128 << 20
 
 
-def ingest_epoch(bodies: DataFrame, epoch: int, path: str, clock: Callable[[], datetime]) -> None:
-    """Store one micro-batch in the table at path, if it isn't there."""
+def ingest_epoch(bodies: DataFrame, epoch: int, path: str, clock: Callable[[], datetime], stream: str = "") -> None:
+    """Store one micro-batch in the table at path, if it isn't there. Epochs are told apart by their number and stream."""
     spark = bodies.sparkSession
     table = Table(spark, path)
-    if table.version().has(epoch):
+    if table.version().has(epoch, stream):
         return
     top = f"{path}/checked/part={uuid.uuid4().hex}"
     checked = validate.normalised(validate.validated(validate.exploded(bodies), clock()))
@@ -52,11 +52,11 @@ def ingest_epoch(bodies: DataFrame, epoch: int, path: str, clock: Callable[[], d
     parts += reconcile.write(table, stored) + rollup_store.deltas(table, rollup.minutes(stored))
 
     def change(v: Version) -> Version | None:
-        if v.has(epoch):
+        if v.has(epoch, stream):
             return None
         if v.last_id != base:
             raise RuntimeError(f"another writer gave out ids beside epoch {epoch} of {path}")
-        return v.plus(parts, epoch, base + count)
+        return v.plus(parts, epoch, base + count, stream)
 
     table.commit(change)
     for folder in (top, ranged.written_at):
@@ -194,16 +194,25 @@ class Progress(StreamingQueryListener):
 
 
 def start(
-    spark: SparkSession, source: str, path: str, checkpoint: str, clock=lambda: datetime.now(UTC), files_per_trigger: int = 100, trigger: dict | None = None, bytes_per_trigger: int | None = None
+    spark: SparkSession,
+    source: str,
+    path: str,
+    checkpoint: str,
+    clock=lambda: datetime.now(UTC),
+    files_per_trigger: int = 100,
+    trigger: dict | None = None,
+    bytes_per_trigger: int | None = None,
+    stream: str = "",
 ) -> StreamingQuery:
     """Ingest Parquet files of bodies that appear in source; trigger is that of writeStream (default: what is there).
 
     A micro-batch takes at most files_per_trigger files, or with bytes_per_trigger files of that many bytes: the
-    bound of the work in flight.
+    bound of the work in flight. A checkpoint numbers its epochs from 0, and the table takes each number of a stream
+    once: a new checkpoint that is to add to the table needs a stream name of its own.
     """
     bound = {"maxBytesPerTrigger": bytes_per_trigger} if bytes_per_trigger else {"maxFilesPerTrigger": files_per_trigger}
-    stream = spark.readStream.schema(BODIES).options(**bound).parquet(source)
-    write = stream.writeStream.foreachBatch(lambda df, epoch: ingest_epoch(df, epoch, path, clock)).option("checkpointLocation", checkpoint)
+    bodies = spark.readStream.schema(BODIES).options(**bound).parquet(source)
+    write = bodies.writeStream.foreachBatch(lambda df, epoch: ingest_epoch(df, epoch, path, clock, stream)).option("checkpointLocation", checkpoint)
     return write.trigger(**(trigger or {"availableNow": True})).start()
 
 
