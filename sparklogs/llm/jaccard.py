@@ -10,8 +10,9 @@ Documents are sets of word shingles; two link when their Jaccard similarity is a
    make families. Sets that share too few tokens with other components are done.
 4. The families of the rest are dealt in blocks. The token-group matrix holds the union of tokens of each block,
    restricted to each set's rarest tokens that suffice to meet every partner. Tokens that lie in one component only
-   are struck out. A set queries the blocks that hold one of its tokens from another component; a block is opened if
-   the query's overlap with the block's token union reaches the bound, and its members are then compared exactly.
+   are struck out. A set queries the blocks that hold one of its tokens from another component, as far as the sizes of
+   the block's members and the tokens left behind that one allow a link; a block is opened if the query's overlap with
+   the block's token union reaches the bound, and its members are then compared exactly.
 
 No list of pairs leaves a task: links are reduced to each member's least linked member. Sets are known by a 64-bit
 hash of their tokens, tokens by 64-bit hashes. Tokens that a sample finds in many sets are shared for certain: they
@@ -161,15 +162,22 @@ def _opened(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _matrix_round(known: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Queries of sets against the blocks that hold one of their rarest tokens from another component."""
+    """Queries of sets against the blocks that hold one of their rarest tokens from another component, and members of a
+    size and with enough tokens behind that one to share what a link needs."""
     sizes = known.groupBy("kin").agg(F.count("*").alias("size"))
     block = F.xxhash64("kin", F.pmod(F.xxhash64("f", F.lit("block")), F.expr(f"(size + {CHUNK - 1}) DIV {CHUNK}")))
-    placed = materialize(known.join(sizes, "kin").select("f", "comp", "probe", block.alias("block")), "blocks")
-    tokens = placed.select("f", "comp", "block", F.explode("probe").alias("t"))
-    matrix_ = materialize(tokens.groupBy("t", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "matrix")
+    placed = materialize(known.join(sizes, "kin").select("f", "comp", "n", "m", "probe", block.alias("block")), "blocks")
+    # left: tokens of the set from this one on, which bound what it can share if this is the first that it shares
+    tokens = placed.select("f", "comp", "block", "n", "m", F.posexplode("probe").alias("at", "t")).withColumn("left", F.col("m") - F.col("at")).drop("m", "at")
+    least_, most_, left_ = F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("left").alias("most_left")
+    matrix_ = materialize(tokens.groupBy("t", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), least_, most_, left_), "matrix")
     shared = matrix_.groupBy("t").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("t")
     matrix = matrix_.join(shared, "t", "left_semi").withColumnRenamed("block", "asked")
-    asked = tokens.join(matrix, "t").where("block <= asked AND (low <> comp OR high <> comp)")
+    # the smallest partner that the block can hold, and what must be shared with it
+    small = f"greatest(least_n, (n * {num} + {den - 1}) DIV {den})"
+    need = f"(((n + {small}) * {num} + {num + den - 1}) DIV {num + den})"
+    fits = f"{small} <= most_n AND least_n * {num} <= n * {den} AND left >= {need} AND most_left >= {need}"
+    asked = tokens.join(matrix, "t").where(f"block <= asked AND (low <> comp OR high <> comp) AND {fits}")
     asked = asked.select("f", "comp", F.col("asked").alias("block")).distinct()
     asked = materialize(asked, "asked")
     share = asked.groupBy("block").agg(F.expr(f"(count(*) + {CHUNK - 1}) DIV {CHUNK}").alias("shares"))
@@ -315,8 +323,8 @@ def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     # rarest first: with all but need - 1 of its shared tokens a set meets every partner
     probe = F.slice("shared", F.lit(1), (F.size("shared") - need + 1).cast("int"))["t"]
     kin = components(edges.select("a", "b")).select(F.col("node").alias("f"), F.col("root").alias("kin"))
-    probed = shared.join(left.select("f", "n"), "f").where(F.size("shared") >= need).select("f", probe.alias("probe"))
-    probed = probed.join(rest, "f").join(kin, "f", "left").select("f", "comp", "probe", F.coalesce("kin", "f").alias("kin"))
+    probed = shared.join(left.select("f", "n"), "f").where(F.size("shared") >= need).select("f", F.col("n").cast("long").alias("n"), F.size("shared").alias("m"), probe.alias("probe"))
+    probed = probed.join(rest, "f").join(kin, "f", "left").select("f", "comp", "n", "m", "probe", F.coalesce("kin", "f").alias("kin"))
     probed = materialize(probed, "probed")
     more = _matrix_round(probed, families.select("f", "tokens"), num, den)
     known = _grown(known.select("f", "comp"), more.where("strict"))
