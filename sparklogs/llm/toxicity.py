@@ -14,8 +14,8 @@ A document's score is a logistic function of its matched clauses' weights by con
 lone ones have gains of their own. Of lone matches the heaviest doesn't count: one isolated word scores nothing.
 
 Learned from labels, from a bounded sample of labelled rows: words and word beginnings of 4 to 9 bytes that tell toxic
-texts (those that a likelihood-ratio test over all candidates keeps), the weights of the words listed below, and the
-gains. Fixed: short lists of insults and threats, as a start where there are few labels, and of pronouns, negations
+texts (those that a likelihood-ratio test over all candidates keeps; such a word is an insult, even if it is listed as a
+target, negation or report), the weights of the words listed below, and the gains. Fixed: short lists of insults and threats, as a start where there are few labels, and of pronouns, negations
 and speech verbs.
 
 Defined cases: a null, empty or wordless text has no clause and gets the score of that; without labels only the listed
@@ -153,7 +153,7 @@ def _letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _features(words: Words, total: np.ndarray | None = None) -> list[np.ndarray]:
-    """Per word: the hash of the word, and of its first 4, 5 and 6 bytes (0 if it is not longer than that)."""
+    """Per word: the hash of the word, and of its first 4 to 9 bytes (0 if it is not longer than that)."""
     length = words.ends - words.starts
     out = [words.hashes]
     for p in PREFIXES:
