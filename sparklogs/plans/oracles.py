@@ -155,6 +155,14 @@ UNION ALL SELECT *, 'rollup' AS of FROM ({_rollup('day', f"reason IS NULL AND da
         "stream_live_bounded": f"WITH {_LOGS} {_rollup('day', "ts >= TIMESTAMP '2024-01-21 00:00:00'")}",
         "stream_compacted": f"WITH {_ENTRIES} SELECT {_STORED} FROM E WHERE reason IS NULL",
         "stream_late": f"WITH {_ENTRIES} {_rollup('day', 'reason IS NULL').replace('FROM L', 'FROM E')}",
+        "parameters_checked": """SELECT event_type, user_id % 7 AS kind, count(*) AS events,
+CASE user_id % 7 WHEN 0 THEN 'Limit must be between 1 and 1000' WHEN 1 THEN CASE event_type WHEN 'error' THEN 'accepted' ELSE 'Unsupported log level' END
+  WHEN 2 THEN 'Limit must be a valid integer' WHEN 3 THEN 'Unsupported log level' WHEN 4 THEN 'Invalid timestamp for "since"'
+  WHEN 5 THEN '"until" cannot be earlier than "since"' ELSE 'Invalid or malformed cursor' END AS search,
+CASE user_id % 7 WHEN 0 THEN 'Missing required parameters: since, until, and bucket are required'
+  WHEN 1 THEN CASE event_type WHEN 'error' THEN 'accepted' ELSE 'Unsupported log level' END WHEN 2 THEN 'Invalid bucket value. Allowed: 1m, 5m, 1h, 1d'
+  WHEN 3 THEN 'Invalid group_by. Allowed: service, level' WHEN 4 THEN 'Invalid date format for since or until'
+  WHEN 5 THEN '''until'' must not be earlier than ''since''' ELSE 'accepted' END AS counts FROM events GROUP BY ALL""",
         "generate_logs": """SELECT event_id AS id,
 strftime(TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 7919 % 2592000000), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp,
 CASE event_id * 31 % 4 WHEN 0 THEN 'debug' WHEN 1 THEN 'info' WHEN 2 THEN 'warn' ELSE 'error' END AS level,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
@@ -397,6 +398,35 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(ingest.minute_rollup(spark, _streamed(spark, sf_dir)))
 
 
+def _outcome(check: Callable[[], object]) -> str:
+    try:
+        check()
+    except ValueError as e:
+        return str(e)
+    return "accepted"
+
+
+def parameters_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks of search and count parameters say to requests made of event types, and of how many events.
+
+    A row for each event type and kind of request: 35 at most.
+    """
+    kinds = _table(spark, sf_dir, "events").groupBy("event_type", F.pmod("user_id", F.lit(7)).alias("kind")).agg(F.count("*").alias("events")).collect()
+    not_json = base64.b64encode(b"not JSON").decode()
+
+    def of_search(kind: int, word: str) -> SearchParams:
+        given = [{"limit": "0"}, {"level": word, "limit": "1000"}, {"limit": f"{word}1"}, {"level": word.upper()}, {"since": word}, {"since": "2024-01-02", "until": "2024-01-01"}, {"cursor": not_json}]
+        return SearchParams.of(**given[kind])
+
+    def of_counts(kind: int, word: str) -> CountParams:
+        good = {"since": "2024-01-01", "until": "2024-01-02T00:00:00Z", "bucket": "1h"}
+        given = [{"bucket": ""}, {"level": word.upper()}, {"bucket": "2m"}, {"group_by": word}, {"until": word}, {"until": "2023-12-31"}, {"group_by": "SERVICE"}]
+        return CountParams.of(**good | given[kind])
+
+    rows = [(r.event_type, r.kind, r.events, _outcome(lambda r=r: of_search(r.kind, r.event_type)), _outcome(lambda r=r: of_counts(r.kind, r.event_type))) for r in kinds]
+    return spark.createDataFrame(rows, "event_type string, kind long, events long, search string, counts string")
+
+
 def generate_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generated row for every event."""
     out = generate.generated(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id")), AS_OF - timedelta(days=30))
@@ -457,6 +487,7 @@ def queries() -> dict[str, Query]:
         "stream_ingest": stream_ingest,
         "stream_rollup": stream_rollup,
         "generate_logs": generate_logs,
+        "parameters_checked": parameters_checked,
         "rollup_store_query": rollup_store_query,
         "rollup_compacted": rollup_compacted,
         "rollup_late_epoch": rollup_late_epoch,
