@@ -3,8 +3,8 @@
 A page's blocks form a tree. Repeated siblings become one node (an iteration), which leaves the page's shape. All pages
 with one shape on one host are added up per node: pages, characters, characters in links, least and greatest hash of
 the text. The shapes of a host are then aligned by simple tree matching (the largest order-preserving match of two trees
-whose roots agree, by dynamic programming over their children) and merged into the host's wrapper. A node whose text is
-the same on all pages is template; nodes whose text varies are slots. To read a page, its shape is matched with the
+whose roots agree, by dynamic programming over their children, however many these are) and merged into the host's wrapper,
+which takes in every node. A node whose text is the same on all pages is template; nodes whose text varies are slots. To read a page, its shape is matched with the
 wrapper, and the slots of its main part are its content: within the page's article (or main part), or where it has none
 within the page. Slots that by their element or by the words of their class, id or role are menus, headers, footers,
 sidebars, notices, adverts, forms or comments are left out, and outside of an article also those that are mostly links.
@@ -15,7 +15,10 @@ few copies don't turn an article into template; outside of articles two differen
 At scale: pages are read twice and shuffled only where the wrappers are too large to be broadcast, and then by a join
 that the adaptive engine can split at hot hosts. Tasks add up their pages before anything moves, so a host with a third
 of all pages gives one row per task, shape and node. Wrappers are merged from parts of at most SHAPES shapes. Results
-don't depend on how pages are dealt: sums are exact and shapes are merged in the order of their text.
+don't depend on how pages are dealt: sums are exact and shapes are merged in the order of their text. Two nodes' children
+take time in proportion to their rows with a like times the range of sums that a row changes, at worst their product;
+memory in proportion to their number. Children of one key that all differ below take a match, and memory for its size,
+each pair.
 
 Defined cases: a null html or url: empty text, or a page without a host, which is read by its own shape alone; repeated
 rows are rows each; cut and unclosed markup is read as browsers do; elements deeper than DEPTH levels don't nest; an
@@ -30,6 +33,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +44,9 @@ from .common import materialize
 SUPPORT = 8
 #: Shapes that one group merges, entries that a task holds before it hands them on, levels of nested blocks.
 SHAPES, HELD, DEPTH = 1_000, 5_000, 200
-#: Children of two nodes are matched by dynamic programming up to so many pairs, beyond that from the left on; a node of
-#: a wrapper takes in at most so many children, further ones are judged by their own page alone.
-PAIRS, CHILDREN = 1 << 18, 1 << 12
+#: Children that a node takes in where merge is to bound it (the job doesn't); rows that a pass over children keeps at
+#: least, and sums in them up to which it keeps more.
+CHILDREN, ROWS, SUMS = 1 << 12, 32, 1 << 21
 #: Share of a node's characters in links from which on it is a menu, outside of an article.
 LINKED = 0.5
 
@@ -197,6 +201,7 @@ class Shape:
     low: int = 0
     high: int = 0
     name: str = ""
+    mark: bytes = b""  # the same for trees with the same keys; empty: not known
 
     def nodes(self) -> list[Shape]:
         """In preorder."""
@@ -262,29 +267,130 @@ def unnamed(name: str) -> Shape:
 # --- simple tree matching ------------------------------------------------------------------------------------
 
 
-def _aligned(xs: list[Shape], ys: list[Shape], size) -> list[tuple[Shape, Shape]]:
-    """The order-preserving pairs of children with the largest sum of sizes."""
-    m, n = len(xs), len(ys)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m - 1, -1, -1):
-        for j in range(n - 1, -1, -1):
-            both = size(xs[i], ys[j])
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], both + best[i + 1][j + 1] if both else 0)
-    pairs, i, j = [], 0, 0
-    while i < m and j < n:
-        both = size(xs[i], ys[j])
-        if both and best[i][j] == both + best[i + 1][j + 1]:
-            pairs.append((xs[i], ys[j]))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return pairs
+def _mark(tree: Shape) -> None:
+    """Mark tree and what is below it."""
+    found, todo = [], [tree]
+    while todo:
+        if not (node := todo.pop()).mark:
+            found.append(node)
+            todo += node.children
+    for node in reversed(found):
+        key = node.key.encode("utf-8", "surrogatepass")
+        node.mark = hashlib.blake2b(b"%d:%b" % (len(key), key) + b"".join([c.mark for c in node.children]), digest_size=16).digest()
+
+
+class _Children:
+    """The children of two nodes, row by row of xs from the last one on.
+
+    A row's best[p] is the largest sum of sizes over the xs from the row on and the last p of ys. It grows with p, so a row
+    differs from the one behind it in one range only, and rows without their like in ys don't differ at all.
+    """
+
+    def __init__(self, xs: list[Shape], ys: list[Shape], size):
+        self.xs, self.ys, self.size = xs, ys, size
+        self.same = 0  # equal trees at the left, each of which is the other's best partner
+        while self.same < min(len(xs), len(ys)) and xs[self.same].mark == ys[self.same].mark:
+            self.same += 1
+        n = self.length = len(ys) - self.same
+        kinds: dict[str, tuple[list[int], list[int], dict[bytes, int], list[Shape]]] = {}
+        for p in range(1, n + 1):
+            y = ys[-p]
+            places, which, numbers, alike = kinds.setdefault(y.key, ([], [], {}, []))
+            if y.mark not in numbers:
+                numbers[y.mark] = len(alike)
+                alike.append(y)
+            places.append(p)
+            which.append(numbers[y.mark])
+        self.kinds = {k: (np.array(places), np.array(places) - 1, np.array(which), alike) for k, (places, which, _, alike) in kinds.items()}
+        self.holding: dict[str, dict[str, list[int]]] = {}  # by key, and a key below it: the different ys
+        for k, (_, _, _, alike) in self.kinds.items():
+            below = self.holding[k] = {}
+            for number, y in enumerate(alike):
+                for key in {c.key for c in y.children}:
+                    below.setdefault(key, []).append(number)
+        self.rows = [i for i in range(self.same, len(xs)) if xs[i].key in kinds]
+        self.sizes: dict[bytes, np.ndarray] = {}
+
+    def start(self) -> np.ndarray:
+        return np.zeros(self.length + 1, np.int64)
+
+    def sums(self, i: int, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places p of row i's like in ys, and the sums with each as its partner; best: the row behind."""
+        x = self.xs[i]
+        places, behind, which, alike = self.kinds[x.key]
+        sizes = self.sizes.get(x.mark)
+        if sizes is None:
+            sizes = np.ones(len(alike), np.int32)
+            below = self.holding[x.key]
+            for number in {k for key in {c.key for c in x.children} for k in below.get(key, ())}:
+                sizes[number] = self.size(x, alike[number])
+            self.sizes[x.mark] = sizes
+        return places, (sizes[which] if len(sizes) > 1 else sizes) + best[behind]
+
+    def add(self, i: int, best: np.ndarray) -> None:
+        """Make best, the row behind i, row i."""
+        places, sums = self.sums(i, best)
+        first, end = places[0], best.searchsorted(sums.max())
+        if first < end:
+            best[places] = np.maximum(best[places], sums)
+            best[first:end] = np.maximum.accumulate(best[first:end])
+
+    def behind(self, rows: list[int], best: np.ndarray):
+        """Each of rows with the row behind it, from the first on; best: the row behind all. Few rows are kept at once."""
+        if len(rows) <= 1:
+            yield from ((i, best) for i in rows)
+            return
+        some = -(-len(rows) // max(ROWS, SUMS // len(best)))
+        kept = []
+        for at in reversed(range(0, len(rows), some)):
+            kept.append(best.copy())
+            for i in reversed(rows[at : at + some] if at else ()):
+                self.add(i, best)
+        for at in range(0, len(rows), some):
+            yield from self.behind(rows[at : at + some], kept.pop())
+
+    def total(self) -> int:
+        """The largest sum of sizes of an order-preserving match."""
+        best = self.start()
+        for i in reversed(self.rows):
+            self.add(i, best)
+        return sum(self.size(x, x) for x in self.xs[: self.same]) + int(best[-1])
+
+    def pairs(self) -> list[tuple[Shape, Shape]]:
+        """The match with that sum; of several, the one whose next x has a partner further on only where it must."""
+        out = list(zip(self.xs[: self.same], self.ys, strict=False))
+        left = self.length
+        for i, best in self.behind(self.rows, self.start()):
+            places, sums = self.sums(i, best)
+            last = int(places.searchsorted(left, "right")) - 1
+            if last < 0:
+                continue
+            top = sums[: last + 1].max()
+            if top > best[left]:
+                last -= int(sums[last::-1].argmax())
+            elif top < best[left] or places[last] < left or sums[last] < top:
+                continue
+            out.append((self.xs[i], self.ys[-places[last]]))
+            left = int(places[last]) - 1
+        return out
+
+
+def _few(xs: list[Shape], ys: list[Shape], size) -> int:
+    """_Children.total of few children, faster."""
+    best = [0] * (len(ys) + 1)
+    for x in reversed(xs):
+        row = best[:]
+        for j in range(len(ys) - 1, -1, -1):
+            if x.key == ys[j].key:
+                row[j] = max(row[j + 1], best[j], size(x, ys[j]) + best[j + 1])
+            elif row[j + 1] > row[j]:
+                row[j] = row[j + 1]
+        best = row
+    return best[0]
 
 
 def _greedy(xs: list[Shape], ys: list[Shape]) -> list[tuple[Shape, Shape]]:
-    """Order-preserving pairs of children with equal keys, each the next one from the left."""
+    """Order-preserving pairs of children with equal keys, each the next one from the left; not always the largest match."""
     places: dict[str, list[int]] = {}
     for j in range(len(ys) - 1, -1, -1):
         places.setdefault(ys[j].key, []).append(j)
@@ -300,44 +406,59 @@ def _greedy(xs: list[Shape], ys: list[Shape]) -> list[tuple[Shape, Shape]]:
 
 
 def match(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
-    """Pairs of nodes of the largest order-preserving match of two trees whose roots agree."""
-    sizes: dict[tuple[int, int], tuple[int, list[tuple[Shape, Shape]]]] = {}
+    """Pairs of nodes of the largest order-preserving match of two trees whose roots agree, however many children they have."""
+    _mark(a)
+    _mark(b)
+    sizes: dict[tuple[bytes, bytes], int] = {}
 
     def size(x: Shape, y: Shape) -> int:
         if x.key != y.key:
             return 0
-        if (found := sizes.get((id(x), id(y)))) is not None:
-            return found[0]
-        pairs = _greedy(x.children, y.children) if len(x.children) * len(y.children) > PAIRS else _aligned(x.children, y.children, size)
-        total = 1 + sum(size(p, q) for p, q in pairs)
-        sizes[id(x), id(y)] = total, pairs
+        if not x.children or not y.children:
+            return 1
+        if (found := sizes.get((x.mark, y.mark))) is not None:
+            return found
+        cells = len(x.children) * len(y.children)
+        if x.mark == y.mark:
+            total = 1 + sum([size(c, c) for c in x.children])
+        else:
+            total = 1 + (_few(x.children, y.children, size) if cells <= 4 * ROWS else _Children(x.children, y.children, size).total())
+        if cells > 4:
+            sizes[x.mark, y.mark] = total
         return total
 
-    if not size(a, b):
+    if a.key != b.key:
         return []
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        todo += sizes[id(x), id(y)][1]
+        if x.children and y.children:
+            todo += _Children(x.children, y.children, size).pairs()
     return out
 
 
-def merge(wrapper: Shape, other: Shape) -> Shape:
-    """wrapper with the sums of other at the nodes that match, and other's further nodes behind their left neighbours."""
+def merge(wrapper: Shape, other: Shape, most: int | None = CHILDREN) -> Shape:
+    """wrapper with the sums of other at the nodes that match, and other's further nodes behind their left neighbours.
+
+    most: children that a node of the wrapper takes in, further ones of other being left out; None: all of them.
+    """
     pairs = match(wrapper, other)
     place = {id(y): x for x, y in pairs}
     for x, y in pairs:
         x.low, x.high = (min(x.low, y.low), max(x.high, y.high)) if x.pages and y.pages else (y.low, y.high) if y.pages else (x.low, x.high)
         x.pages, x.chars, x.linked = x.pages + y.pages, x.chars + y.chars, x.linked + y.linked
-        left, at = 0, {id(c): i for i, c in enumerate(x.children)}
-        added = 0
+        x.mark = b""
+        left, room = 0, len(y.children) if most is None else most - len(x.children)
+        new: dict[int, list[Shape]] = {}  # by the left neighbour in x
         for child in y.children:
             if (mine := place.get(id(child))) is not None:
-                left = at[id(mine)] + added + 1
-            elif len(x.children) < CHILDREN:
-                x.children.insert(left, child)
-                left, added = left + 1, added + 1
+                left = id(mine)
+            elif room > 0:
+                new.setdefault(left, []).append(child)
+                room -= 1
+        if new:
+            x.children = new.get(0, []) + [c for old in x.children for c in (old, *new.get(id(old), ()))]
     return wrapper
 
 
@@ -535,7 +656,7 @@ def evidence(pages: DataFrame) -> DataFrame:
 def _merged(trees: list[Shape]) -> str:
     wrapper = trees[0]
     for tree in trees[1:]:
-        merge(wrapper, tree)
+        merge(wrapper, tree, None)
     return json.dumps(dump(wrapper))
 
 

@@ -156,3 +156,66 @@ def test_given_pages(sf):
 
     pages = {r.page_id: r.html for r in sf("pages").collect()}
     assert {r.page_id: r.text for r in wrappers.extract(sf("pages")).collect()} == {i: brute(p) for i, p in pages.items()}
+
+
+def plain_pairs(xs, ys, sizes):
+    """Places of the pairs of children by the whole table of best sums."""
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i in range(len(xs) - 1, -1, -1):
+        for j in range(len(ys) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], sizes[i][j] + best[i + 1][j + 1] if sizes[i][j] else 0)
+    i, j, out = 0, 0, []
+    while i < len(xs) and j < len(ys):
+        if sizes[i][j] and best[i][j] == sizes[i][j] + best[i + 1][j + 1]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+@pytest.mark.parametrize("rows", [2, 32])
+@pytest.mark.parametrize("n, keys", [(3, "ab"), (12, "a"), (40, "abc"), (600, "abcd")])
+def test_match_is_the_largest_at_any_width(monkeypatch, rows, n, keys):
+    """The same pairs as from the whole table of best sums, ties included, below and above the 262,144 pairs of a former switch."""
+    monkeypatch.setattr(wrappers, "ROWS", rows)
+    monkeypatch.setattr(wrappers, "SUMS", rows)
+    rng = random.Random(n)
+    for _ in range(1 if n > 100 else 30):
+        tree = lambda: wrappers.Shape("r", [wrappers.Shape(rng.choice(keys), [wrappers.Shape(k) for k in "uvw"[: rng.randrange(4)]]) for _ in range(n)])
+        a, b = tree(), tree()
+        if rng.random() < 0.5:
+            b.children[: n // 4] = [wrappers.load(wrappers.dump(c)) for c in a.children[: n // 4]]
+        sizes = [[(x.key == y.key) * (1 + min(len(x.children), len(y.children))) for y in b.children] for x in a.children]
+        numbers = {id(c): i for t in (a, b) for i, c in enumerate(t.children)}
+        assert sorted((numbers[id(x)], numbers[id(y)]) for x, y in wrappers.match(a, b) if id(x) in numbers) == plain_pairs(a.children, b.children, sizes)
+
+
+@pytest.mark.parametrize("n", [100, 600])
+def test_width_of_pages_does_not_matter(spark, n):
+    """A block that stands first on one page and last on the other: the others are template at any number of them."""
+    letters = "abcdefghij"
+    same = "".join(f'<div class="x{"".join(letters[int(c)] for c in str(i))}">Part {i}</div>' for i in range(n))
+    rows = [(1, "http://h/1", f'<div class="a">Story 1</div>{same}'), (2, "http://h/2", f'{same}<div class="a">Story 2</div>')]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {1: "Story 1", 2: "Story 2"}
+
+
+def test_wrappers_take_in_every_block(spark):
+    """Template behind thousands of other blocks of the host is template."""
+    letters = "abcdefghij"
+    wide = "".join(f'<div class="aa{"".join(letters[int(c)] for c in str(i))}">{i}</div>' for i in range(wrappers.CHILDREN + 100))
+    few = [f'<div class="y">Story {i}</div><div class="z">The same on each</div>' for i in range(3)]
+    rows = [(i, f"http://h/{i}", p) for i, p in enumerate([*few, few[0] + "<p>more</p>", wide])]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == ["Story 0", "Story 1", "Story 2", "Story 0\n\nmore"]
+    assert got[4].count("\n\n") == wrappers.CHILDREN + 99
+
+
+def test_wide_and_deep_pages_are_matched():
+    row = "".join(f"<div class={c}>x</div>" for c in "abcdefghijklm")
+    a, b = ("".join(x + "<div class=q>" for _ in range(wrappers.DEPTH)) for x in (row, row[20:] + "<div class=a>x</div>"))
+    a, b = wrappers.shape(wrappers.parse(a)), wrappers.shape(wrappers.parse(b))
+    assert len(wrappers.match(a, b)) > 12 * (wrappers.DEPTH - 5)
